@@ -39,7 +39,7 @@ HEURISTICS = {
 
 # Up to this many patterns, lines without any are dropped before the join;
 # beyond it the generated test would outgrow what the JVM compiles (8000 bytes).
-PREFILTER_PATTERNS = 56
+PREFILTER_PATTERNS = 48
 
 # rule_ord of the row that stands for a scanned file rather than a finding.
 FILE_MARKER = 0

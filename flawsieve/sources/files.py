@@ -11,6 +11,7 @@ from flawsieve.operators.lines import with_language
 from flawsieve.operators.match import FILE_MARKER, match_rules
 from flawsieve.plans.scan import scan_log
 from flawsieve.rules import EXTENSION_LANGUAGE, Rule, load_rules
+from flawsieve.sources.tree import list_tree, passed_over, read_listed
 
 # Fixed value: the exclusions a workspace starts with.
 DEFAULT_EXCLUDES = ("**/test/**", "**/tests/**", "**/__pycache__/**")
@@ -47,17 +48,8 @@ def _reader(spark: SparkSession):
 
 
 def list_files(spark: SparkSession, root: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> DataFrame:
-    """``path, length`` of the files in scope below ``root``; contents stay unread.
-
-    Spark passes over files of no bytes, here and when reading.
-    """
-    return (
-        _reader(spark)
-        .format("binaryFile")
-        .load(root)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "length")
-        .filter(in_scope(F.col("path"), exclude))
-    )
+    """``path, length`` of the files in scope below ``root``; contents stay unread."""
+    return list_tree(spark, root).filter(in_scope(F.col("path"), exclude)).drop("relative")
 
 
 def read_files(
@@ -66,18 +58,20 @@ def read_files(
     exclude: Iterable[str] = DEFAULT_EXCLUDES,
     up_to_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """``path, content`` of the files in scope that are not above ``up_to_bytes``."""
-    return (
+    """``path, content`` of the files in scope that are not above ``up_to_bytes``.
+
+    Files that Spark's reader passes over are added whatever their size.
+    """
+    ordinary = (
         _reader(spark)
         .format("binaryFile")
         .load(root)
         .filter(F.col("length") <= up_to_bytes)
-        .select(
-            plain_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("content").cast("string").alias("content"),
-        )
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
         .filter(in_scope(F.col("path"), exclude))
     )
+    others = list_tree(spark, root).filter(in_scope(F.col("path"), exclude) & passed_over())
+    return ordinary.unionByName(read_listed(others, root))
 
 
 def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], above_bytes: int) -> DataFrame:

@@ -10,6 +10,12 @@ from flawsieve.plans.reports import findings_text
 FORMATS = ("json", "text", "parquet")
 
 
+def _compact(df: DataFrame) -> DataFrame:
+    """Findings are few beside the text they were found in: gather them from the
+    many tasks of a scan into files of the advised size, splitting large paths."""
+    return df.hint("rebalance", "path")
+
+
 def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part: int = LINES_PER_PART) -> None:
     """Write findings to the folder ``path``.
 
@@ -22,7 +28,7 @@ def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part:
         lines = findings_text(log, lines_per_part)
         lines.select(F.concat_ws("\n", "path", "text").alias("value")).write.mode("overwrite").text(path)
     else:
-        log.filter(is_finding()).drop("n_lines").write.format(fmt).mode("overwrite").save(path)
+        _compact(log.filter(is_finding()).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
 
 
 def write_run(log: DataFrame, store: str, run_id: int) -> None:
@@ -33,7 +39,7 @@ def write_run(log: DataFrame, store: str, run_id: int) -> None:
     """
     spark = log.sparkSession
     folder = f"{store}/log/run_id={run_id}"
-    log.write.mode("overwrite").parquet(folder)
+    _compact(log).write.mode("overwrite").parquet(folder)
     stored = spark.read.schema(log.schema).parquet(folder)
     stored.agg(
         F.lit(run_id).cast("bigint").alias("run_id"),

@@ -70,5 +70,5 @@ def current_findings(log: DataFrame) -> DataFrame:
         log.filter(F.col("rule_ord") != FILE_MARKER)
         .drop("n_lines")
         .join(latest, ["path", *VERSION], "left_semi")
-        .dropDuplicates(["path", *VERSION, "line", "rule_ord"])
+        .distinct()
     )

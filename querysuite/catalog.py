@@ -8,7 +8,7 @@ from flawsieve.functions.paths import extension, language, rule_set
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
 from flawsieve.operators.lines import explode_lines
 from flawsieve.plans import reports
-from flawsieve.plans.scan import findings, scan_log, scan_table
+from flawsieve.plans.scan import scan_log, scan_table
 from flawsieve.rules import HEURISTIC_PATH, HEURISTIC_SECRET, HEURISTIC_SQL, HEURISTIC_XSS, RULE_SETS, Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES, supported_files
 from flawsieve.sources.store import last_run_of
@@ -181,8 +181,7 @@ def scan_status(spark, sf_dir):
 
 def last_run_report(spark, sf_dir):
     files = code_corpus(spark, sf_dir).withColumn("run_id", F.col("file_id") % 3)
-    last = last_run_of(scan_log(files, keep=["run_id"]))
-    return reports.severity_by_file(findings(last))
+    return reports.severity_by_file(scan_table(last_run_of(files)))
 
 
 def current(spark, sf_dir):
