@@ -6,12 +6,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flawsieve.functions.paths import in_node_modules, is_supported, matches_any_glob, plain_path
+from flawsieve.functions.paths import in_node_modules, is_supported, matches_any_glob, plain_path, relative_to
 from flawsieve.operators.lines import with_language
 from flawsieve.operators.match import FILE_MARKER, match_rules
 from flawsieve.plans.scan import scan_log
 from flawsieve.rules import EXTENSION_LANGUAGE, Rule, load_rules
-from flawsieve.sources.tree import list_tree, passed_over, read_listed
+from flawsieve.sources.tree import list_tree, passed_over, plain_root, qualified, read_listed
 
 # Fixed value: the exclusions a workspace starts with.
 DEFAULT_EXCLUDES = ("**/test/**", "**/tests/**", "**/__pycache__/**")
@@ -29,10 +29,18 @@ SUPPORTED_GLOB = "*{" + ",".join("".join(map(_any_case, e)) for e in EXTENSION_L
 
 
 def in_scope(path: Column, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> Column:
-    """A supported extension, outside node_modules and the excluded globs."""
+    """A supported extension, outside node_modules and the excluded globs.
+
+    Folders above the scanned root are none of its business, so below a root
+    this takes paths relative to it.
+    """
     return is_supported(path) & ~in_node_modules(path) & ~matches_any_glob(path, exclude)
 
 
+def _in_scope_below(root: str, path: Column, exclude: Iterable[str]) -> Column:
+    return in_scope(relative_to(path, plain_root(root) or "/"), exclude)
+
+
 def supported_files(files: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """The distinct paths in scope of any table with a ``path``."""
     return files.select("path").filter(in_scope(F.col("path"), exclude)).distinct()
@@ -49,7 +57,7 @@ def _reader(spark: SparkSession):
 
 def list_files(spark: SparkSession, root: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> DataFrame:
     """``path, length`` of the files in scope below ``root``; contents stay unread."""
-    return list_tree(spark, root).filter(in_scope(F.col("path"), exclude)).drop("relative")
+    return list_tree(spark, root).filter(in_scope(F.col("relative"), exclude)).drop("relative")
 
 
 def read_files(
@@ -62,15 +70,16 @@ def read_files(
 
     Files that Spark's reader passes over are added whatever their size.
     """
+    root = qualified(spark, root)
     ordinary = (
         _reader(spark)
         .format("binaryFile")
         .load(root)
         .filter(F.col("length") <= up_to_bytes)
         .select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
-        .filter(in_scope(F.col("path"), exclude))
+        .filter(_in_scope_below(root, F.col("path"), exclude))
     )
-    others = list_tree(spark, root).filter(in_scope(F.col("path"), exclude) & passed_over())
+    others = list_tree(spark, root).filter(in_scope(F.col("relative"), exclude) & passed_over())
     return ordinary.unionByName(read_listed(others, root))
 
 
@@ -94,7 +103,7 @@ def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], ab
             meta["file_size"].alias("_size"),
             meta["file_block_start"].alias("_block"),
         )
-        .filter(in_scope(plain_path(F.col("_file")), exclude))
+        .filter(_in_scope_below(root, plain_path(F.col("_file")), exclude))
     )
     # Escaping leaves the supported extensions as they are, so the language can
     # be told from the URI, and the URI be resolved for findings only.
@@ -176,6 +185,7 @@ def scan_path(
     """The scan log of all files in scope below ``root``, whatever their size."""
     rules = load_rules(rules)
     exclude = tuple(exclude)
+    root = qualified(spark, root)
     small = scan_log(read_files(spark, root, exclude, whole_file_bytes), rules=rules)
     return small.unionByName(_scan_large_files(spark, root, exclude, whole_file_bytes, rules))
 

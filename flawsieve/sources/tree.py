@@ -24,16 +24,23 @@ _FOLDER_PASSED_OVER = r"(?:_(?!common_metadata|metadata)[^/=]*|\.[^/]*|[^/]*\._C
 _FILE_PASSED_OVER = r"(?:_[^/=]*|\.[^/]*|[^/]*\._COPYING_)"
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark understands it: absolute, and with its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def plain_root(root: str) -> str:
+    """A qualified root without file system and final slash."""
+    return re.sub(r"\A[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "", root).rstrip("/")
+
+
 def _open(root: str) -> tuple[fs.FileSystem, str]:
-    """The file system of ``root`` and the path of ``root`` in it."""
-    root = re.sub(r"^s3[an]:", "s3:", root)
-    if "://" not in root and not root.startswith("file:"):
-        return fs.LocalFileSystem(), root.rstrip("/") or "/"
-    root = re.sub(r"^file:/+", "/", root)
-    if root.startswith("/"):
-        return fs.LocalFileSystem(), root.rstrip("/") or "/"
-    system, path = fs.FileSystem.from_uri(root)
-    return system, path.rstrip("/")
+    """The file system of a qualified root, and the name of the root in it."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), plain_root(root) or "/"
+    system, base = fs.FileSystem.from_uri(re.sub(r"\As3[an]:", "s3:", root))
+    return system, base.rstrip("/")
 
 
 def _children(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
@@ -51,12 +58,13 @@ def _starting_folders(system: fs.FileSystem, base: str) -> list[tuple[str, bool]
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """``path, length, relative`` of every file below ``root``, hidden ones too."""
+    root = qualified(spark, root)
     system, base = _open(root)
     folders = _starting_folders(system, base)
     start = spark.createDataFrame(folders, "folder string, whole boolean").repartition(
         max(1, min(len(folders), FOLDERS_TO_START_FROM)), "folder"
     )
-    prefix = base.rstrip("/") + "/"
+    above = len(base.rstrip("/")) + 1
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = _open(root)
@@ -65,15 +73,14 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
                 pending = [folder]
                 while pending:
                     children = _children(system, pending.pop())
-                    files = [(c.path, c.size) for c in children if c.type == fs.FileType.File]
+                    files = [(c.path[above:], c.size) for c in children if c.type == fs.FileType.File]
                     if files:
-                        yield pd.DataFrame(files, columns=["path", "length"])
+                        yield pd.DataFrame(files, columns=["relative", "length"])
                     if whole:
                         pending += [c.path for c in children if c.type == fs.FileType.Directory]
 
-    return start.mapInPandas(walk, "path string, length bigint").withColumn(
-        "relative", F.substr("path", F.lit(len(prefix) + 1))
-    )
+    path = F.concat(F.lit(plain_root(root) + "/"), F.col("relative")).alias("path")
+    return start.mapInPandas(walk, "relative string, length bigint").select(path, "length", "relative")
 
 
 def passed_over() -> Column:
@@ -83,21 +90,22 @@ def passed_over() -> Column:
 
 
 def read_listed(listing: DataFrame, root: str) -> DataFrame:
-    """``path, content`` of the files of a listing, one at a time per task.
+    """``path, content`` of the files of a listing of ``root``, one at a time per task.
 
     A file that cannot be read is left out, as Spark's readers are told to do.
     The files are spread by path, for a listing task may have found many.
     """
+    root = qualified(listing.sparkSession, root)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = _open(root)
+        system, base = _open(root)
         for batch in batches:
-            for path in batch["path"]:
+            for path, relative in zip(batch["path"], batch["relative"]):
                 try:
-                    with system.open_input_stream(path) as stream:
+                    with system.open_input_stream(f"{base}/{relative}") as stream:
                         content = stream.read()
                 except OSError:
                     continue
                 yield pd.DataFrame({"path": [path], "content": [content]})
 
-    return listing.select("path").repartition("path").mapInPandas(read, "path string, content binary")
+    return listing.select("path", "relative").repartition("path").mapInPandas(read, "path string, content binary")

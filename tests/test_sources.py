@@ -38,7 +38,7 @@ OUT_OF_SCOPE = {"node_modules/m/i.js", "notes.txt", "py"}
 
 @pytest.fixture()
 def tree(folder):
-    root = os.path.join(folder, "tree")
+    root = os.path.join(folder, "node_modules", "test", "a tree")
     for name, content in FILES.items():
         path = os.path.join(root, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
