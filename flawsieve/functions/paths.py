@@ -1,12 +1,11 @@
-"""Column functions on file paths: extension, language, rule set, exclusion."""
+"""SQL text for tests on file paths: extension, language, rule set, exclusion."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterable
 
+from flawsieve.functions.text import any_of, quoted
 from flawsieve.rules import (
     EXTENSION_LANGUAGE,
     FALLBACK_RULE_SET,
@@ -15,39 +14,33 @@ from flawsieve.rules import (
 )
 
 
-def _case(key: Column, mapping: dict[str, str], default: str) -> Column:
-    """``mapping[key]`` as one CASE, keys of equal value sharing a branch."""
-    keys_of: dict[str, list[str]] = {}
-    for k, v in mapping.items():
-        keys_of.setdefault(v, []).append(k)
-    branches = iter(keys_of.items())
-    value, keys = next(branches)
-    expr = F.when(key.isin(keys), value)
-    for value, keys in branches:
-        expr = expr.when(key.isin(keys), value)
-    return expr.otherwise(default)
+def _choice(key: str, mapping: dict[str, str], default: str) -> str:
+    """``mapping[key]`` as a CASE."""
+    branches = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in mapping.items())
+    return f"CASE {key} {branches} ELSE {quoted(default)} END"
 
 
-def extension(path: Column) -> Column:
+def extension(path: str) -> str:
     """Lower-cased text from the last dot of the last path segment, or ''."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1))
+    dotted = quoted(r"(\.[^./]*)\z")
+    return f"lower(regexp_extract({path}, {dotted}, 1))"
 
 
-def language(path: Column) -> Column:
-    return _case(extension(path), EXTENSION_LANGUAGE, UNKNOWN_LANGUAGE)
+def language(path: str) -> str:
+    return _choice(extension(path), EXTENSION_LANGUAGE, UNKNOWN_LANGUAGE)
 
 
-def rule_set(lang: Column) -> Column:
+def rule_set(lang: str) -> str:
     """The rule set for a language; languages without one use the fallback."""
-    return _case(lang, LANGUAGE_RULE_SET, FALLBACK_RULE_SET)
+    return _choice(lang, LANGUAGE_RULE_SET, FALLBACK_RULE_SET)
 
 
-def is_supported(path: Column) -> Column:
-    return extension(path).isin(list(EXTENSION_LANGUAGE))
+def is_supported(path: str) -> str:
+    return f"{extension(path)} IN ({', '.join(map(quoted, EXTENSION_LANGUAGE))})"
 
 
-def in_node_modules(path: Column) -> Column:
-    return path.rlike(r"(^|/)node_modules/")
+def in_node_modules(path: str) -> str:
+    return f"{path} RLIKE '(^|/)node_modules/'"
 
 
 def glob_regex(glob: str) -> str:
@@ -90,20 +83,18 @@ def glob_regex(glob: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
-def matches_any_glob(path: Column, globs) -> Column:
+def matches_any_glob(path: str, globs: Iterable[str]) -> str:
     """True where one of the globs covers ``path``, taken without a leading /."""
-    relative = F.ltrim(path, F.lit("/"))
-    tests = [relative.rlike(glob_regex(glob)) for glob in globs]
-    return reduce(Column.__or__, tests) if tests else F.lit(False)
+    return any_of(f"trim(LEADING '/' FROM {path}) RLIKE {quoted(glob_regex(glob))}" for glob in globs)
 
 
-def relative_to(path: Column, root: str) -> Column:
+def relative_to(path: str, root: str) -> str:
     """``path`` without the ``root`` prefix; paths outside it stay whole."""
     prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+    return f"if(startswith({path}, {quoted(prefix)}), substr({path}, {len(prefix) + 1}), {path})"
 
 
-def plain_path(uri: Column) -> Column:
+def plain_path(uri: str) -> str:
     """A file URI as a path: percent escapes resolved, scheme and host dropped."""
-    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, r"\A[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
+    scheme = quoted(r"\A[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?")
+    return f"regexp_replace(url_decode(replace({uri}, '+', '%2B')), {scheme}, '')"

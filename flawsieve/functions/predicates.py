@@ -1,12 +1,8 @@
-"""The heuristics, each a boolean column over one line of text."""
+"""SQL text for the heuristics, each a test on one line."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
-
-from flawsieve.functions.text import contains_any, contains_none, trim_space
+from flawsieve.functions.text import any_of, contains_any, quoted, trim_space
 from flawsieve.rules import (
     SECRET_FORMATS,
     SECRET_KEYWORDS,
@@ -29,61 +25,57 @@ SECRET_KEYWORD_REGEX = (
 )
 
 
-def is_comment(trimmed: Column) -> Column:
+def is_comment(trimmed: str) -> str:
     """Only ``#`` opens a comment, whatever the language."""
-    return trimmed.startswith("#")
+    return f"startswith({trimmed}, '#')"
 
 
-def is_sql_injection(line: Column) -> Column:
-    return contains_any(line, ("execute(", "query(")) & contains_any(line, ("+", "%", "format("))
+def is_sql_injection(line: str) -> str:
+    run = contains_any(line, ("execute(", "query("))
+    return f"({run} AND {contains_any(line, ('+', '%', 'format('))})"
 
 
-def is_xss(line: Column) -> Column:
+def is_xss(line: str) -> str:
     return (
-        contains_any(line, ("render_template", "HttpResponse"))
-        & line.contains("request.")
-        & contains_none(line, ("escape(",))
+        f"(contains({line}, 'request.') AND {contains_any(line, ('render_template', 'HttpResponse'))}"
+        f" AND NOT contains({line}, 'escape('))"
     )
 
 
-def is_path_traversal(line: Column) -> Column:
+def is_path_traversal(line: str) -> str:
     return (
-        line.contains("open(")
-        & line.contains("request.")
-        & contains_none(line, ("safe_join", "secure_filename"))
+        f"(contains({line}, 'request.') AND contains({line}, 'open(')"
+        f" AND NOT {contains_any(line, ('safe_join', 'secure_filename'))})"
     )
 
 
-def _assigns_value(line: Column, operator: str) -> Column:
-    """True where the text between the first two operators looks hardcoded."""
-    value = trim_space(F.split_part(line, F.lit(operator), F.lit(2)))
-    return (F.octet_length(value) > SECRET_VALUE_MIN_BYTES) & contains_none(value, SECRET_VALUE_EXCLUSIONS)
-
-
-def has_secret_keyword(line: Column) -> Column:
-    """A keyword in any letter case, including letters that lower to ASCII ones.
+def may_assign_secret(line: str) -> str:
+    """The cheap part of ``is_secret_assignment``: an operator and a keyword.
 
-    One search with a cheap first-letter test, where lower-casing the line
+    One search with a quick first-letter test, where lower-casing the line
     would be repeated for every keyword.
     """
-    return line.rlike(SECRET_KEYWORD_REGEX)
+    return f"({contains_any(line, SECRET_OPERATORS)} AND {line} RLIKE {quoted(SECRET_KEYWORD_REGEX)})"
 
 
-def may_assign_secret(line: Column) -> Column:
-    """The cheap part of ``is_secret_assignment``: an operator and a keyword."""
-    return contains_any(line, SECRET_OPERATORS) & has_secret_keyword(line)
+def _assigns_value(line: str, operator: str) -> str:
+    """True where the text between the first two operators looks hardcoded."""
+    value = trim_space(f"split_part({line}, {quoted(operator)}, 2)")
+    return (
+        f"(octet_length({value}) > {SECRET_VALUE_MIN_BYTES}"
+        f" AND NOT {contains_any(value, SECRET_VALUE_EXCLUSIONS)})"
+    )
 
 
-def is_secret_assignment(line: Column) -> Column:
+def is_secret_assignment(line: str) -> str:
     """A keyword anywhere in the line and a hardcoded value after an operator."""
-    return may_assign_secret(line) & reduce(
-        Column.__or__, [_assigns_value(line, op) for op in SECRET_OPERATORS]
-    )
+    values = any_of(_assigns_value(line, operator) for operator in SECRET_OPERATORS)
+    return f"({may_assign_secret(line)} AND {values})"
 
 
-def is_secret_format(line: Column) -> Column:
+def is_secret_format(line: str) -> str:
     return contains_any(line, SECRET_FORMATS)
 
 
-def is_secret(line: Column) -> Column:
-    return is_secret_format(line) | is_secret_assignment(line)
+def is_secret(line: str) -> str:
+    return f"({is_secret_format(line)} OR {is_secret_assignment(line)})"

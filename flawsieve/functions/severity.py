@@ -1,38 +1,31 @@
-"""Column functions on severities and confidence scores."""
+"""SQL text on severities, confidence scores and counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from flawsieve.functions.text import quoted
 
 
-def severity_rank(severity: Column) -> Column:
-    return F.when(severity == "High", 3).when(severity == "Medium", 2).when(severity == "Low", 1).otherwise(0)
+def severity_rank(severity: str) -> str:
+    return f"CASE {severity} WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
 
 
-def confidence_band(score: Column) -> Column:
+def confidence_band(score: str) -> str:
     """High above 0.8, Medium above 0.6, else Low; a bound belongs below."""
-    return F.when(score > F.lit(0.8), "High").when(score > F.lit(0.6), "Medium").otherwise("Low")
+    return f"CASE WHEN {score} > 0.8D THEN 'High' WHEN {score} > 0.6D THEN 'Medium' ELSE 'Low' END"
 
 
-def issue_text(description: Column, score: Column) -> Column:
-    return F.concat(description, F.lit(" ("), confidence_band(score), F.lit(" confidence)"))
+def issue_text(description: str, score: str) -> str:
+    return f"concat({description}, ' (', {confidence_band(score)}, ' confidence)')"
 
 
-def diagnostic_level(severity: Column) -> Column:
-    return (
-        F.when(severity == "High", "Error")
-        .when(severity == "Medium", "Warning")
-        .when(severity == "Low", "Information")
-        .otherwise("Warning")
-    )
+def diagnostic_level(severity: str) -> str:
+    return f"CASE {severity} WHEN 'High' THEN 'Error' WHEN 'Low' THEN 'Information' ELSE 'Warning' END"
 
 
-def plural(n: Column, noun: str) -> Column:
+def plural(n: str, noun: str) -> str:
     """``1 noun`` or ``n nouns``."""
-    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+    return f"concat({n}, {quoted(' ' + noun)}, if({n} = 1, '', 's'))"
 
 
-def status_label(n_issues: Column) -> Column:
-    return F.when(n_issues == 0, "Security: Clean").otherwise(
-        F.concat(F.lit("Security: "), plural(n_issues, "issue"))
-    )
+def status_label(n_issues: str) -> str:
+    return f"if({n_issues} = 0, 'Security: Clean', concat('Security: ', {plural(n_issues, 'issue')}))"

@@ -1,10 +1,13 @@
-"""Column functions on text, all of them on bytes as stored, never decoded."""
+"""SQL text for tests on strings, all of them on bytes as stored.
 
-from __future__ import annotations
+The functions of this package take the SQL text of an expression, most often
+the name of a column, and give SQL text.  A scan's condition has well over a
+hundred parts; as text it reaches Spark in one call instead of one per part.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterable
 
 # Fixed value: the Unicode White_Space characters.
 WHITE_SPACE = (
@@ -15,22 +18,26 @@ WHITE_SPACE = (
 ASCII_WHITE_SPACE = "\t\n\v\f\r "
 
 
-def trim_space(text: Column) -> Column:
+def quoted(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def trim_space(text: str) -> str:
     """Strip Unicode white space from both ends.
 
     ``btrim`` compares bytes, so in text that is not UTF-8 a stray byte could
     pass for part of a longer space character; there only ASCII is stripped.
     """
-    spaces = F.when(F.is_valid_utf8(text), WHITE_SPACE).otherwise(ASCII_WHITE_SPACE)
-    return F.btrim(text, spaces)
+    spaces = f"if(is_valid_utf8({text}), {quoted(WHITE_SPACE)}, {quoted(ASCII_WHITE_SPACE)})"
+    return f"btrim({text}, {spaces})"
 
 
-def contains_any(text: Column, needles) -> Column:
-    """True where ``text`` holds at least one of the literal ``needles``."""
-    tests = [text.contains(F.lit(needle)) for needle in needles]
-    return reduce(Column.__or__, tests) if tests else F.lit(False)
+def any_of(tests: Iterable[str]) -> str:
+    """True where one of the tests is; false if there are none."""
+    return "(" + (" OR ".join(tests) or "false") + ")"
 
 
-def contains_none(text: Column, needles) -> Column:
-    """True where ``text`` holds none of the literal ``needles``."""
-    return ~contains_any(text, needles)
+def contains_any(text: str, needles: Iterable[str]) -> str:
+    """True where ``text`` holds at least one of the literal ``needles``."""
+    return any_of(f"contains({text}, {quoted(needle)})" for needle in needles)

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from flawsieve.functions.paths import language, rule_set
 from flawsieve.functions.text import trim_space
 
 
-def with_language(files: DataFrame, path_col: str = "path") -> DataFrame:
+def with_language(files: DataFrame, path: str = "path") -> DataFrame:
     """Add ``language`` and ``rule_set``, both read off the path."""
-    return files.withColumn("language", language(F.col(path_col))).withColumn(
-        "rule_set", rule_set(F.col("language"))
+    return files.selectExpr("*", f"{language(path)} AS language").selectExpr(
+        "*", f"{rule_set('language')} AS rule_set"
     )
 
 
-def line_count(text: Column) -> Column:
+def line_count(text: str) -> str:
     """Line feeds plus one: text ending in a line feed ends in an empty line."""
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return f"octet_length({text}) - octet_length(replace({text}, '\\n', '')) + 1L"
 
 
 def split_lines(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -31,41 +31,40 @@ def split_lines(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     bytes.  ``posexplode`` takes ``split`` itself rather than a column holding
     its result, or Spark would add a filter on the array's size and split twice.
     """
-    latin1 = ~F.is_valid_utf8("content")
-    splittable = F.when(F.col("latin1"), F.decode(F.col("content").cast("binary"), "ISO-8859-1")).otherwise(
-        F.col("content")
-    )
+    splittable = "if(latin1, decode(CAST(content AS BINARY), 'ISO-8859-1'), content)"
     return (
         with_language(files)
-        .select(
+        .selectExpr(
             "path",
             "language",
             "rule_set",
             *keep,
             "content",
-            line_count(F.col("content")).cast("bigint").alias("n_lines"),
-            latin1.alias("latin1"),
+            f"{line_count('content')} AS n_lines",
+            "NOT is_valid_utf8(content) AS latin1",
         )
-        .select(
+        .selectExpr(
             "path",
             "language",
             "rule_set",
             *keep,
             "n_lines",
             "latin1",
-            F.posexplode(F.split(splittable, "\n", -1)).alias("_pos", "raw"),
+            f"posexplode(split({splittable}, '\\n', -1)) AS (_pos, raw)",
         )
-        .withColumn("line", F.col("_pos") + 1)
-        .drop("_pos")
+        .selectExpr("* EXCEPT (_pos)", "_pos + 1 AS line")
     )
 
 
-def line_text(raw: Column, latin1: Column) -> Column:
+def line_text(raw: str, latin1: str) -> str:
     """The line as the bytes it has in the file."""
-    return F.when(latin1, F.encode(raw, "ISO-8859-1").cast("string")).otherwise(raw)
+    return f"if({latin1}, CAST(encode({raw}, 'ISO-8859-1') AS STRING), {raw})"
 
 
 def explode_lines(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``path, language, rule_set, line, text`` with ``text`` trimmed."""
-    text = trim_space(line_text(F.col("raw"), F.col("latin1")))
-    return split_lines(files, keep).select("path", "language", "rule_set", *keep, "line", text.alias("text"))
+    return (
+        split_lines(files, keep)
+        .selectExpr("*", f"{line_text('raw', 'latin1')} AS text")
+        .selectExpr("path", "language", "rule_set", *keep, "line", f"{trim_space('text')} AS text")
+    )

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flawsieve.functions.predicates import (
     is_comment,
@@ -19,7 +18,7 @@ from flawsieve.functions.predicates import (
     may_assign_secret,
 )
 from flawsieve.functions.severity import confidence_band, issue_text
-from flawsieve.functions.text import contains_any, trim_space
+from flawsieve.functions.text import any_of, contains_any, quoted, trim_space
 from flawsieve.operators.lines import line_text
 from flawsieve.rules import (
     HEURISTIC_PATH,
@@ -91,39 +90,40 @@ def detectors(spark: SparkSession, rules: Sequence[Rule], markers: bool = False)
             rows.append((name, FILE_MARKER, "marker", None, None, None, None, None))
     columns = [pa.array(column, field.type) for column, field in zip(zip(*rows), _DETECTOR_SCHEMA)]
     table = spark.createDataFrame(pa.Table.from_arrays(columns, schema=_DETECTOR_SCHEMA))
-    scored = F.col("score").isNotNull()
-    return table.select(
+    return table.selectExpr(
         "rule_set",
         "rule_ord",
         "flag",
         "pattern",
         "earlier",
         "severity",
-        F.when(scored, issue_text(F.col("description"), F.col("score")))
-        .otherwise(F.col("description"))
-        .alias("issue"),
-        F.when(scored, confidence_band(F.col("score"))).alias("confidence"),
+        f"if(score IS NULL, description, {issue_text('description', 'score')}) AS issue",
+        f"if(score IS NULL, NULL, {confidence_band('score')}) AS confidence",
     )
 
 
-def _may_match(raw: Column, rules: Sequence[Rule]) -> Column:
+def _may_match(raw: str, rules: Sequence[Rule]) -> str:
     """True where a rule of the line's own rule set, or a heuristic, could fire.
 
     Literals are looked for in the untrimmed line: a pattern may rest on space
     that trimming removes, so a match here is necessary, not sufficient.
     """
-    heuristics = (
-        is_secret_format(raw) | may_assign_secret(raw) | is_sql_injection(raw) | is_xss(raw) | is_path_traversal(raw)
-    )
-    patterns: dict[str, list[str]] = {name: [] for name in RULE_SETS}
-    for rule in rules:
-        patterns[rule.rule_set].append(rule.pattern)
     if len(rules) > PREFILTER_PATTERNS:
-        return F.lit(True)
-    literals = F.lit(False)
-    for name, needles in patterns.items():
-        literals = F.when(F.col("rule_set") == name, contains_any(raw, needles)).otherwise(literals)
-    return literals | heuristics
+        return "true"
+    literals = " ".join(
+        f"WHEN {quoted(name)} THEN {contains_any(raw, (r.pattern for r in rules if r.rule_set == name))}"
+        for name in RULE_SETS
+    )
+    return any_of(
+        [
+            f"CASE rule_set {literals} ELSE false END",
+            is_secret_format(raw),
+            may_assign_secret(raw),
+            is_sql_injection(raw),
+            is_xss(raw),
+            is_path_traversal(raw),
+        ]
+    )
 
 
 def match_rules(
@@ -143,40 +143,38 @@ def match_rules(
     what they would have found is kept and marked ``in_comment``, for a caller
     who cannot yet tell whether the line really starts where it seems to.
     """
-    raw, text = F.col("raw"), F.col("_text")
-    candidate = _may_match(raw, rules) | F.col("latin1")
+    tests = [_may_match("raw", rules), "latin1"]
     if markers:
-        candidate = (F.col("line") == 1) | candidate
+        tests.append("line = 1")
     candidates = (
-        lines.filter(candidate)
-        .withColumn("_text", trim_space(line_text(raw, F.col("latin1"))))
-        .withColumns({name: test(text) for name, (_, test) in HEURISTICS.items()})
+        lines.filter(any_of(tests))
+        .selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
+        .selectExpr("*", f"{trim_space('_untrimmed')} AS _text")
+        .selectExpr("*", *(f"{test('_text')} AS {flag}" for flag, (_, test) in HEURISTICS.items()))
     )
 
-    rule_side = detectors(lines.sparkSession, rules, markers).withColumnRenamed("rule_set", "_rule_set")
-    fires = text.contains(F.col("pattern"))
+    fires = "contains(_text, pattern)"
     if not flag_comments:
-        fires = fires & ~is_comment(text)
+        fires += f" AND NOT {is_comment('_text')}"
     if any(_earlier_twins(rules).values()):
         # Of rules that report the same text on a line, the first one counts.
-        fires = fires & ~F.exists(
-            F.coalesce(F.col("earlier"), F.array().cast("array<string>")), text.contains
-        )
-    hit = F.when(F.col("flag").isNull(), fires)
-    for name in HEURISTICS:
-        hit = hit.when(F.col("flag") == name, F.col(name))
-    hit = hit.when(F.col("flag") == "marker", F.col("line") == 1).otherwise(False)
-
-    joined = candidates.join(F.broadcast(rule_side), (F.col("rule_set") == F.col("_rule_set")) & hit)
-    is_marker = F.col("rule_ord") == FILE_MARKER
-    return joined.select(
+        fires += " AND NOT exists(coalesce(earlier, array()), p -> contains(_text, p))"
+    flags = " ".join(f"WHEN {quoted(flag)} THEN {flag}" for flag in HEURISTICS)
+    hit = f"CASE WHEN flag IS NULL THEN {fires} ELSE CASE flag {flags} WHEN 'marker' THEN line = 1 END END"
+
+    rule_side = detectors(lines.sparkSession, rules, markers).withColumnRenamed("rule_set", "_rule_set")
+    joined = candidates.join(F.broadcast(rule_side), F.expr(f"rule_set = _rule_set AND {hit}"))
+    columns = [
         *keep,
         "language",
-        F.when(is_marker, 0).otherwise(F.col("line")).alias("line"),
+        f"if(rule_ord = {FILE_MARKER}, 0, line) AS line",
         "rule_ord",
         "issue",
         "severity",
         "confidence",
-        *([F.when(is_marker, F.col("n_lines")).alias("n_lines")] if markers else []),
-        *([(F.col("flag").isNull() & is_comment(text)).alias("in_comment")] if flag_comments else []),
-    )
+    ]
+    if markers:
+        columns.append(f"if(rule_ord = {FILE_MARKER}, n_lines, NULL) AS n_lines")
+    if flag_comments:
+        columns.append(f"flag IS NULL AND {is_comment('_text')} AS in_comment")
+    return joined.selectExpr(*columns)

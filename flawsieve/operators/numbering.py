@@ -8,25 +8,22 @@ the file) comes from a small table of counts, one row per part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flawsieve.operators.match import FILE_MARKER
 from flawsieve.rules import SEVERITIES
 
 LINES_PER_PART = 20_000
 
+IS_FINDING = f"rule_ord <> {FILE_MARKER}"
 TOTALS = ("n_issues", *(s.lower() for s in SEVERITIES))
 
 
-def is_finding():
-    return F.col("rule_ord") != FILE_MARKER
-
-
-def severity_counts():
+def severity_counts() -> list[Column]:
     """Aggregates for ``TOTALS``, all in one pass and combined map-side."""
     return [
-        F.count_if(is_finding()).alias("n_issues"),
-        *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES),
+        F.expr(f"count_if({IS_FINDING}) AS n_issues"),
+        *(F.expr(f"count_if(severity = '{s}') AS {s.lower()}") for s in SEVERITIES),
     ]
 
 
@@ -37,28 +34,21 @@ def number_findings(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> Dat
     marks the first part with findings.  ``log`` is read twice, so at scale pass
     a stored log rather than a scan.
     """
-    parted = log.withColumn(
-        "part", F.expr(f"greatest(line - 1, 0) div {lines_per_part}")
-    )
-    file = Window.partitionBy("path")
-    earlier = file.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parted = log.selectExpr("*", f"greatest(line - 1, 0) div {lines_per_part} AS part")
     totals = (
         parted.groupBy("path", "part")
         .agg(*severity_counts())
-        .select(
+        .selectExpr(
             "path",
             "part",
-            F.coalesce(F.sum("n_issues").over(earlier), F.lit(0)).alias("_before"),
-            (F.col("part") == F.min(F.when(F.col("n_issues") > 0, F.col("part"))).over(file)).alias("opens"),
-            *(F.sum(name).over(file).alias(name) for name in TOTALS),
+            """coalesce(sum(n_issues) OVER (PARTITION BY path ORDER BY part
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before""",
+            "part = min(if(n_issues > 0, part, NULL)) OVER (PARTITION BY path) AS opens",
+            *(f"sum({name}) OVER (PARTITION BY path) AS {name}" for name in TOTALS),
         )
     )
-    within = Window.partitionBy("path", "part").orderBy("line", "rule_ord").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    n = F.col("_before") + F.sum(F.when(is_finding(), 1).otherwise(0)).over(within)
-    return (
-        parted.join(totals, ["path", "part"])
-        .withColumn("n", F.when(is_finding(), n))
-        .drop("_before")
+    n = f"""_before + count_if({IS_FINDING}) OVER (PARTITION BY path, part ORDER BY line, rule_ord
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    return parted.join(totals, ["path", "part"]).selectExpr(
+        "* EXCEPT (_before)", f"if({IS_FINDING}, {n}, NULL) AS n"
     )

@@ -7,14 +7,15 @@ are expected to be unique per scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flawsieve.functions.paths import relative_to
 from flawsieve.functions.severity import diagnostic_level, plural, severity_rank, status_label as label_of
+from flawsieve.functions.text import quoted
 from flawsieve.operators.numbering import (
+    IS_FINDING,
     LINES_PER_PART,
     TOTALS,
-    is_finding,
     number_findings,
     severity_counts,
 )
@@ -33,18 +34,18 @@ REPORT_TITLE = "AI Security Analysis Report\n============================\n"
 def min_severity(log: DataFrame, minimum: str = DEFAULT_MIN_SEVERITY) -> DataFrame:
     """Findings of at least this severity; an unknown minimum means Medium."""
     least = {"High": 3, "Medium": 2, "Low": 1}.get(minimum, 2)
-    return log.filter((severity_rank(F.col("severity")) >= least) | ~is_finding())
+    return log.filter(f"{severity_rank('severity')} >= {least} OR NOT {IS_FINDING}")
 
 
 def diagnostics(findings: DataFrame) -> DataFrame:
     """One editor-style diagnostic per finding, lines counted from 0."""
-    return findings.filter(is_finding()).select(
+    return findings.filter(IS_FINDING).selectExpr(
         "path",
-        F.greatest(F.col("line") - 1, F.lit(0)).alias("line0"),
-        diagnostic_level(F.col("severity")).alias("level"),
-        F.col("issue").alias("message"),
-        F.lower("severity").alias("code"),
-        F.lit(DIAGNOSTIC_SOURCE).alias("source"),
+        "greatest(line - 1, 0) AS line0",
+        f"{diagnostic_level('severity')} AS level",
+        "issue AS message",
+        "lower(severity) AS code",
+        f"{quoted(DIAGNOSTIC_SOURCE)} AS source",
     )
 
 
@@ -55,21 +56,21 @@ def severity_by_file(log: DataFrame) -> DataFrame:
 def scan_status(log: DataFrame) -> DataFrame:
     """Every scanned file with its number of lines and of findings."""
     return log.groupBy("path", "language").agg(
-        F.max("n_lines").alias("n_lines"), F.count_if(is_finding()).alias("n_issues")
+        F.max("n_lines").alias("n_lines"), F.expr(f"count_if({IS_FINDING}) AS n_issues")
     )
 
 
 def severity_summary(log: DataFrame) -> DataFrame:
     """Totals over all files; ``n_files`` counts those with findings."""
     return severity_by_file(log).agg(
-        F.count_if(F.col("n_issues") > 0).alias("n_files"),
-        *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in TOTALS),
+        F.expr("count_if(n_issues > 0) AS n_files"),
+        *(F.expr(f"coalesce(sum({name}), 0) AS {name}") for name in TOTALS),
     )
 
 
 def status_label(log: DataFrame) -> DataFrame:
-    return log.agg(F.count_if(is_finding()).alias("n_issues")).select(
-        "n_issues", label_of(F.col("n_issues")).alias("label")
+    return log.agg(F.expr(f"count_if({IS_FINDING}) AS n_issues")).selectExpr(
+        "n_issues", f"{label_of('n_issues')} AS label"
     )
 
 
@@ -80,7 +81,7 @@ def ordered_findings(findings: DataFrame, lines_per_part: int = LINES_PER_PART)
     several sorted partitions.
     """
     return (
-        number_findings(findings.filter(is_finding()), lines_per_part)
+        number_findings(findings.filter(IS_FINDING), lines_per_part)
         .drop("part", "opens", *TOTALS)
         .orderBy("path", "line", "rule_ord")
     )
@@ -92,39 +93,40 @@ def report_by_file(findings: DataFrame, root: str = "/", lines_per_part: int = L
     ``issues`` is the ordered array of ``(line, issue, severity)``.  A file of
     more than ``lines_per_part`` lines has one row per part that has findings.
     """
-    numbered = number_findings(findings.filter(is_finding()), lines_per_part)
-    grouped = numbered.groupBy("path", "part", "n_issues").agg(
-        F.array_sort(F.collect_list(F.struct("n", "line", "issue", "severity"))).alias("_issues")
-    )
-    name = relative_to(F.col("path"), root)
-    return grouped.select(
-        name.alias("fileName"),
-        "part",
-        "n_issues",
-        F.concat(name, F.lit(" ("), plural(F.col("n_issues"), "issue"), F.lit(")")).alias("header"),
-        F.transform("_issues", lambda i: F.struct(i["line"], i["issue"], i["severity"])).alias("issues"),
+    return (
+        number_findings(findings.filter(IS_FINDING), lines_per_part)
+        .groupBy("path", "part", "n_issues")
+        .agg(F.expr("array_sort(collect_list(struct(n, line, issue, severity))) AS _issues"))
+        .selectExpr("*", f"{relative_to('path', root)} AS fileName")
+        .selectExpr(
+            "fileName",
+            "part",
+            "n_issues",
+            f"concat(fileName, ' (', {plural('n_issues', 'issue')}, ')') AS header",
+            "transform(_issues, i -> struct(i.line, i.issue, i.severity)) AS issues",
+        )
     )
 
 
 def report_title(log: DataFrame) -> DataFrame:
     """The report's one-line heading, with the number of files that have findings."""
-    return severity_summary(log).select(
-        F.concat(F.lit("Analysis completed for "), plural(F.col("n_files"), "file")).alias("title")
+    return severity_summary(log).selectExpr(
+        f"concat('Analysis completed for ', {plural('n_files', 'file')}) AS title"
     )
 
 
-def _documents(log: DataFrame, item: Column, separator: str, lines_per_part: int) -> DataFrame:
+def _documents(log: DataFrame, item: str, separator: str, lines_per_part: int) -> DataFrame:
     """``path, part, opens``, ``TOTALS`` and ``body``: a part's items in order.
 
     ``body`` is null for a clean file, and only then: the marker alone makes no
     part of a file that has findings elsewhere.
     """
+    item = f"if({IS_FINDING}, {item}, NULL)"
     return (
         number_findings(log, lines_per_part)
-        .withColumn("_item", F.when(is_finding(), item))
         .groupBy("path", "part", "opens", *TOTALS)
-        .agg(F.expr(f"listagg(_item, '{separator}') WITHIN GROUP (ORDER BY n)").alias("body"))
-        .filter((F.col("n_issues") == 0) | F.col("body").isNotNull())
+        .agg(F.expr(f"listagg({item}, {quoted(separator)}) WITHIN GROUP (ORDER BY n) AS body"))
+        .filter("n_issues = 0 OR body IS NOT NULL")
     )
 
 
@@ -134,30 +136,20 @@ def report_json(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFra
     A clean file gives ``[]``.  The parts of a long file are arrays of their
     own, which joined in order make the file's array.
     """
-    as_object = F.to_json(F.struct(F.col("issue").alias("i")))
-    issue = F.substr(as_object, F.lit(6), F.length(as_object) - 6)
-    item = F.concat(
-        F.lit('  {\n    "line": '),
-        F.col("line").cast("string"),
-        F.lit(',\n    "issue": '),
-        issue,
-        F.lit(',\n    "severity": "'),
-        F.col("severity"),
-        F.lit('"\n  }'),
-    )
-    body = F.col("body")
-    return _documents(log, item, r",\n", lines_per_part).select(
-        "path",
-        "part",
-        F.when(body.isNull(), "[]").otherwise(F.concat(F.lit("[\n"), body, F.lit("\n]"))).alias("json"),
+    # The text as JSON makes it, without the object around it.
+    issue = "regexp_extract(to_json(struct(issue)), '(?s)^.*?:(.*).$', 1)"
+    item = f"""concat('  {{\\n    "line": ', line, ',\\n    "issue": ', {issue},
+                      ',\\n    "severity": "', severity, '"\\n  }}')"""
+    return _documents(log, item, ",\n", lines_per_part).selectExpr(
+        "path", "part", "if(body IS NULL, '[]', concat('[\\n', body, '\\n]')) AS json"
     )
 
 
 def findings_text(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
     """``path, part, text``: numbered findings, one to a line."""
-    item = F.format_string("%d. [Line %d] (%s) %s", "n", "line", "severity", "issue")
-    return _documents(log, item, r"\n", lines_per_part).select(
-        "path", "part", F.coalesce("body", F.lit(NOTHING_FOUND)).alias("text")
+    item = "concat(n, '. [Line ', line, '] (', severity, ') ', issue)"
+    return _documents(log, item, "\n", lines_per_part).selectExpr(
+        "path", "part", f"coalesce(body, {quoted(NOTHING_FOUND)}) AS text"
     )
 
 
@@ -166,25 +158,15 @@ def report_text(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFra
 
     The title and counts open a file's first part.
     """
-    item = F.format_string("%d. Line %d [%s]: %s\n", "n", "line", "severity", "issue")
-    counts = [
-        F.when(
-            F.col(s.lower()) > 0,
-            F.concat(F.lit(f"{s} Severity: "), F.col(s.lower()).cast("string"), F.lit(" issues\n")),
-        ).otherwise("")
-        for s in SEVERITIES
-    ]
-    heading = F.concat(
-        F.lit(REPORT_TITLE),
-        F.lit("Total Issues Found: "),
-        F.col("n_issues").cast("string"),
-        F.lit("\n\n"),
-        *counts,
-        F.lit("\nDetailed Findings:\n"),
+    item = "concat(n, '. Line ', line, ' [', severity, ']: ', issue, '\\n')"
+    counts = ", ".join(
+        f"if({s.lower()} > 0, concat('{s} Severity: ', {s.lower()}, ' issues\\n'), '')" for s in SEVERITIES
     )
-    text = (
-        F.when(F.col("n_issues") == 0, NOTHING_DETECTED)
-        .when(F.col("opens"), F.concat(heading, F.col("body")))
-        .otherwise(F.col("body"))
+    heading = f"""concat({quoted(REPORT_TITLE)}, 'Total Issues Found: ', n_issues, '\\n\\n',
+                         {counts}, '\\nDetailed Findings:\\n')"""
+    return _documents(log, item, "", lines_per_part).selectExpr(
+        "path",
+        "part",
+        f"""CASE WHEN n_issues = 0 THEN {quoted(NOTHING_DETECTED)}
+                 WHEN opens THEN concat({heading}, body) ELSE body END AS text""",
     )
-    return _documents(log, item, "", lines_per_part).select("path", "part", text.alias("text"))

@@ -15,7 +15,7 @@ def as_files(df: DataFrame, path_col: str, text_col: str, keep: Sequence[str] =
     """``path, content`` and ``keep``; rows without a text have nothing to scan."""
     return df.select(
         F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("content"), *keep
-    ).filter(F.col("path").isNotNull() & F.col("content").isNotNull())
+    ).filter("path IS NOT NULL AND content IS NOT NULL")
 
 
 def scan_table(

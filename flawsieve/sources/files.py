@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flawsieve.functions.paths import in_node_modules, is_supported, matches_any_glob, plain_path, relative_to
 from flawsieve.operators.lines import with_language
@@ -28,22 +28,22 @@ def _any_case(ch: str) -> str:
 SUPPORTED_GLOB = "*{" + ",".join("".join(map(_any_case, e)) for e in EXTENSION_LANGUAGE) + "}"
 
 
-def in_scope(path: Column, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> Column:
+def in_scope(path: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> str:
     """A supported extension, outside node_modules and the excluded globs.
 
     Folders above the scanned root are none of its business, so below a root
     this takes paths relative to it.
     """
-    return is_supported(path) & ~in_node_modules(path) & ~matches_any_glob(path, exclude)
+    return f"({is_supported(path)} AND NOT {in_node_modules(path)} AND NOT {matches_any_glob(path, exclude)})"
 
 
-def _in_scope_below(root: str, path: Column, exclude: Iterable[str]) -> Column:
+def _in_scope_below(root: str, path: str, exclude: Iterable[str]) -> str:
     return in_scope(relative_to(path, plain_root(root) or "/"), exclude)
 
 
 def supported_files(files: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """The distinct paths in scope of any table with a ``path``."""
-    return files.select("path").filter(in_scope(F.col("path"), exclude)).distinct()
+    return files.select("path").filter(in_scope("path", exclude)).distinct()
 
 
 def _reader(spark: SparkSession):
@@ -57,7 +57,7 @@ def _reader(spark: SparkSession):
 
 def list_files(spark: SparkSession, root: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> DataFrame:
     """``path, length`` of the files in scope below ``root``; contents stay unread."""
-    return list_tree(spark, root).filter(in_scope(F.col("relative"), exclude)).drop("relative")
+    return list_tree(spark, root).filter(in_scope("relative", exclude)).drop("relative")
 
 
 def read_files(
@@ -76,10 +76,10 @@ def read_files(
         .format("binaryFile")
         .load(root)
         .filter(F.col("length") <= up_to_bytes)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
-        .filter(_in_scope_below(root, F.col("path"), exclude))
+        .selectExpr(f"{plain_path('_metadata.file_path')} AS path", "content")
+        .filter(_in_scope_below(root, "path", exclude))
     )
-    others = list_tree(spark, root).filter(in_scope(F.col("relative"), exclude) & passed_over())
+    others = list_tree(spark, root).filter(f"{in_scope('relative', exclude)} AND {passed_over()}")
     return ordinary.unionByName(read_listed(others, root))
 
 
@@ -90,28 +90,24 @@ def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], ab
     a split ``_id`` rises by one from line to line.  The number of the line is
     not known yet.
     """
-    meta = F.col("_metadata")
     lines = (
         _reader(spark)
         .option("lineSep", "\n")
         .format("text")
         .load(root)
-        .filter(meta["file_size"] > above_bytes)
-        .select(
-            F.col("value").alias("raw"),
-            meta["file_path"].alias("_file"),
-            meta["file_size"].alias("_size"),
-            meta["file_block_start"].alias("_block"),
+        .filter(f"_metadata.file_size > {above_bytes}")
+        .selectExpr(
+            "value AS raw",
+            "_metadata.file_path AS _file",
+            "_metadata.file_size AS _size",
+            "_metadata.file_block_start AS _block",
         )
-        .filter(_in_scope_below(root, plain_path(F.col("_file")), exclude))
+        .filter(_in_scope_below(root, plain_path("_file"), exclude))
     )
     # Escaping leaves the supported extensions as they are, so the language can
     # be told from the URI, and the URI be resolved for findings only.
-    return with_language(lines, "_file").select(
-        "*",
-        F.monotonically_increasing_id().alias("_id"),
-        F.lit(0).alias("line"),
-        F.lit(False).alias("latin1"),
+    return with_language(lines, "_file").selectExpr(
+        "*", "monotonically_increasing_id() AS _id", "0 AS line", "false AS latin1"
     )
 
 
@@ -127,18 +123,17 @@ def _split_offsets(lines: DataFrame) -> DataFrame:
         F.min("_id").alias("_first"),
         F.sum(F.octet_length("raw") + 1).alias("_bytes"),
     )
-    file = Window.partitionBy("_file")
-    in_order = file.orderBy("_block")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    unseen = F.col("_size") - F.sum("_bytes").over(file)
-    return splits.select(
+    file = "OVER (PARTITION BY _file)"
+    in_order = "OVER (PARTITION BY _file ORDER BY _block"
+    unseen = f"_size - sum(_bytes) {file}"
+    return splits.selectExpr(
         "_file",
         "_block",
         "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        (F.sum("_n").over(file) + unseen.isin(0, 3).cast("bigint")).alias("n_lines"),
-        (unseen >= 2).alias("_has_mark"),
-        (F.row_number().over(in_order) == 1).alias("_opens"),
+        f"coalesce(sum(_n) {in_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+        f"sum(_n) {file} + if({unseen} IN (0, 3), 1, 0) AS n_lines",
+        f"{unseen} >= 2 AS _has_mark",
+        f"row_number() {in_order}) = 1 AS _opens",
     )
 
 
@@ -154,22 +149,24 @@ def _scan_large_files(
     lines = _large_file_lines(spark, root, exclude, above_bytes)
     offsets = _split_offsets(lines)
     found = match_rules(lines, rules, ("_file", "_block", "_id"), flag_comments=True).drop("line")
-    path = plain_path(F.col("_file")).alias("path")
-    line = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int")
+    path = f"{plain_path('_file')} AS path"
     # A first line behind a byte order mark does not start with its "#".
     numbered = (
         found.join(offsets, ["_file", "_block"])
-        .withColumn("line", line)
-        .filter(~F.col("in_comment") | ((F.col("line") == 1) & F.col("_has_mark")))
-        .select(path, "language", "line", "rule_ord", "issue", "severity", "confidence")
-        .withColumn("n_lines", F.lit(None).cast("bigint"))
+        .selectExpr("* EXCEPT (n_lines)", "int(_before + _id - _first + 1) AS line")
+        .filter("NOT in_comment OR line = 1 AND _has_mark")
+        .selectExpr(
+            path, "language", "line", "rule_ord", "issue", "severity", "confidence", "CAST(NULL AS BIGINT) AS n_lines"
+        )
     )
-    markers = with_language(offsets.filter("_opens"), "_file").select(
+    markers = with_language(offsets.filter("_opens"), "_file").selectExpr(
         path,
         "language",
-        F.lit(0).alias("line"),
-        F.lit(FILE_MARKER).alias("rule_ord"),
-        *(F.lit(None).cast("string").alias(name) for name in ("issue", "severity", "confidence")),
+        "0 AS line",
+        f"{FILE_MARKER} AS rule_ord",
+        "CAST(NULL AS STRING) AS issue",
+        "CAST(NULL AS STRING) AS severity",
+        "CAST(NULL AS STRING) AS confidence",
         "n_lines",
     )
     return numbered.unionByName(markers)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flawsieve.operators.numbering import LINES_PER_PART, is_finding
+from flawsieve.operators.numbering import IS_FINDING, LINES_PER_PART
 from flawsieve.plans.reports import findings_text
 
 FORMATS = ("json", "text", "parquet")
@@ -28,7 +28,7 @@ def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part:
         lines = findings_text(log, lines_per_part)
         lines.select(F.concat_ws("\n", "path", "text").alias("value")).write.mode("overwrite").text(path)
     else:
-        _compact(log.filter(is_finding()).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
+        _compact(log.filter(IS_FINDING).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
 
 
 def write_run(log: DataFrame, store: str, run_id: int) -> None:
@@ -43,8 +43,8 @@ def write_run(log: DataFrame, store: str, run_id: int) -> None:
     stored = spark.read.schema(log.schema).parquet(folder)
     stored.agg(
         F.lit(run_id).cast("bigint").alias("run_id"),
-        F.count_if(~is_finding()).alias("n_files"),
-        F.count_if(is_finding()).alias("n_issues"),
+        F.expr(f"count_if(NOT {IS_FINDING}) AS n_files"),
+        F.expr(f"count_if({IS_FINDING}) AS n_issues"),
     ).coalesce(1).write.mode("append").parquet(f"{store}/runs")
 
 

@@ -13,7 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from flawsieve.functions.text import quoted
 
 # The driver opens folders, from the root down, until it knows this many; tasks
 # walk what lies below them.
@@ -79,14 +81,14 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
                     if whole:
                         pending += [c.path for c in children if c.type == fs.FileType.Directory]
 
-    path = F.concat(F.lit(plain_root(root) + "/"), F.col("relative")).alias("path")
-    return start.mapInPandas(walk, "relative string, length bigint").select(path, "length", "relative")
+    path = f"concat({quoted(plain_root(root) + '/')}, relative) AS path"
+    return start.mapInPandas(walk, "relative string, length bigint").selectExpr(path, "length", "relative")
 
 
-def passed_over() -> Column:
+def passed_over() -> str:
     """True for listed files that Spark's own readers leave out."""
-    hidden = rf"(?:^|/)(?:{_FOLDER_PASSED_OVER}/|{_FILE_PASSED_OVER}\z)"
-    return (F.col("length") == 0) | F.col("relative").rlike(hidden)
+    hidden = quoted(rf"(?:^|/)(?:{_FOLDER_PASSED_OVER}/|{_FILE_PASSED_OVER}\z)")
+    return f"(length = 0 OR relative RLIKE {hidden})"
 
 
 def read_listed(listing: DataFrame, root: str) -> DataFrame:

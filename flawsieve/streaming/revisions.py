@@ -25,7 +25,7 @@ def scan_revisions(
     revisions: DataFrame, rules: DataFrame | Iterable[Rule] | None = None
 ) -> DataFrame:
     """The scan log of each revision of a supported file, batch or stream alike."""
-    return scan_log(revisions.filter(is_supported(F.col("path"))), rules=rules, keep=VERSION)
+    return scan_log(revisions.filter(is_supported("path")), rules=rules, keep=VERSION)
 
 
 def write_revision_log(

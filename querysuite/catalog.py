@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flawsieve.functions.paths import extension, language, rule_set
+from flawsieve.functions.paths import extension
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
-from flawsieve.operators.lines import explode_lines
+from flawsieve.operators.lines import explode_lines, with_language
 from flawsieve.plans import reports
 from flawsieve.plans.scan import scan_log, scan_table
 from flawsieve.rules import HEURISTIC_PATH, HEURISTIC_SECRET, HEURISTIC_SQL, HEURISTIC_XSS, RULE_SETS, Rule
@@ -60,12 +60,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_language(spark, sf_dir):
-    path = F.col("path")
-    return code_corpus(spark, sf_dir).select(
-        "path",
-        extension(path).alias("ext"),
-        language(path).alias("language"),
-        rule_set(language(path)).alias("rule_set"),
+    return with_language(code_corpus(spark, sf_dir)).selectExpr(
+        "path", f"{extension('path')} AS ext", "language", "rule_set"
     )
 
 
@@ -105,12 +101,12 @@ def heur_secret(spark, sf_dir):
 
 
 def secret_assignment(spark, sf_dir):
-    found = explode_lines(code_corpus(spark, sf_dir)).filter(is_secret_assignment(F.col("text")))
+    found = explode_lines(code_corpus(spark, sf_dir)).filter(is_secret_assignment("text"))
     return _wide(found.select("path", "line", "text"))
 
 
 def secret_format(spark, sf_dir):
-    found = explode_lines(code_corpus(spark, sf_dir)).filter(is_secret_format(F.col("text")))
+    found = explode_lines(code_corpus(spark, sf_dir)).filter(is_secret_format("text"))
     return _wide(found.select("path", "line", "text"))
 
 

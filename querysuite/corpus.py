@@ -6,7 +6,9 @@ integer arithmetic on ``event_id``, so any SQL engine can build the same files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flawsieve.functions.text import quoted
 
 LINES_PER_FILE = 20
 
@@ -89,41 +91,39 @@ CORPUS_EXTENSIONS = (
 _FIRST_CLEAN = 63
 
 
-def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+# One literal per list, and the array a constant of the plan.
+_SNIPPET_ARRAY = f"split({quoted(chr(10).join(SNIPPETS))}, '\\n')"
+_EXTENSION_ARRAY = f"split({quoted(chr(10).join(CORPUS_EXTENSIONS))}, '\\n')"
 
+FILE_ID = f"event_id div {LINES_PER_FILE}"
+_CLEAN = f"{_FIRST_CLEAN} + event_id % 4"
 
-def file_path(file_id: Column) -> Column:
-    directory = (
-        F.when(file_id % 11 == 0, "node_modules/lib/")
-        .when(file_id % 13 == 0, "src/tests/")
-        .when(file_id % 17 == 0, "src/__pycache__/")
-        .otherwise(F.concat(F.lit("src/pkg"), (file_id % 7).cast("string"), F.lit("/")))
-    )
-    return F.concat(
-        F.lit("/repo/"), directory, F.lit("f"), file_id.cast("string"), _pick(CORPUS_EXTENSIONS, file_id % 18)
-    )
+_PATH = f"""concat(
+    '/repo/',
+    CASE WHEN file_id % 11 = 0 THEN 'node_modules/lib/'
+         WHEN file_id % 13 = 0 THEN 'src/tests/'
+         WHEN file_id % 17 = 0 THEN 'src/__pycache__/'
+         ELSE concat('src/pkg', file_id % 7, '/') END,
+    'f', file_id, element_at({_EXTENSION_ARRAY}, int(file_id % 18) + 1))"""
 
 
-def _files(events: DataFrame, snippet: Column) -> DataFrame:
-    line_no = F.col("event_id") % LINES_PER_FILE
-    indent = F.repeat(F.lit(" "), (2 * (line_no % 4)).cast("int"))
-    lines = events.select(
-        F.expr(f"event_id div {LINES_PER_FILE}").alias("file_id"),
+def _files(events: DataFrame, snippet: str) -> DataFrame:
+    lines = events.selectExpr(
+        f"{FILE_ID} AS file_id",
         "ts",
-        line_no.alias("line_no"),
-        F.concat(indent, _pick(SNIPPETS, snippet)).alias("text"),
+        f"event_id % {LINES_PER_FILE} AS line_no",
+        f"""concat(repeat(' ', int(2 * (event_id % {LINES_PER_FILE} % 4))),
+                   element_at({_SNIPPET_ARRAY}, int({snippet}) + 1)) AS text""",
     )
     # Twenty events to a file, so the lists stay short.
     files = lines.groupBy("file_id").agg(
-        F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY line_no)").alias("lf"),
-        F.max("ts").alias("event_time"),
+        F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY line_no) AS lf"),
+        F.expr("max(ts) AS event_time"),
     )
-    file_id = F.col("file_id")
-    return files.select(
+    return files.selectExpr(
         "file_id",
-        file_path(file_id).alias("path"),
-        F.when(file_id % 5 == 0, F.replace("lf", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("lf")).alias("content"),
+        f"{_PATH} AS path",
+        "if(file_id % 5 = 0, replace(lf, '\n', '\r\n'), lf) AS content",
         "event_time",
     )
 
@@ -134,16 +134,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_id, path, content, event_time``, one row per file."""
-    event_id = F.col("event_id")
-    snippet = F.when(F.expr(f"event_id div {LINES_PER_FILE}") % 19 == 3, _FIRST_CLEAN + event_id % 4).otherwise(
-        (event_id * 31 + F.length("event_type")) % len(SNIPPETS)
-    )
-    return _files(_events(spark, sf_dir), snippet)
+    varied = f"(event_id * 31 + length(event_type)) % {len(SNIPPETS)}"
+    return _files(_events(spark, sf_dir), f"if({FILE_ID} % 19 = 3, {_CLEAN}, {varied})")
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file as revision 1; every third again, cleaned up, as revision 2."""
-    first = code_corpus(spark, sf_dir).withColumn("revision", F.lit(1).cast("bigint"))
-    third = _events(spark, sf_dir).filter(F.expr(f"event_id div {LINES_PER_FILE}") % 3 == 0)
-    second = _files(third, _FIRST_CLEAN + F.col("event_id") % 4).withColumn("revision", F.lit(2).cast("bigint"))
-    return first.unionByName(second)
+    first = code_corpus(spark, sf_dir).selectExpr("*", "1L AS revision")
+    third = _events(spark, sf_dir).filter(f"{FILE_ID} % 3 = 0")
+    return first.unionByName(_files(third, _CLEAN).selectExpr("*", "2L AS revision"))

@@ -49,7 +49,7 @@ def test_scan_reads_two_columns(stored):
 
 def test_scan_splits_a_file_once(stored):
     # Spark would add a filter on the size of the split text, splitting it again.
-    assert plan_of(scan_log(stored)).count("split(CASE") == 1
+    assert len(re.findall(r"\bsplit\(", plan_of(scan_log(stored)))) == 1
 
 
 def test_rules_prune_with_the_heuristic_asked_for(stored):

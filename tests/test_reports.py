@@ -4,7 +4,6 @@ import json
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from flawsieve import findings, scan_log
 from flawsieve.functions.severity import plural, status_label
@@ -124,7 +123,7 @@ def test_nothing_found(log):
 
 
 def test_plurals(spark):
-    row = spark.range(1).select(plural(F.lit(1), "issue"), plural(F.lit(2), "issue"), status_label(F.lit(1))).first()
+    row = spark.range(1).selectExpr(plural("1L", "issue"), plural("2L", "issue"), status_label("1L")).first()
     assert tuple(row) == ("1 issue", "2 issues", "Security: 1 issue")
 
 

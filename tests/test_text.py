@@ -15,7 +15,7 @@ from querysuite import oracles
 
 def column(spark, values, expr):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    return [row[0] for row in df.orderBy("i").select(expr(F.col("v"))).collect()]
+    return [row[0] for row in df.orderBy("i").selectExpr(expr("v")).collect()]
 
 
 def test_white_space_is_pythons_without_separators():
