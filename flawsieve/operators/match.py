@@ -102,26 +102,34 @@ def detectors(spark: SparkSession, rules: Sequence[Rule], markers: bool = False)
     )
 
 
+def _literals(raw: str, rules: Sequence[Rule]) -> str:
+    """True where a pattern of the line's own rule set is in the line."""
+    cases = " ".join(
+        f"WHEN {quoted(name)} THEN {contains_any(raw, (r.pattern for r in rules if r.rule_set == name))}"
+        for name in RULE_SETS
+    )
+    return f"CASE rule_set {cases} ELSE false END"
+
+
 def _may_match(raw: str, rules: Sequence[Rule]) -> str:
     """True where a rule of the line's own rule set, or a heuristic, could fire.
 
     Literals are looked for in the untrimmed line: a pattern may rest on space
-    that trimming removes, so a match here is necessary, not sufficient.
+    that trimming removes, so a match here is necessary, not sufficient.  Most
+    patterns are calls, so one search for a parenthesis often spares the rest.
     """
     if len(rules) > PREFILTER_PATTERNS:
         return "true"
-    literals = " ".join(
-        f"WHEN {quoted(name)} THEN {contains_any(raw, (r.pattern for r in rules if r.rule_set == name))}"
-        for name in RULE_SETS
-    )
+    calls = [r for r in rules if "(" in r.pattern]
+    others = [r for r in rules if "(" not in r.pattern]
+    in_call = any_of([_literals(raw, calls), is_sql_injection(raw), is_path_traversal(raw)])
     return any_of(
         [
-            f"CASE rule_set {literals} ELSE false END",
+            f"contains({raw}, '(') AND {in_call}",
+            _literals(raw, others),
+            is_xss(raw),
             is_secret_format(raw),
             may_assign_secret(raw),
-            is_sql_injection(raw),
-            is_xss(raw),
-            is_path_traversal(raw),
         ]
     )
 
