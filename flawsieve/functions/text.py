@@ -23,14 +23,23 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _trim(side: str, text: str) -> str:
+    spaces = f"if(is_valid_utf8({text}), {quoted(WHITE_SPACE)}, {quoted(ASCII_WHITE_SPACE)})"
+    return f"trim({side} {spaces} FROM {text})"
+
+
 def trim_space(text: str) -> str:
     """Strip Unicode white space from both ends.
 
-    ``btrim`` compares bytes, so in text that is not UTF-8 a stray byte could
+    ``trim`` compares bytes, so in text that is not UTF-8 a stray byte could
     pass for part of a longer space character; there only ASCII is stripped.
     """
-    spaces = f"if(is_valid_utf8({text}), {quoted(WHITE_SPACE)}, {quoted(ASCII_WHITE_SPACE)})"
-    return f"btrim({text}, {spaces})"
+    return _trim("BOTH", text)
+
+
+def trim_start(text: str) -> str:
+    """``trim_space`` at the start only, which need not walk the whole text."""
+    return _trim("LEADING", text)
 
 
 def any_of(tests: Iterable[str]) -> str:

@@ -18,7 +18,7 @@ from flawsieve.functions.predicates import (
     may_assign_secret,
 )
 from flawsieve.functions.severity import confidence_band, issue_text
-from flawsieve.functions.text import any_of, contains_any, quoted, trim_space
+from flawsieve.functions.text import WHITE_SPACE, any_of, contains_any, quoted, trim_space, trim_start
 from flawsieve.operators.lines import line_text
 from flawsieve.rules import (
     HEURISTIC_PATH,
@@ -154,10 +154,12 @@ def match_rules(
     tests = [_may_match("raw", rules), "latin1"]
     if markers:
         tests.append("line = 1")
+    # The end of a line matters only to a pattern that ends in space itself.
+    trim = trim_space if any(r.pattern[-1:] in WHITE_SPACE for r in rules) else trim_start
     candidates = (
         lines.filter(any_of(tests))
         .selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
-        .selectExpr("*", f"{trim_space('_untrimmed')} AS _text")
+        .selectExpr("*", f"{trim('_untrimmed')} AS _text")
         .selectExpr("*", *(f"{test('_text')} AS {flag}" for flag, (_, test) in HEURISTICS.items()))
     )
 

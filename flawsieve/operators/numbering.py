@@ -31,8 +31,8 @@ def number_findings(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> Dat
     """Add ``part``, ``opens``, the running number ``n`` in the file, and ``TOTALS``.
 
     Findings count in order of line and rule; markers take no number.  ``opens``
-    marks the first part with findings.  ``log`` is read twice, so at scale pass
-    a stored log rather than a scan.
+    marks the first part with findings.  ``log`` is read twice, so rather than a
+    scan pass a stored log, or ``once`` of one.
     """
     parted = log.selectExpr("*", f"greatest(line - 1, 0) div {lines_per_part} AS part")
     totals = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -61,3 +62,20 @@ def scanned_files(log: DataFrame) -> DataFrame:
     return log.filter(F.col("rule_ord") == FILE_MARKER).drop(
         "line", "rule_ord", "issue", "severity", "confidence"
     )
+
+
+def once(log: DataFrame) -> DataFrame:
+    """``log``, computed now and kept in the checkpoint folder.
+
+    For reports that read their input twice: a log is small beside the text it
+    comes from, so keeping it is cheaper than scanning again, and it outlives
+    lost executors.  The folder is the one ``spark.checkpoint.dir`` names.
+    Without one a local session makes its own, and a cluster scans again.
+    """
+    context = log.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = log.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            return log
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+    return log.checkpoint()

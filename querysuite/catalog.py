@@ -8,7 +8,7 @@ from flawsieve.functions.paths import extension
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
 from flawsieve.operators.lines import explode_lines, with_language
 from flawsieve.plans import reports
-from flawsieve.plans.scan import scan_log, scan_table
+from flawsieve.plans.scan import once, scan_log, scan_table
 from flawsieve.rules import HEURISTIC_PATH, HEURISTIC_SECRET, HEURISTIC_SQL, HEURISTIC_XSS, RULE_SETS, Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES, supported_files
 from flawsieve.sources.store import last_run_of
@@ -127,7 +127,7 @@ def min_severity(spark, sf_dir):
 
 
 def ordered_findings(spark, sf_dir):
-    return _wide(reports.ordered_findings(_findings(spark, sf_dir)))
+    return _wide(reports.ordered_findings(once(_findings(spark, sf_dir))))
 
 
 def diagnostics(spark, sf_dir):
@@ -143,7 +143,7 @@ def severity_by_file(spark, sf_dir):
 
 
 def report_by_file(spark, sf_dir):
-    report = reports.report_by_file(_findings(spark, sf_dir), "/repo")
+    report = reports.report_by_file(once(_findings(spark, sf_dir)), "/repo")
     # One string instead of the array, which the two engines would hash apart.
     issues = F.transform(
         "issues", lambda i: F.concat_ws("|", i["line"].cast("string"), i["severity"], i["issue"])
@@ -152,15 +152,15 @@ def report_by_file(spark, sf_dir):
 
 
 def report_json(spark, sf_dir):
-    return _wide(reports.report_json(_log(spark, sf_dir)))
+    return _wide(reports.report_json(once(_log(spark, sf_dir))))
 
 
 def report_text(spark, sf_dir):
-    return _wide(reports.report_text(_log(spark, sf_dir)))
+    return _wide(reports.report_text(once(_log(spark, sf_dir))))
 
 
 def findings_text(spark, sf_dir):
-    return _wide(reports.findings_text(_log(spark, sf_dir)))
+    return _wide(reports.findings_text(once(_log(spark, sf_dir))))
 
 
 def report_title(spark, sf_dir):
@@ -181,7 +181,7 @@ def last_run_report(spark, sf_dir):
 
 
 def current(spark, sf_dir):
-    log = scan_revisions(revisions(spark, sf_dir))
+    log = once(scan_revisions(revisions(spark, sf_dir)))
     return _wide(current_findings(log))
 
 

@@ -144,7 +144,9 @@ def test_rules_that_report_the_same_text_count_once(scan):
 
 def test_user_rules_meet_the_trimmed_line(scan):
     rules = [Rule("python", 1, " x", "Low", "space", 0.1)]
-    assert scan({"a.py": " x\n a x"}, rules=rules) == [("a.py", 2, 1)]
+    assert scan({"a.py": " x\n a x "}, rules=rules) == [("a.py", 2, 1)]
+    rules.append(Rule("python", 2, "x ", "Low", "space", 0.1))
+    assert scan({"a.py": " x \n x a\n"}, rules=rules) == [("a.py", 2, 2)]
 
 
 def test_user_rules_as_a_table_and_beyond_the_prefilter(spark, scan):
