@@ -7,7 +7,7 @@ are expected to be unique per scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from flawsieve.functions.paths import relative_to
 from flawsieve.functions.severity import diagnostic_level, plural, severity_rank, status_label as label_of
@@ -60,6 +60,19 @@ def scan_status(log: DataFrame) -> DataFrame:
     )
 
 
+def with_progress(log: DataFrame, observation: Observation | str) -> DataFrame:
+    """``log`` that reports ``n_files`` and ``n_issues`` while it is being used.
+
+    Given an ``Observation``, the counts are there when the action ends; given a
+    name, every progress report of a streaming query carries them.
+    """
+    return log.observe(
+        observation,
+        F.expr(f"count_if(NOT {IS_FINDING}) AS n_files"),
+        F.expr(f"count_if({IS_FINDING}) AS n_issues"),
+    )
+
+
 def severity_summary(log: DataFrame) -> DataFrame:
     """Totals over all files; ``n_files`` counts those with findings."""
     return severity_by_file(log).agg(

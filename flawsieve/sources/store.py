@@ -41,15 +41,17 @@ def write_run(log: DataFrame, store: str, run_id: int) -> None:
     folder = f"{store}/log/run_id={run_id}"
     _compact(log).write.mode("overwrite").parquet(folder)
     stored = spark.read.schema(log.schema).parquet(folder)
-    stored.agg(
-        F.lit(run_id).cast("bigint").alias("run_id"),
+    counts = stored.agg(
         F.expr(f"count_if(NOT {IS_FINDING}) AS n_files"),
         F.expr(f"count_if({IS_FINDING}) AS n_issues"),
-    ).coalesce(1).write.mode("append").parquet(f"{store}/runs")
+    )
+    counts.write.mode("overwrite").parquet(f"{store}/runs/run_id={run_id}")
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("run_id bigint, n_files bigint, n_issues bigint").parquet(f"{store}/runs")
+    """``run_id, n_files, n_issues`` of every run."""
+    runs = spark.read.schema("n_files bigint, n_issues bigint, run_id bigint").parquet(f"{store}/runs")
+    return runs.select("run_id", "n_files", "n_issues")
 
 
 def last_run(spark: SparkSession, store: str) -> DataFrame | None:

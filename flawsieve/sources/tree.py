@@ -21,6 +21,9 @@ from flawsieve.functions.text import quoted
 # walk what lies below them.
 FOLDERS_TO_START_FROM = 256
 
+# What Arrow and a row can hold with room to spare.
+LARGEST_READ = 1 << 30
+
 # The folder and file names Spark's listing passes over.
 _FOLDER_PASSED_OVER = r"(?:_(?!common_metadata|metadata)[^/=]*|\.[^/]*|[^/]*\._COPYING_)"
 _FILE_PASSED_OVER = r"(?:_[^/=]*|\.[^/]*|[^/]*\._COPYING_)"
@@ -94,8 +97,9 @@ def passed_over() -> str:
 def read_listed(listing: DataFrame, root: str) -> DataFrame:
     """``path, content`` of the files of a listing of ``root``, one at a time per task.
 
-    A file that cannot be read is left out, as Spark's readers are told to do.
-    The files are spread by path, for a listing task may have found many.
+    A file that cannot be read, or is above ``LARGEST_READ``, is left out, as
+    Spark's readers are told to do; ``unread_files`` tells which.  The files are
+    spread by path, for a listing task may have found many.
     """
     root = qualified(listing.sparkSession, root)
 
@@ -110,4 +114,5 @@ def read_listed(listing: DataFrame, root: str) -> DataFrame:
                     continue
                 yield pd.DataFrame({"path": [path], "content": [content]})
 
-    return listing.select("path", "relative").repartition("path").mapInPandas(read, "path string, content binary")
+    readable = listing.filter(f"length <= {LARGEST_READ}").select("path", "relative")
+    return readable.repartition("path").mapInPandas(read, "path string, content binary")

@@ -8,7 +8,7 @@ from flawsieve.functions.paths import extension
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
 from flawsieve.operators.lines import explode_lines, with_language
 from flawsieve.plans import reports
-from flawsieve.plans.scan import once, scan_log, scan_table
+from flawsieve.plans.scan import findings, once, scan_log, scan_table
 from flawsieve.rules import HEURISTIC_PATH, HEURISTIC_SECRET, HEURISTIC_SQL, HEURISTIC_XSS, RULE_SETS, Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES, supported_files
 from flawsieve.sources.store import last_run_of
@@ -176,8 +176,12 @@ def scan_status(spark, sf_dir):
 
 
 def last_run_report(spark, sf_dir):
-    files = code_corpus(spark, sf_dir).withColumn("run_id", F.col("file_id") % 3)
-    return reports.severity_by_file(scan_table(last_run_of(files)))
+    """A run a day, of the files whose last event falls on it."""
+    files = code_corpus(spark, sf_dir).selectExpr(
+        "*", "CAST(date_format(event_time, 'yyyyMMdd') AS BIGINT) AS run_id"
+    )
+    last = last_run_of(once(scan_log(files, keep=["run_id"])))
+    return reports.severity_by_file(findings(last))
 
 
 def current(spark, sf_dir):

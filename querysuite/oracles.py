@@ -358,7 +358,7 @@ FROM ft LEFT JOIN found ON found.path = ft.path GROUP BY ft.path, ft.language"""
         _files("corpus"),
         _typed(
             """(SELECT path, content FROM corpus
-  WHERE file_id % 3 = (SELECT max(file_id % 3) FROM corpus))"""
+  WHERE strftime(event_time, '%Y%m%d') = (SELECT max(strftime(event_time, '%Y%m%d')) FROM corpus))"""
         ),
         _LINES,
         _RULES,

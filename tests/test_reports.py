@@ -4,6 +4,7 @@ import json
 from collections import Counter
 
 import pytest
+from pyspark.sql import Observation
 
 from flawsieve import findings, scan_log
 from flawsieve.functions.severity import plural, status_label
@@ -113,6 +114,12 @@ def test_totals(log, expected):
     assert reports.report_title(log).first()[0] == "Analysis completed for 2 files"
 
 
+def test_progress_is_counted_on_the_way(log):
+    seen = Observation("progress")
+    assert reports.with_progress(log, seen).count() == 34
+    assert seen.get == {"n_files": 4, "n_issues": 30}
+
+
 def test_nothing_found(log):
     none = log.filter("path = '/r/clean.py'")
     assert tuple(reports.severity_summary(none).first()) == (0, 0, 0, 0, 0)

@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from flawsieve import findings, scan_log, scan_path, write_findings
 from flawsieve.plans.reports import scan_status
@@ -158,5 +157,6 @@ def test_runs(spark, folder):
 
     write_run(log_of(("a.py", "exec(x)")), store, 10)  # the same run again
     assert findings(last_run(spark, store)).count() == 1
+    assert read_runs(spark, store).filter("run_id = 10").first().n_issues == 1
     write_run(log_of(("a.py", "x")), store, 11)  # a clean run is the last one, and has no report
     assert last_run(spark, store) is None
