@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from flawsieve.functions.text import any_of, quoted
+from flawsieve.functions.text import quoted
 from flawsieve.rules import (
     EXTENSION_LANGUAGE,
     FALLBACK_RULE_SET,
@@ -15,9 +15,9 @@ from flawsieve.rules import (
 
 
 def _choice(key: str, mapping: dict[str, str], default: str) -> str:
-    """``mapping[key]`` as a CASE."""
-    branches = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in mapping.items())
-    return f"CASE {key} {branches} ELSE {quoted(default)} END"
+    """``mapping[key]``: the map is a constant, so ``key`` appears only once."""
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in mapping.items())
+    return f"coalesce(element_at(map({pairs}), {key}), {quoted(default)})"
 
 
 def extension(path: str) -> str:
@@ -39,12 +39,8 @@ def is_supported(path: str) -> str:
     return f"{extension(path)} IN ({', '.join(map(quoted, EXTENSION_LANGUAGE))})"
 
 
-def in_node_modules(path: str) -> str:
-    return f"{path} RLIKE '(^|/)node_modules/'"
-
-
 def glob_regex(glob: str) -> str:
-    """A path glob as an anchored regular expression.
+    """A path glob as a regular expression for a whole path.
 
     ``**`` spans any number of segments, ``*`` and ``?`` stay within one,
     ``[...]`` is a character class, ``{a,b}`` a choice.
@@ -80,12 +76,20 @@ def glob_regex(glob: str) -> str:
         else:
             out.append(re.escape(ch))
         i += 1
-    return r"(?s)\A" + "".join(out) + r"\z"
+    return "".join(out) + r"\z"
 
 
-def matches_any_glob(path: str, globs: Iterable[str]) -> str:
-    """True where one of the globs covers ``path``, taken without a leading /."""
-    return any_of(f"trim(LEADING '/' FROM {path}) RLIKE {quoted(glob_regex(glob))}" for glob in globs)
+def in_scope(path: str, exclude: Iterable[str] = (), root: str = "") -> str:
+    """A supported extension, outside node_modules and the excluded globs.
+
+    Globs and node_modules concern the path below ``root``, where it lies below.
+    One expression for all, because ``path`` may be a costly one itself.
+    """
+    below = f"(?:{re.escape(root.rstrip('/') + '/')})?+" if root else ""
+    excluded = "|".join(["(?:.*/)?node_modules/", *map(glob_regex, exclude)])
+    supported = "|".join(re.escape(e) for e in EXTENSION_LANGUAGE)
+    regex = rf"(?s)\A{below}/*+(?!{excluded}).*(?i:{supported})\z"
+    return f"{path} RLIKE {quoted(regex)}"
 
 
 def relative_to(path: str, root: str) -> str:

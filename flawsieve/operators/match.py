@@ -140,6 +140,7 @@ def match_rules(
     keep: Sequence[str] = ("path",),
     markers: bool = False,
     flag_comments: bool = False,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join the lines of ``split_lines`` with the detectors that fire on them.
 
@@ -150,15 +151,20 @@ def match_rules(
     Rules, unlike heuristics, pass over comment lines.  With ``flag_comments``
     what they would have found is kept and marked ``in_comment``, for a caller
     who cannot yet tell whether the line really starts where it seems to.
+
+    ``spread_by`` shuffles the lines that pass the filter by these columns, for
+    a caller who joins the findings on them next.
     """
     tests = [_may_match("raw", rules), "latin1"]
     if markers:
         tests.append("line = 1")
     # The end of a line matters only to a pattern that ends in space itself.
     trim = trim_space if any(r.pattern[-1:] in WHITE_SPACE for r in rules) else trim_start
+    candidates = lines.filter(any_of(tests))
+    if spread_by:
+        candidates = candidates.repartition(*spread_by)
     candidates = (
-        lines.filter(any_of(tests))
-        .selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
+        candidates.selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
         .selectExpr("*", f"{trim('_untrimmed')} AS _text")
         .selectExpr("*", *(f"{test('_text')} AS {flag}" for flag, (_, test) in HEURISTICS.items()))
     )

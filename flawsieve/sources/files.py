@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flawsieve.functions.paths import in_node_modules, is_supported, matches_any_glob, plain_path, relative_to
+from flawsieve.functions.paths import in_scope, plain_path
 from flawsieve.operators.lines import with_language
 from flawsieve.operators.match import FILE_MARKER, match_rules
 from flawsieve.plans.scan import scan_log
@@ -28,19 +28,6 @@ def _any_case(ch: str) -> str:
 SUPPORTED_GLOB = "*{" + ",".join("".join(map(_any_case, e)) for e in EXTENSION_LANGUAGE) + "}"
 
 
-def in_scope(path: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> str:
-    """A supported extension, outside node_modules and the excluded globs.
-
-    Folders above the scanned root are none of its business, so below a root
-    this takes paths relative to it.
-    """
-    return f"({is_supported(path)} AND NOT {in_node_modules(path)} AND NOT {matches_any_glob(path, exclude)})"
-
-
-def _in_scope_below(root: str, path: str, exclude: Iterable[str]) -> str:
-    return in_scope(relative_to(path, plain_root(root) or "/"), exclude)
-
-
 def supported_files(files: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """The distinct paths in scope of any table with a ``path``."""
     return files.select("path").filter(in_scope("path", exclude)).distinct()
@@ -77,7 +64,7 @@ def read_files(
         .load(root)
         .filter(F.col("length") <= up_to_bytes)
         .selectExpr(f"{plain_path('_metadata.file_path')} AS path", "content")
-        .filter(_in_scope_below(root, "path", exclude))
+        .filter(in_scope("path", exclude, plain_root(root)))
     )
     others = list_tree(spark, root).filter(f"{in_scope('relative', exclude)} AND {passed_over()}")
     return ordinary.unionByName(read_listed(others, root))
@@ -102,7 +89,7 @@ def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], ab
             "_metadata.file_size AS _size",
             "_metadata.file_block_start AS _block",
         )
-        .filter(_in_scope_below(root, plain_path("_file"), exclude))
+        .filter(in_scope(plain_path("_file"), exclude, plain_root(root)))
     )
     # Escaping leaves the supported extensions as they are, so the language can
     # be told from the URI, and the URI be resolved for findings only.
@@ -143,16 +130,17 @@ def _scan_large_files(
     """The log of files too large to be a row, read as splits of lines.
 
     A line's number is the number of lines in earlier splits of its file plus
-    its place in its own.  Only findings meet that table of splits, after the
-    scan; the text itself is never shuffled.
+    its place in its own.  Only the few lines that may match are shuffled to
+    meet that table of splits, and matched where they arrive.
     """
     lines = _large_file_lines(spark, root, exclude, above_bytes)
     offsets = _split_offsets(lines)
-    found = match_rules(lines, rules, ("_file", "_block", "_id"), flag_comments=True).drop("line")
+    split = ("_file", "_block")
+    found = match_rules(lines, rules, (*split, "_id"), flag_comments=True, spread_by=split).drop("line")
     path = f"{plain_path('_file')} AS path"
     # A first line behind a byte order mark does not start with its "#".
     numbered = (
-        found.join(offsets, ["_file", "_block"])
+        found.join(offsets.hint("merge"), list(split))
         .selectExpr("* EXCEPT (n_lines)", "int(_before + _id - _first + 1) AS line")
         .filter("NOT in_comment OR line = 1 AND _has_mark")
         .selectExpr(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import oracle
 from flawsieve import scan_table
-from flawsieve.sources.files import DEFAULT_EXCLUDES, in_scope
+from flawsieve.functions.paths import in_scope
+from flawsieve.sources.files import DEFAULT_EXCLUDES
 from querysuite.catalog import QUERIES
 from querysuite.corpus import code_corpus
 from querysuite.oracles import ORACLES

@@ -1,11 +1,12 @@
 """What the plans must and must not hold."""
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from flawsieve import Rule, scan_log, scan_table
+from flawsieve import Rule, scan_log, scan_path, scan_table
 from flawsieve.operators.match import PREFILTER_PATTERNS
 from flawsieve.plans import reports
 from flawsieve.rules import RULE_SETS
@@ -58,11 +59,21 @@ def test_rules_prune_with_the_heuristic_asked_for(stored):
     assert "Filter" not in local.split("LocalRelation")[-1]
 
 
+def scan_of_table(spark, stored, rules):
+    return scan_log(stored, rules=rules, keep=["file_id", "event_time"])
+
+
+def scan_of_tree(spark, stored, rules):
+    # Every file counts as too large to be read whole.
+    return scan_path(spark, os.path.join(os.path.dirname(__file__), "fixtures"), rules=rules, whole_file_bytes=0)
+
+
+@pytest.mark.parametrize("scan", [scan_of_table, scan_of_tree])
 @pytest.mark.parametrize("rules", [None, full_table_of_rules()], ids=["builtin", "largest"])
-def test_generated_code_can_be_compiled(spark, stored, rules):
+def test_generated_code_can_be_compiled(spark, stored, scan, rules):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df = scan_log(stored, rules=rules, keep=["file_id", "event_time"])
+        df = scan(spark, stored, rules)
         stages = df._jdf.queryExecution().debug().codegenToSeq()
         sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
     finally:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flawsieve import scan_log, scan_table
-from flawsieve.functions.paths import extension, glob_regex, language, matches_any_glob, relative_to
-from flawsieve.functions.text import WHITE_SPACE, trim_space
+from flawsieve.functions.paths import extension, glob_regex, in_scope, language, relative_to
+from flawsieve.functions.text import WHITE_SPACE, quoted, trim_space
 from flawsieve.operators.lines import explode_lines
 from querysuite import oracles
 
@@ -48,13 +48,33 @@ def test_extension_and_language(spark):
     ],
 )
 def test_globs(spark, glob, inside, outside):
-    assert glob_regex(glob).endswith(r"\z")
-    got = column(spark, inside + outside, lambda v: matches_any_glob(v, [glob]))
+    got = column(spark, inside + outside, lambda v: f"{v} RLIKE {quoted('(?s)^/*+' + glob_regex(glob))}")
     assert got == [True] * len(inside) + [False] * len(outside)
 
 
-def test_no_globs_exclude_nothing(spark):
-    assert column(spark, ["a"], lambda v: matches_any_glob(v, [])) == [False]
+def test_scope(spark):
+    scope = {
+        "a.py": True,
+        "/r (1)/node_modules.py": True,
+        "/r (1)/x/test.JSX": True,
+        ".h": True,
+        "/r (1)/x.y/.Cc": True,
+        "/r (1)/a.pyc": False,
+        "/r (1)/py": False,
+        "/r (1)/node_modules/a.py": False,
+        "node_modules/a.py": False,
+        "/r (1)/x/node_modules/y/a.py": False,
+        "/r (1)/test/a.py": False,
+        "/r (1)/x/y/test/a.py": False,
+        "/r (1)/b.go": False,
+        "/r (1)/c/b.go": True,
+        "/r (1)/line\nfeed.rs": True,
+    }
+    got = column(spark, scope, lambda v: in_scope(v, ["**/test/**", "b.*"], "/r (1)/"))
+    assert dict(zip(scope, got)) == scope
+    below_test = column(spark, ["/test/a.py", "/test/test/a.py"], lambda v: in_scope(v, ["**/test/**"], "/test"))
+    assert below_test == [True, False]
+    assert column(spark, ["/test/a.py"], lambda v: in_scope(v, ["**/test/**"])) == [False]
 
 
 def test_relative_to(spark):
