@@ -1,9 +1,12 @@
 """The queries of this subpackage, and the SQL of those that have some."""
 
 from flawsieve.llm import oracles
+from flawsieve.llm.decontamination import op9_benchmark_decontamination
 from flawsieve.llm.html_extraction import op8_html_extraction
 from flawsieve.llm.language_id import op5_language_id
 from flawsieve.llm.line_dedup import op10_line_dedup
+from flawsieve.llm.lm_scoring import op7_lm_scoring
+from flawsieve.llm.near_dedup import op4_minhash_near_dedup
 from flawsieve.llm.packing import op6_packing
 from flawsieve.llm.quality_rules import op3_quality_rules
 from flawsieve.llm.token_counts import op1_token_counts
@@ -13,9 +16,12 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_html_extraction": op8_html_extraction,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
