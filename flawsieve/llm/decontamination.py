@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_BYTES = 8 << 20
+DOCUMENTS = 2048
 BITS = 4
 TABLES_PER_WALK = 6
 RECALL = 0.99
@@ -181,18 +182,19 @@ def _leaks(ids, texts, vocabulary, neighbours, classes, percent):
     pairs = np.concatenate([[0], np.cumsum(is_pair)])
     for group in classes:
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        looked: dict[tuple[int, int], int] = {}
         for at, o in sorted(set(group.candidates(words, known, pairs, begin_of, end_of))):
             item_id, item = group.items[o]
             d = int(owner[at])
             slack = len(item) * percent // 100
-            found = best.get((d, o))
-            if found and (found[0] == 0 or at < found[2]):
-                continue  # an exact passage, or one in the run just looked at
-            a, b = max(int(begin[d]), at - slack), min(int(ends[d]), at + len(item) + slack)
+            if at <= looked.get((d, o), -1) or best.get((d, o), (1,))[0] == 0:
+                continue
+            looked[d, o] = at + slack  # the run below holds the passages of these starts too
+            a, b = max(int(begin[d]), at - slack), min(int(ends[d]), at + len(item) + 2 * slack)
             distance, end = infix_distance(item, words[a:b])
-            if distance <= slack and (found is None or distance < found[0]):
-                best[d, o] = (distance, a + end - int(begin[d]), at + slack)
-        for (d, o), (distance, end, _) in sorted(best.items()):
+            if distance <= slack and distance < best.get((d, o), (slack + 1,))[0]:
+                best[d, o] = (distance, a + end - int(begin[d]))
+        for (d, o), (distance, end) in sorted(best.items()):
             yield ids[d], group.items[o][0], end, distance
 
 
@@ -212,8 +214,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recall:
         def scan(batches, sent=sent):
             vocabulary, neighbours, classes = length_classes(sent.value, percent, recall)
             for whole in batches:
-                for a in range(0, whole.num_rows, 256):
-                    part = whole.slice(a, 256)
+                for a in range(0, whole.num_rows, DOCUMENTS):
+                    part = whole.slice(a, DOCUMENTS)
                     rows = list(_leaks(part.column(0).to_pylist(), part.column(1).to_pylist(), vocabulary, neighbours, classes, percent))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[j] for r in rows], pa.int64()) for j in range(4)],
