@@ -43,7 +43,8 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     ``docs (doc_id, text)`` is the corpus, ``trusted (doc_id)`` tells which of it to trust.
     """
     marks = trusted.select("doc_id").distinct().withColumn("good", F.lit(1))
-    grams = docs.select("doc_id", "text").join(marks, "doc_id", "left").select(
+    # Always by a shuffle: neither side has a bound.
+    grams = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select(
         F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, buckets))).alias("bucket"),
         F.coalesce("good", F.lit(0)).alias("good"),
     )
