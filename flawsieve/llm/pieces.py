@@ -2,11 +2,13 @@
 
 Documents are taken in blocks of bounded text. A block has one row for each of
 its distinct pieces, with the documents that hold it and how often, and one
-header row (piece null) with the documents themselves. Values are joined to
-the piece rows by piece, and their products summed by document; no document's
-own sequence of pieces is moved, and a piece met in a million documents costs
-one row for each block. Frequent pieces make a skewed join, which adaptive
-execution splits, since only the block side is large.
+header row (piece null) with the documents themselves. The rows meet the values
+by piece, and products are summed by document; no document's own sequence of
+pieces is moved, and a piece met in a million documents costs one row a block.
+
+A row of one document holds it as ``doc`` and ``n``; others hold both as packed
+numbers in ``more``. Rows of pieces that many documents of a block share carry a
+salt, so that a piece that all blocks have does not end in one task.
 """
 
 from __future__ import annotations
@@ -22,16 +24,14 @@ from flawsieve.llm.shared import staged
 
 BLOCK_BYTES = 32 << 20
 FLUSH = 2_000_000
+FREQUENT = 64
+SALTS = 1024
 
 _PIECES = pa.schema([
-    ("block", pa.int64()), ("piece", pa.binary()),
-    ("docs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("weight", pa.int64()),
-    ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+    ("piece", pa.binary()), ("at", pa.int64()), ("n", pa.int32()), ("more", pa.binary()), ("weight", pa.int64()),
+    ("salt", pa.int32()),
 ])
-_BLOCKS = (
-    "block long, piece binary, docs array<int>, counts array<int>, weight long, "
-    "doc_ids array<long>, flags array<boolean>, sizes array<long>"
-)
+_BLOCKS = "piece binary, at long, n int, more binary, weight long, salt int"
 
 
 def _block(number, known, codes, ids, flags, sizes) -> Iterator[pa.RecordBatch]:
@@ -40,43 +40,45 @@ def _block(number, known, codes, ids, flags, sizes) -> Iterator[pa.RecordBatch]:
     key = np.concatenate(codes).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
     key, counts = np.unique(key, return_counts=True)
     code, doc = key // n, (key % n).astype(np.int32)
-    starts = np.searchsorted(code, np.arange(len(known) + 1)).astype(np.int32)
+    starts = np.searchsorted(code, np.arange(len(known) + 1))
     counts = counts.astype(np.int32)
     learned = np.concatenate([[0], np.cumsum(counts * np.asarray(flags, bool)[doc])])
     weight = learned[starts[1:]] - learned[starts[:-1]]
-    names = list(known)
-    for a in range(0, len(names), 100_000):
-        b = min(a + 100_000, len(names))
-        at = starts[a : b + 1]
-        offsets = pa.array(at - at[0], pa.int32())
-        m = b - a
+    names, held = list(known), np.diff(starts)
+    salt = np.where(held >= FREQUENT, (number * 2654435761 >> 7) % SALTS, 0).astype(np.int32)
+    for a in range(0, len(names), 50_000):
+        s = slice(a, a + 50_000)
+        first = starts[:-1][s]
+        single = held[s] == 1
+        more = [
+            None if one else doc[i : i + h].tobytes() + counts[i : i + h].tobytes()
+            for one, i, h in zip(single.tolist(), first.tolist(), held[s].tolist())
+        ]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(m, number)), pa.array(names[a:b], pa.binary()),
-            pa.ListArray.from_arrays(offsets, pa.array(doc[at[0] : at[-1]])),
-            pa.ListArray.from_arrays(offsets, pa.array(counts[at[0] : at[-1]])),
-            pa.array(weight[a:b]), pa.nulls(m, pa.list_(pa.int64())),
-            pa.nulls(m, pa.list_(pa.bool_())), pa.nulls(m, pa.list_(pa.int64())),
+            pa.array(names[s], pa.binary()), pa.array((number << 32) + np.where(single, doc[first], 0).astype(np.int64)),
+            pa.array(np.where(single, counts[first], 0).astype(np.int32)), pa.array(more, pa.binary()),
+            pa.array(weight[s]), pa.array(salt[s]),
         ], schema=_PIECES)
+    missing = np.array([i is None for i in ids], np.int64)
+    header = np.stack([[i or 0 for i in ids], missing, np.asarray(flags, np.int64), sizes]).astype(np.int64)
     yield pa.RecordBatch.from_arrays([
-        pa.array([number]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())),
-        pa.nulls(1, pa.list_(pa.int32())), pa.array([0]), pa.array([ids], pa.list_(pa.int64())),
-        pa.array([flags], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())),
+        pa.nulls(1, pa.binary()), pa.array([number << 32]), pa.array([n], pa.int32()),
+        pa.array([header.tobytes()], pa.binary()), pa.array([0]), pa.array([number % SALTS], pa.int32()),
     ], schema=_PIECES)
 
 
-def piece_blocks(docs: DataFrame, split: Callable, size: Callable, name: str) -> DataFrame:
+def piece_blocks(docs: DataFrame, split: Callable, size: Callable) -> DataFrame:
     """Blocks of ``docs (doc_id, flag, text)``: ``split(text)`` gives a text's pieces as a list
-    of bytes or str, ``size(text, pieces)`` a number kept for the document.
+    of bytes, ``size(text, pieces)`` a number kept for the document.
 
     ``weight`` of a piece row counts its occurrences in documents whose flag is true.
     """
 
     def build(batches):
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 10  # a task has at most 1024 blocks, 32 GB of text
         known, codes, ids, flags, sizes, held = {}, [], [], [], [], 0
         for batch in batches:
-            columns = (batch.column(i) for i in range(3))
-            for doc_id, flag, text in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(columns))):
+            for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py() or ""
                 found = split(text)
                 codes.append(np.array([known.setdefault(p, len(known)) for p in found], np.int32))
@@ -91,7 +93,11 @@ def piece_blocks(docs: DataFrame, split: Callable, size: Callable, name: str) ->
         if ids:
             yield from _block(number, known, codes, ids, flags, sizes)
 
-    return staged(docs.select("doc_id", "flag", "text").mapInArrow(build, _BLOCKS), name)
+    return docs.select("doc_id", "flag", "text").mapInArrow(build, _BLOCKS)
+
+
+def staged_blocks(docs: DataFrame, split: Callable, size: Callable, name: str) -> DataFrame:
+    return staged(piece_blocks(docs, split, size), name)
 
 
 def piece_weights(blocks: DataFrame) -> DataFrame:
@@ -99,85 +105,143 @@ def piece_weights(blocks: DataFrame) -> DataFrame:
     return blocks.filter("piece IS NOT NULL").groupBy("piece").agg(F.sum("weight").alias("weight"))
 
 
+_SUMS = "block long, docs binary, sums binary"
+_WIDTH = "doc_id long, flag boolean, size long, sums array<double>"
+
+
+def sums_by_value(blocks: DataFrame, value: Callable) -> DataFrame:
+    """``(doc_id, flag, size, sums array<double>)`` where ``value(pieces)`` gives each piece's value.
+
+    Rows meet by piece in one shuffle, sorted, so that a task works out each of its pieces once.
+    """
+    dealt = blocks.select("piece", "at", "n", "more", "salt").repartition("piece", "salt").sortWithinPartitions("piece")
+
+    def sums(batches):
+        held = _Held()
+        last, last_value = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            pieces = column.dictionary_encode()
+            names = pieces.dictionary.to_pylist()
+            new = names[1:] if names and names[0] == last else names
+            found = value(new) if new else np.zeros((0, 1))
+            table = np.asarray(found, np.float64).reshape(len(new), -1)
+            if len(new) < len(names):
+                table = np.concatenate([last_value[None], table]) if len(new) else last_value[None]
+            if names:
+                last, last_value = names[-1], table[-1]
+            codes = pieces.indices.fill_null(-1).to_numpy()
+            rows = np.flatnonzero(codes >= 0)
+            for i in np.flatnonzero(codes < 0).tolist():
+                yield _header(batch.column(1)[i].as_py(), batch.column(3)[i].as_py())
+            yield from held.add(batch.take(pa.array(rows)), table[codes[rows]] if len(rows) else None)
+        yield from held.flush()
+
+    return _whole(dealt.mapInArrow(sums, _SUMS))
+
+
 def sums_by_document(blocks: DataFrame, values: DataFrame) -> DataFrame:
-    """``(doc_id, flag, size, sums array<double>)`` from ``values (piece, value array<double>)``."""
-    rows = blocks.filter("piece IS NOT NULL").select("piece", "block", "docs", "counts")
-    joined = rows.join(values, "piece").select("block", "docs", "counts", "value")
-    schema = "block long, docs array<int>, sums array<double>"
-    partial = joined.mapInArrow(_partial_sums, schema).select(
-        "block", "docs", "sums", F.lit(None).cast("array<long>").alias("doc_ids"),
-        F.lit(None).cast("array<boolean>").alias("flags"), F.lit(None).cast("array<long>").alias("sizes"),
-    )
-    header = blocks.filter("piece IS NULL").select(
-        "block", F.lit(None).cast("array<int>").alias("docs"),
-        F.lit(None).cast("array<double>").alias("sums"), "doc_ids", "flags", "sizes",
-    )
-    width = "doc_id long, flag boolean, size long, sums array<double>"
-    return partial.unionByName(header).groupBy("block").applyInArrow(_whole_sums, width)
-
-
-def _partial_sums(batches):
-    held: dict[int, list] = {}
-    size = 0
-    for batch in batches:
+    """``(doc_id, flag, size, sums array<double>)`` from ``values (piece, value array<double>)``.
+
+    The join is skewed by frequent pieces on one side only; adaptive execution splits it.
+    """
+    rows = blocks.filter("piece IS NOT NULL").select("piece", "at", "n", "more")
+    joined = rows.join(values.hint("merge"), "piece").select("piece", "at", "n", "more", "value")
+
+    def sums(batches):
+        held = _Held()
+        for batch in batches:
+            if batch.num_rows:
+                value = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield from held.add(batch, value)
+        yield from held.flush()
+
+    def headers(batches):
+        for batch in batches:
+            for at, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield _header(at, more)
+
+    header = blocks.filter("piece IS NULL").select("at", "more").mapInArrow(headers, _SUMS)
+    return _whole(joined.mapInArrow(sums, _SUMS).unionByName(header))
+
+
+def _batch(block, docs, sums):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), pa.array([docs], pa.binary()), pa.array([sums], pa.binary())],
+        names=["block", "docs", "sums"],
+    )
+
+
+def _header(at, more):
+    return _batch(at >> 32, None, more)
+
+
+class _Held:
+    """Products of values and counts, folded by document and handed on before they grow large."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, batch: pa.RecordBatch, value):
         if not batch.num_rows:
-            continue
-        blocks = batch.column(0).to_numpy(zero_copy_only=False)
-        docs, counts, value = batch.column(1), batch.column(2), batch.column(3)
-        lengths = np.diff(docs.offsets.to_numpy())
-        doc = docs.flatten().to_numpy(zero_copy_only=False)
-        k = len(value.flatten()) // batch.num_rows
-        each = np.repeat(value.flatten().to_numpy(zero_copy_only=False).reshape(-1, k), lengths, axis=0)
-        each = each * counts.flatten().to_numpy(zero_copy_only=False)[:, None]
-        row_block = np.repeat(blocks, lengths)
-        order = np.argsort(row_block, kind="stable")
-        row_block, doc, each = row_block[order], doc[order], each[order]
-        cuts = np.flatnonzero(np.diff(row_block)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(doc)]):
-            if b > a:
-                held.setdefault(int(row_block[a]), []).append((doc[a:b], each[a:b]))
-        size += len(doc)
-        if size > FLUSH:
-            held, size = {b: [_folded(parts)] for b, parts in held.items()}, 0
-            size = sum(len(parts[0][0]) for parts in held.values())
-            if size > FLUSH // 2:
-                yield from _sum_batches(held)
-                held, size = {}, 0
-    yield from _sum_batches({b: [_folded(parts)] for b, parts in held.items()})
-
-
-def _folded(parts):
-    doc = np.concatenate([d for d, _ in parts])
-    each = np.concatenate([e for _, e in parts])
-    found, at = np.unique(doc, return_inverse=True)
-    sums = np.stack([np.bincount(at, each[:, j], len(found)) for j in range(each.shape[1])], axis=1)
-    return found, sums
-
-
-def _sum_batches(held):
-    for block, ((doc, sums),) in held.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([doc], pa.list_(pa.int32())), pa.array([sums.ravel()], pa.list_(pa.float64()))],
-            names=["block", "docs", "sums"],
-        )
+            return
+        at, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        more = batch.column(3)
+        single = more.is_null().to_numpy(zero_copy_only=False)
+        self.parts.append((at[single], value[single] * n[single, None]))
+        rows = np.flatnonzero(~single)
+        if len(rows):
+            packed = [np.frombuffer(m, np.int32) for m in more.take(pa.array(rows)).to_pylist()]
+            lengths = np.array([len(p) // 2 for p in packed])
+            doc = np.concatenate([p[: len(p) // 2] for p in packed])
+            count = np.concatenate([p[len(p) // 2 :] for p in packed])
+            self.parts.append((np.repeat(at[rows], lengths) + doc, np.repeat(value[rows], lengths, axis=0) * count[:, None]))
+        self.size += sum(len(p[0]) for p in self.parts[-2:])
+        if self.size > FLUSH:
+            self._fold()
+            if self.size > FLUSH // 2:
+                yield from self.flush()
+
+    def _fold(self):
+        at = np.concatenate([p[0] for p in self.parts])
+        each = np.concatenate([p[1] for p in self.parts])
+        found, place = np.unique(at, return_inverse=True)
+        sums = np.stack([np.bincount(place, each[:, j], len(found)) for j in range(each.shape[1])], axis=1)
+        self.parts, self.size = [(found, sums)], len(found)
+
+    def flush(self):
+        if self.parts:
+            self._fold()
+            at, sums = self.parts[0]
+            block, doc = at >> 32, (at & 0xFFFFFFFF).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                if b > a:
+                    yield _batch(int(block[a]), doc[a:b].tobytes(), sums[a:b].tobytes())
+        self.parts, self.size = [], 0
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("block").applyInArrow(_whole_sums, _WIDTH)
 
 
 def _whole_sums(table: pa.Table) -> pa.Table:
-    ids = flags = sizes = None
-    parts = []
-    for i in range(table.num_rows):
-        if table["doc_ids"][i].is_valid:
-            ids, flags, sizes = (table[c][i].as_py() for c in ("doc_ids", "flags", "sizes"))
+    header, parts, k = None, [], 1
+    for docs, sums in zip(table["docs"].to_pylist(), table["sums"].to_pylist()):
+        if docs is None:
+            header = np.frombuffer(sums, np.int64).reshape(4, -1)
         else:
-            doc = table["docs"][i].values.to_numpy()
-            parts.append((doc, table["sums"][i].values.to_numpy().reshape(len(doc), -1)))
-    k = parts[0][1].shape[1] if parts else 1
+            doc = np.frombuffer(docs, np.int32)
+            parts.append((doc, np.frombuffer(sums, np.float64).reshape(len(doc), -1)))
+            k = parts[-1][1].shape[1]
+    ids, missing, flags, sizes = header
     total = np.zeros((len(ids), k))
     for doc, sums in parts:
         total[doc] += sums  # a part has each document once
     offsets = pa.array(np.arange(len(ids) + 1) * k, pa.int32())
     return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "flag": pa.array(flags, pa.bool_()),
-        "size": pa.array(sizes, pa.int64()),
-        "sums": pa.ListArray.from_arrays(offsets, pa.array(total.ravel())),
+        "doc_id": pa.array(ids, pa.int64(), mask=missing.astype(bool)), "flag": pa.array(flags.astype(bool)),
+        "size": pa.array(sizes), "sums": pa.ListArray.from_arrays(offsets, pa.array(total.ravel())),
     })

@@ -2,8 +2,9 @@
 
 Byte-level pre-tokens never cross the start of a run of white space, so a text
 falls into units (a word with the space before it, or white space on its own)
-that are made of whole pre-tokens. Each distinct unit is given to the tokenizer
-once; counts are joined to the units' frequencies by document and summed.
+that are made of whole pre-tokens. The units' frequencies by document are dealt
+out by unit; the task that has a unit gives it to the tokenizer once, joins the
+count to all its frequencies, and sums by document.
 
 Null and empty texts count zero tokens. A repeated row gives a repeated result.
 """
@@ -13,11 +14,10 @@ from __future__ import annotations
 import re
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from flawsieve.llm.pieces import piece_blocks, piece_weights, sums_by_document
+from flawsieve.llm.pieces import piece_blocks, sums_by_value
 
 # Fixed value: the white space of the tokenizer's own pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,18 +61,14 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int) -> DataFrame:
     special = [t.content for t in model.get_added_tokens_decoder().values()]
     split = unit_splitter(special)
     rows = docs.select("doc_id", F.lit(False).alias("flag"), "text")
-    blocks = piece_blocks(rows, split, lambda text, _: len(text.encode()), "token-units")
+    blocks = piece_blocks(rows, split, lambda text, _: len(text.encode()))
 
-    def lengths(batches):
-        encode = tokenizer(path).encode_batch
-        for batch in batches:
-            units = [u.decode() for u in batch.column(0).to_pylist()]
-            n = [[float(len(e))] for e in encode(units, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.list_(pa.float64()))], names=["piece", "value"])
+    def lengths(units: list[bytes]):
+        found = tokenizer(path).encode_batch([u.decode() for u in units], add_special_tokens=False)
+        return [len(e) for e in found]
 
-    counted = piece_weights(blocks).select("piece").mapInArrow(lengths, "piece binary, value array<double>")
     n_tokens = F.coalesce(F.element_at("sums", 1), F.lit(0.0)).cast("long")
-    return sums_by_document(blocks, counted).select(
+    return sums_by_value(blocks, lengths).select(
         "doc_id", F.col("size").alias("n_bytes"), n_tokens.alias("n_tokens"), (n_tokens > max_tokens).alias("over_limit")
     )
 
