@@ -29,7 +29,7 @@ from flawsieve.llm.token_counts import SPACE, tokenizer
 
 CAPACITY = 4096
 GROUP = 1024
-MEMO = 400_000
+MEMO = 600_000
 
 # Fixed value: the white space that the tokenizer's normalizer turns into one space.
 GAP = re.compile(rf"[{SPACE}]+").split
@@ -41,18 +41,17 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space before it looks for pieces, so a text's ids
-    are those of its words one after the other; a word's ids are kept for the
-    next text, up to ``MEMO`` words a worker.
+    are those of its words one after the other; the ids of the first ``MEMO`` words
+    that a worker meets are kept for its next texts.
     """
-    known = _memo.setdefault(path, {})
-    if len(known) > MEMO:
-        known.clear()
-    known[""] = b""
+    known = _memo.setdefault(path, {"": b""})
     split = [GAP(text) for text in texts]
     new = list({w for words in split for w in words if w not in known})
-    if new:
-        for word, e in zip(new, tokenizer(path).encode_batch(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
+    rare = {}
+    for word, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False) if new else ()):
+        (known if len(known) < MEMO else rare)[word] = np.array(e.ids, "<u4").tobytes()
+    if rare:
+        return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
     return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -136,8 +135,8 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, keep
     def cut(batches):
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
                 texts = [t or "" for t in batch.column(2).to_pylist()]
                 out = []
                 for row, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), token_bytes(texts, path)):
