@@ -96,13 +96,17 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
 
     def of_words(h):
-        found = _buckets(h, buckets)
-        total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get("_model", b))
-        return F.struct(
-            F.size(h).cast("long").alias("n_words"),
-            repeated_words(h).cast("long").alias("n_repeat_words"),
-            (total / F.greatest(2 * F.size(h) - 1, F.lit(1))).alias("score"),
-        )
+        total = F.aggregate(_buckets(h, buckets), F.lit(0.0), lambda a, b: a + F.get("_model", b))
+
+        def verdict(r):
+            failed = (F.size(h) < 20) | (100 * r["repeat"] > 30 * F.size(h))
+            return F.struct(
+                F.size(h).cast("long").alias("n_words"), r["repeat"].cast("long").alias("n_repeat_words"),
+                r["score"].alias("score"), failed.alias("base_failed"), (~failed & (r["score"] >= threshold)).alias("kept"),
+            )
+
+        score = total / F.greatest(2 * F.size(h) - 1, F.lit(1))
+        return let(F.struct(repeated_words(h).alias("repeat"), score.alias("score")), verdict)
 
     found = judged.select(
         *docs.columns,
@@ -111,13 +115,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    n_words, n_repeat = F.col("_of_words.n_words"), F.col("_of_words.n_repeat_words")
-    failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-    return found.select(
-        *docs.columns, n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        n_repeat.alias("n_repeat_words"), F.col("_of_words.score").alias("score"), failed.alias("base_failed"),
-        (~failed & (F.col("_of_words.score") >= threshold)).alias("kept"),
-    )
+    return found.select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "_of_words.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
