@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,8 +36,9 @@ HEURISTICS = {
     "h_secret": (HEURISTIC_SECRET, is_secret),
 }
 
-# Up to this many patterns, lines without any are dropped before the join;
-# beyond it the generated test would outgrow what the JVM compiles (8000 bytes).
+# Up to this many patterns the filter before the join tests each by itself. The
+# generated test would outgrow what the JVM compiles (8000 bytes) beyond it, so
+# a regular expression of all patterns of a rule set takes over.
 PREFILTER_PATTERNS = 48
 
 # rule_ord of the row that stands for a scanned file rather than a finding.
@@ -102,6 +103,38 @@ def detectors(spark: SparkSession, rules: Sequence[Rule], markers: bool = False)
     )
 
 
+def _any_literal(patterns: Iterable[str]) -> str:
+    """A regular expression for any of the literals, as a tree of common prefixes."""
+    tree: dict = {}
+    for pattern in patterns:
+        node = tree
+        for ch in pattern:
+            if "" in node:  # a shorter pattern already ends here
+                break
+            node = node.setdefault(ch, {})
+        else:
+            node.clear()
+            node[""] = {}
+
+    def written(node: dict) -> str:
+        if "" in node:
+            return ""
+        choices = [f"\\x{{{ord(ch):x}}}{written(below)}" for ch, below in node.items()]
+        return choices[0] if len(choices) == 1 else f"(?:{'|'.join(choices)})"
+
+    return written(tree)
+
+
+def _large_literals(raw: str, rules: Sequence[Rule]) -> str:
+    """As ``_literals``, with bytecode that does not grow with the table."""
+    cases = []
+    for name in RULE_SETS:
+        patterns = [r.pattern for r in rules if r.rule_set == name]
+        if patterns:
+            cases.append(f"WHEN {quoted(name)} THEN {raw} RLIKE {quoted(_any_literal(patterns))}")
+    return f"CASE rule_set {' '.join(cases)} ELSE false END"
+
+
 def _literals(raw: str, rules: Sequence[Rule]) -> str:
     """True where a pattern of the line's own rule set is in the line."""
     cases = " ".join(
@@ -119,7 +152,9 @@ def _may_match(raw: str, rules: Sequence[Rule]) -> str:
     patterns are calls, so one search for a parenthesis often spares the rest.
     """
     if len(rules) > PREFILTER_PATTERNS:
-        return "true"
+        found = _large_literals(raw, rules)
+        exact = [is_sql_injection(raw), is_path_traversal(raw), is_xss(raw), is_secret_format(raw)]
+        return any_of([found, *exact, may_assign_secret(raw)])
     calls = [r for r in rules if "(" in r.pattern]
     others = [r for r in rules if "(" not in r.pattern]
     in_call = any_of([_literals(raw, calls), is_sql_injection(raw), is_path_traversal(raw)])

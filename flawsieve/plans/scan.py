@@ -70,12 +70,12 @@ def once(log: DataFrame) -> DataFrame:
     For reports that read their input twice: a log is small beside the text it
     comes from, so keeping it is cheaper than scanning again, and it outlives
     lost executors.  The folder is the one ``spark.checkpoint.dir`` names.
-    Without one a local session makes its own, and a cluster scans again.
+    Without one a local session makes its own; on a cluster it has to be set.
     """
     context = log.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = log.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
-            return log
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return log.checkpoint()

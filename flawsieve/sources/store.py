@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flawsieve.operators.numbering import IS_FINDING, LINES_PER_PART
 from flawsieve.plans.reports import findings_text
+from flawsieve.plans.scan import once
 
 FORMATS = ("json", "text", "parquet")
 
@@ -20,13 +21,17 @@ def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part:
     """Write findings to the folder ``path``.
 
     ``json`` and ``parquet`` hold one finding per row.  ``text`` holds a line
-    with the file's path and then its numbered findings, clean files included.
+    with the file's path and then its numbered findings, clean files included;
+    the parts of a long file follow each other in order.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}: {fmt}")
     if fmt == "text":
-        lines = findings_text(log, lines_per_part)
-        lines.select(F.concat_ws("\n", "path", "text").alias("value")).write.mode("overwrite").text(path)
+        parts = findings_text(once(log), lines_per_part)
+        opens = F.col("part") == F.min("part").over(Window.partitionBy("path"))
+        text = F.concat_ws("\n", F.when(opens, F.col("path")), "text").alias("value")
+        lines = parts.select("path", "part", text).repartitionByRange("path", "part").sortWithinPartitions("path", "part")
+        lines.select("value").write.mode("overwrite").text(path)
     else:
         _compact(log.filter(IS_FINDING).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
 

@@ -66,9 +66,6 @@ def current_findings(log: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(*VERSION)).alias("_latest"))
         .select("path", "_latest.*")
     )
-    return (
-        log.filter(F.col("rule_ord") != FILE_MARKER)
-        .drop("n_lines")
-        .join(latest, ["path", *VERSION], "left_semi")
-        .distinct()
-    )
+    found = log.filter(F.col("rule_ord") != FILE_MARKER).drop("n_lines")
+    same = [found[c].eqNullSafe(latest[c]) for c in ("path", *VERSION)]  # a version may be null
+    return found.join(latest, same, "left_semi").distinct()

@@ -182,3 +182,12 @@ def test_rule_places_are_unique_and_bounded(spark):
     )
     with pytest.raises(ValueError, match="at most"):
         load_rules(many)
+
+
+def test_large_tables_filter_lines_before_the_join(scan):
+    from flawsieve.rules import Rule
+
+    rules = [Rule("python", n, f"call_{n}(", "High", f"Call {n}", 0.9) for n in range(1, 300)]
+    rules.append(Rule("python", 300, "call", "Low", "Any call", 0.5))
+    text = "x = call_17(1)\ny = 2\ncall_299 (1)\nz.a|b\\"
+    assert scan({"a.py": text}, rules=rules) == [("a.py", 1, 17), ("a.py", 1, 300), ("a.py", 3, 300)]

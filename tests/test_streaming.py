@@ -78,3 +78,11 @@ def test_history_of_a_hot_file(spark, copies):
         F.col("id").alias("revision"),
     )
     assert current(scan_revisions(df.union(df))) == [("a.py", copies - 1, 1, 1)]
+
+
+def test_null_versions_keep_their_findings(spark):
+    from flawsieve.streaming.revisions import current_findings, scan_revisions
+
+    rows = [("a.py", "eval(x)", None, None), ("b.py", "eval(x)", None, 2), ("b.py", "x = 1", None, 3)]
+    files = spark.createDataFrame(rows, "path string, content string, event_time timestamp, revision bigint")
+    assert [r.path for r in current_findings(scan_revisions(files)).collect()] == ["a.py"]
