@@ -33,6 +33,7 @@ MEMO = 600_000
 
 # Fixed value: the white space that the tokenizer's normalizer turns into one space.
 GAP = re.compile(rf"[{SPACE}]+").split
+SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 
 _memo: dict[str, dict[str, bytes]] = {}
 
@@ -45,14 +46,19 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     that a worker meets are kept for its next texts.
     """
     known = _memo.setdefault(path, {"": b""})
-    split = [GAP(text) for text in texts]
+    # str.split knows the same white space but for four separators more.
+    split = [GAP(text) if SEPARATORS(text) else text.split() for text in texts]
     new = list({w for words in split for w in words if w not in known})
-    rare = {}
-    for word, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False) if new else ()):
-        (known if len(known) < MEMO else rare)[word] = np.array(e.ids, "<u4").tobytes()
-    if rare:
-        return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in split]
-    return [b"".join([known[w] for w in words]) for words in split]
+    coded = {}
+    if new:
+        for word, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
+            coded[word] = np.array(e.ids, "<u4").tobytes()
+    room = MEMO - len(known)
+    known.update(coded)
+    found = [b"".join(map(known.__getitem__, words)) for words in split]
+    for word in new[max(room, 0) :]:
+        del known[word]
+    return found
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:
