@@ -24,6 +24,7 @@ DIMENSIONS = 4096
 CENTROIDS = 4
 FIT_DOCUMENTS = 2000
 ROUNDS = 10
+MAX_LANGUAGES = 1000
 REJECTED_SHARE = 0.01
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -92,9 +93,13 @@ def fit(learned: DataFrame, fit_documents: int = FIT_DOCUMENTS):
     learned = learned.filter("lang IS NOT NULL")
     df, n = document_frequencies(learned)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    counts = learned.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = learned.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = learned.join(counts, "lang").filter(share * F.col("n") < fit_documents)
+    # A number for each language, so that no text moves to meet it.
+    rates = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(fit_documents / r.n)))) if counts else None
+    sample = learned.filter(share < F.try_element_at(rates, F.col("lang"))) if counts else learned.filter("false")
     sample = sample.select("lang", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
     rows = sample.groupBy("lang").applyInPandas(
         lambda pdf: _fitted(pdf, idf), "lang string, centre array<float>, reach double"
