@@ -72,7 +72,9 @@ def _earlier_twins(rules: Sequence[Rule]) -> dict[Rule, list[str]]:
     return earlier
 
 
-def detectors(spark: SparkSession, rules: Sequence[Rule], markers: bool = False) -> DataFrame:
+def detectors(
+    spark: SparkSession, rules: Sequence[Rule], markers: bool = False, heuristics: Sequence[str] = tuple(HEURISTICS)
+) -> DataFrame:
     """The build side of the join: rules, heuristics and file markers alike.
 
     Every rule set holds its rules (``flag`` null), the four heuristics and, on
@@ -85,7 +87,8 @@ def detectors(spark: SparkSession, rules: Sequence[Rule], markers: bool = False)
         for r in rules
     ]
     for name in RULE_SETS:
-        for flag, ((rule_ord, issue, severity), _) in HEURISTICS.items():
+        for flag in heuristics:
+            rule_ord, issue, severity = HEURISTICS[flag][0]
             rows.append((name, rule_ord, flag, None, None, severity, issue, None))
         if markers:
             rows.append((name, FILE_MARKER, "marker", None, None, None, None, None))
@@ -144,29 +147,30 @@ def _literals(raw: str, rules: Sequence[Rule]) -> str:
     return f"CASE rule_set {cases} ELSE false END"
 
 
-def _may_match(raw: str, rules: Sequence[Rule]) -> str:
-    """True where a rule of the line's own rule set, or a heuristic, could fire.
+def _may_match(raw: str, rules: Sequence[Rule], heuristics: Sequence[str]) -> str:
+    """True where a rule of the line's own rule set, or one of the heuristics, could fire.
 
     Literals are looked for in the untrimmed line: a pattern may rest on space
     that trimming removes, so a match here is necessary, not sufficient.  Most
     patterns are calls, so one search for a parenthesis often spares the rest.
     """
+    tests = {
+        "h_sql": [is_sql_injection(raw)],
+        "h_path": [is_path_traversal(raw)],
+        "h_xss": [is_xss(raw)],
+        "h_secret": [is_secret_format(raw), may_assign_secret(raw)],
+    }
+    on_calls = [t for flag in ("h_sql", "h_path") if flag in heuristics for t in tests[flag]]
+    on_others = [t for flag in ("h_xss", "h_secret") if flag in heuristics for t in tests[flag]]
     if len(rules) > PREFILTER_PATTERNS:
-        found = _large_literals(raw, rules)
-        exact = [is_sql_injection(raw), is_path_traversal(raw), is_xss(raw), is_secret_format(raw)]
-        return any_of([found, *exact, may_assign_secret(raw)])
+        return any_of([_large_literals(raw, rules), *on_calls, *on_others])
     calls = [r for r in rules if "(" in r.pattern]
     others = [r for r in rules if "(" not in r.pattern]
-    in_call = any_of([_literals(raw, calls), is_sql_injection(raw), is_path_traversal(raw)])
-    return any_of(
-        [
-            f"contains({raw}, '(') AND {in_call}",
-            _literals(raw, others),
-            is_xss(raw),
-            is_secret_format(raw),
-            may_assign_secret(raw),
-        ]
-    )
+    if calls:
+        on_calls = [_literals(raw, calls), *on_calls]
+    if others:
+        on_others = [_literals(raw, others), *on_others]
+    return any_of([f"contains({raw}, '(') AND {any_of(on_calls)}"] * bool(on_calls) + on_others)
 
 
 def match_rules(
@@ -176,6 +180,7 @@ def match_rules(
     markers: bool = False,
     flag_comments: bool = False,
     spread_by: Sequence[str] = (),
+    heuristics: Sequence[str] = tuple(HEURISTICS),
 ) -> DataFrame:
     """Join the lines of ``split_lines`` with the detectors that fire on them.
 
@@ -187,10 +192,13 @@ def match_rules(
     what they would have found is kept and marked ``in_comment``, for a caller
     who cannot yet tell whether the line really starts where it seems to.
 
+    ``heuristics`` names those of ``HEURISTICS`` to look for; the filter and the
+    build side hold nothing of the others.
+
     ``spread_by`` shuffles the lines that pass the filter by these columns, for
     a caller who joins the findings on them next.
     """
-    tests = [_may_match("raw", rules), "latin1"]
+    tests = [_may_match("raw", rules, heuristics), "latin1"]
     if markers:
         tests.append("line = 1")
     # The end of a line matters only to a pattern that ends in space itself.
@@ -201,7 +209,7 @@ def match_rules(
     candidates = (
         candidates.selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
         .selectExpr("*", f"{trim('_untrimmed')} AS _text")
-        .selectExpr("*", *(f"{test('_text')} AS {flag}" for flag, (_, test) in HEURISTICS.items()))
+        .selectExpr("*", *(f"{HEURISTICS[flag][1]('_text')} AS {flag}" for flag in heuristics))
     )
 
     fires = "contains(_text, pattern)"
@@ -210,10 +218,10 @@ def match_rules(
     if any(_earlier_twins(rules).values()):
         # Of rules that report the same text on a line, the first one counts.
         fires += " AND NOT exists(coalesce(earlier, array()), p -> contains(_text, p))"
-    flags = " ".join(f"WHEN {quoted(flag)} THEN {flag}" for flag in HEURISTICS)
+    flags = " ".join(f"WHEN {quoted(flag)} THEN {flag}" for flag in heuristics)
     hit = f"CASE WHEN flag IS NULL THEN {fires} ELSE CASE flag {flags} WHEN 'marker' THEN line = 1 END END"
 
-    rule_side = detectors(lines.sparkSession, rules, markers).withColumnRenamed("rule_set", "_rule_set")
+    rule_side = detectors(lines.sparkSession, rules, markers, heuristics).withColumnRenamed("rule_set", "_rule_set")
     joined = candidates.join(F.broadcast(rule_side), F.expr(f"rule_set = _rule_set AND {hit}"))
     columns = [
         *keep,

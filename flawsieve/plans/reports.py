@@ -14,7 +14,8 @@ from flawsieve.functions.severity import diagnostic_level, plural, severity_rank
 from flawsieve.functions.text import quoted
 from flawsieve.operators.numbering import (
     IS_FINDING,
-    LINES_PER_PART,
+    PART,
+    PART_SIZE,
     TOTALS,
     number_findings,
     severity_counts,
@@ -87,35 +88,36 @@ def status_label(log: DataFrame) -> DataFrame:
     )
 
 
-def ordered_findings(findings: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def ordered_findings(findings: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """Findings by path, line and rule, numbered within their file.
 
     The order is total over the whole key, so one file's rows can spread over
     several sorted partitions.
     """
     return (
-        number_findings(findings.filter(IS_FINDING), lines_per_part)
-        .drop("part", "opens", *TOTALS)
+        number_findings(findings.filter(IS_FINDING), part_size)
+        .drop(*PART, *TOTALS)
         .orderBy("path", "line", "rule_ord")
     )
 
 
-def report_by_file(findings: DataFrame, root: str = "/", lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def report_by_file(findings: DataFrame, root: str = "/", part_size: int = PART_SIZE) -> DataFrame:
     """``fileName, part, n_issues, header, issues`` for files with findings.
 
     ``issues`` is the ordered array of ``(line, issue, severity)``.  A file of
-    more than ``lines_per_part`` lines has one row per part that has findings.
+    more than ``part_size`` lines or findings has several rows, one for each
+    part; ``header`` stands in its first one only.
     """
     return (
-        number_findings(findings.filter(IS_FINDING), lines_per_part)
-        .groupBy("path", "part", "n_issues")
+        number_findings(findings.filter(IS_FINDING), part_size)
+        .groupBy("path", *PART, "n_issues")
         .agg(F.expr("array_sort(collect_list(struct(n, line, issue, severity))) AS _issues"))
         .selectExpr("*", f"{relative_to('path', root)} AS fileName")
         .selectExpr(
             "fileName",
             "part",
             "n_issues",
-            f"concat(fileName, ' (', {plural('n_issues', 'issue')}, ')') AS header",
+            f"if(opens, concat(fileName, ' (', {plural('n_issues', 'issue')}, ')'), NULL) AS header",
             "transform(_issues, i -> struct(i.line, i.issue, i.severity)) AS issues",
         )
     )
@@ -128,45 +130,56 @@ def report_title(log: DataFrame) -> DataFrame:
     )
 
 
-def _documents(log: DataFrame, item: str, separator: str, lines_per_part: int) -> DataFrame:
-    """``path, part, opens``, ``TOTALS`` and ``body``: a part's items in order.
+def _documents(log: DataFrame, item: str, separator: str, part_size: int) -> DataFrame:
+    """``path``, ``PART``, ``TOTALS`` and ``body``: a part's items in order.
 
     ``body`` is null for a clean file, and only then: the marker alone makes no
     part of a file that has findings elsewhere.
     """
     item = f"if({IS_FINDING}, {item}, NULL)"
     return (
-        number_findings(log, lines_per_part)
-        .groupBy("path", "part", "opens", *TOTALS)
+        number_findings(log, part_size)
+        .groupBy("path", *PART, *TOTALS)
         .agg(F.expr(f"listagg({item}, {quoted(separator)}) WITHIN GROUP (ORDER BY n) AS body"))
         .filter("n_issues = 0 OR body IS NOT NULL")
     )
 
 
-def report_json(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def report_json(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """``path, part, json``: the findings of a file as an indented JSON array.
 
-    A clean file gives ``[]``.  The parts of a long file are arrays of their
-    own, which joined in order make the file's array.
+    A clean file gives ``[]``.  The parts of a long file are pieces of its one
+    array: put together in order they are its text.
     """
     # The text as JSON makes it, without the object around it.
     issue = "regexp_extract(to_json(struct(issue)), '(?s)^.*?:(.*).$', 1)"
     item = f"""concat('  {{\\n    "line": ', line, ',\\n    "issue": ', {issue},
                       ',\\n    "severity": "', severity, '"\\n  }}')"""
-    return _documents(log, item, ",\n", lines_per_part).selectExpr(
-        "path", "part", "if(body IS NULL, '[]', concat('[\\n', body, '\\n]')) AS json"
+    piece = "concat(if(opens, '[\\n', ''), body, if(closes, '\\n]', ',\\n'))"
+    return _documents(log, item, ",\n", part_size).selectExpr(
+        "path", "part", f"if(body IS NULL, '[]', {piece}) AS json"
     )
 
 
-def findings_text(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """``path, part, text``: numbered findings, one to a line."""
+def numbered_lines(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """``path, part, opens, closes, text``: numbered findings, one to a line.
+
+    No line feed ends the text of a part.
+    """
     item = "concat(n, '. [Line ', line, '] (', severity, ') ', issue)"
-    return _documents(log, item, "\n", lines_per_part).selectExpr(
-        "path", "part", f"coalesce(body, {quoted(NOTHING_FOUND)}) AS text"
+    return _documents(log, item, "\n", part_size).selectExpr(
+        "path", "part", "opens", "closes", f"coalesce(body, {quoted(NOTHING_FOUND)}) AS text"
+    )
+
+
+def findings_text(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """``path, part, text``: numbered findings; put together, parts are the file's text."""
+    return numbered_lines(log, part_size).selectExpr(
+        "path", "part", "concat(text, if(closes, '', '\\n')) AS text"
     )
 
 
-def report_text(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def report_text(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """``path, part, text``: title, counts by severity, then numbered findings.
 
     The title and counts open a file's first part.
@@ -177,7 +190,7 @@ def report_text(log: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFra
     )
     heading = f"""concat({quoted(REPORT_TITLE)}, 'Total Issues Found: ', n_issues, '\\n\\n',
                          {counts}, '\\nDetailed Findings:\\n')"""
-    return _documents(log, item, "", lines_per_part).selectExpr(
+    return _documents(log, item, "", part_size).selectExpr(
         "path",
         "part",
         f"""CASE WHEN n_issues = 0 THEN {quoted(NOTHING_DETECTED)}

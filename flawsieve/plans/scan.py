@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from flawsieve.operators.lines import split_lines
-from flawsieve.operators.match import FILE_MARKER, match_rules
+from flawsieve.operators.match import FILE_MARKER, HEURISTICS, match_rules
 from flawsieve.rules import Rule, load_rules
 
 
@@ -25,14 +24,16 @@ def scan_table(
     text_col: str = "content",
     rules: DataFrame | Iterable[Rule] | None = None,
     keep: Sequence[str] = (),
+    heuristics: Sequence[str] = tuple(HEURISTICS),
 ) -> DataFrame:
     """Findings of a table with one source file per row, whatever its extension.
 
     Works on batch and streaming tables alike.  Nothing is shuffled: each file
     is split, tested and joined with the broadcast rules where it was read.
+    Of the heuristics only those named are looked for.
     """
     lines = split_lines(as_files(df, path_col, text_col, keep), keep)
-    return match_rules(lines, load_rules(rules), ("path", *keep))
+    return match_rules(lines, load_rules(rules), ("path", *keep), heuristics=heuristics)
 
 
 def scan_log(
@@ -63,19 +64,3 @@ def scanned_files(log: DataFrame) -> DataFrame:
         "line", "rule_ord", "issue", "severity", "confidence"
     )
 
-
-def once(log: DataFrame) -> DataFrame:
-    """``log``, computed now and kept in the checkpoint folder.
-
-    For reports that read their input twice: a log is small beside the text it
-    comes from, so keeping it is cheaper than scanning again, and it outlives
-    lost executors.  The folder is the one ``spark.checkpoint.dir`` names.
-    Without one a local session makes its own; on a cluster it has to be set.
-    """
-    context = log.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = log.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
-    return log.checkpoint()

@@ -11,7 +11,7 @@ from flawsieve.operators.lines import with_language
 from flawsieve.operators.match import FILE_MARKER, match_rules
 from flawsieve.plans.scan import scan_log
 from flawsieve.rules import EXTENSION_LANGUAGE, Rule, load_rules
-from flawsieve.sources.tree import list_tree, passed_over, plain_root, qualified, read_listed
+from flawsieve.sources.tree import list_tree, passed_over, plain_root, qualified, read_listed, read_listed_lines
 
 # Fixed value: the exclusions a workspace starts with.
 DEFAULT_EXCLUDES = ("**/test/**", "**/tests/**", "**/__pycache__/**")
@@ -34,6 +34,7 @@ def supported_files(files: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
 
 
 def _reader(spark: SparkSession):
+    """Files that cannot be read are left out, or end early; nothing fails for them."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", SUPPORTED_GLOB)
@@ -42,6 +43,11 @@ def _reader(spark: SparkSession):
     )
 
 
+def _passed_over(spark: SparkSession, root: str, exclude: Iterable[str]) -> DataFrame:
+    """The listing of the files in scope that Spark's readers leave out."""
+    return list_tree(spark, root).filter(f"{in_scope('relative', exclude)} AND {passed_over()}")
+
+
 def list_files(spark: SparkSession, root: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> DataFrame:
     """``path, length`` of the files in scope below ``root``; contents stay unread."""
     return list_tree(spark, root).filter(in_scope("relative", exclude)).drop("relative")
@@ -53,10 +59,7 @@ def read_files(
     exclude: Iterable[str] = DEFAULT_EXCLUDES,
     up_to_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """``path, content`` of the files in scope that are not above ``up_to_bytes``.
-
-    Files that Spark's reader passes over are added whatever their size.
-    """
+    """``path, content`` of the files in scope that are not above ``up_to_bytes``."""
     root = qualified(spark, root)
     ordinary = (
         _reader(spark)
@@ -66,7 +69,7 @@ def read_files(
         .selectExpr(f"{plain_path('_metadata.file_path')} AS path", "content")
         .filter(in_scope("path", exclude, plain_root(root)))
     )
-    others = list_tree(spark, root).filter(f"{in_scope('relative', exclude)} AND {passed_over()}")
+    others = _passed_over(spark, root, exclude).filter(F.col("length") <= up_to_bytes)
     return ordinary.unionByName(read_listed(others, root))
 
 
@@ -91,11 +94,11 @@ def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], ab
         )
         .filter(in_scope(plain_path("_file"), exclude, plain_root(root)))
     )
+    others = _passed_over(spark, root, exclude).filter(F.col("length") > above_bytes)
+    every = lines.selectExpr("*", "monotonically_increasing_id() AS _id").unionByName(read_listed_lines(others, root))
     # Escaping leaves the supported extensions as they are, so the language can
     # be told from the URI, and the URI be resolved for findings only.
-    return with_language(lines, "_file").selectExpr(
-        "*", "monotonically_increasing_id() AS _id", "0 AS line", "false AS latin1"
-    )
+    return with_language(every, "_file").selectExpr("*", "0 AS line", "false AS latin1")
 
 
 def _split_offsets(lines: DataFrame) -> DataFrame:
@@ -104,6 +107,8 @@ def _split_offsets(lines: DataFrame) -> DataFrame:
     The reader hides a byte order mark, and the empty line after a final line
     feed.  Both show in how the file's size compares with that of its lines,
     counting a line feed for each: 3 more with a mark, 1 less without the feed.
+    Any other difference means that the file was not read to its end.  Such a
+    file has no rows here, so neither findings nor a marker come of it.
     """
     splits = lines.groupBy("_file", "_block", "_size").agg(
         F.count("*").alias("_n"),
@@ -113,7 +118,7 @@ def _split_offsets(lines: DataFrame) -> DataFrame:
     file = "OVER (PARTITION BY _file)"
     in_order = "OVER (PARTITION BY _file ORDER BY _block"
     unseen = f"_size - sum(_bytes) {file}"
-    return splits.selectExpr(
+    numbered = splits.selectExpr(
         "_file",
         "_block",
         "_first",
@@ -121,7 +126,9 @@ def _split_offsets(lines: DataFrame) -> DataFrame:
         f"sum(_n) {file} + if({unseen} IN (0, 3), 1, 0) AS n_lines",
         f"{unseen} >= 2 AS _has_mark",
         f"row_number() {in_order}) = 1 AS _opens",
+        f"{unseen} IN (-1, 0, 2, 3) AS _whole",
     )
+    return numbered.filter("_whole").drop("_whole")
 
 
 def _scan_large_files(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import time
+import uuid
 
-from flawsieve.operators.numbering import IS_FINDING, LINES_PER_PART
-from flawsieve.plans.reports import findings_text
-from flawsieve.plans.scan import once
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flawsieve.operators.numbering import IS_FINDING, PART_SIZE
+from flawsieve.plans.reports import numbered_lines
 
 FORMATS = ("json", "text", "parquet")
 
@@ -17,19 +19,39 @@ def _compact(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "path")
 
 
-def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part: int = LINES_PER_PART) -> None:
+def stage(log: DataFrame, folder: str | None = None) -> DataFrame:
+    """``log``, computed now, written to ``folder`` and read from there.
+
+    For reports that read their input twice: a log is small beside the text it
+    comes from, so keeping it is cheaper than scanning again, and it outlives
+    lost executors.  Without ``folder`` a new one below ``spark.checkpoint.dir``
+    is taken; where that is unset too, this raises.
+    """
+    spark = log.sparkSession
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+        folder = f"{shared.rstrip('/')}/log-{uuid.uuid4().hex}"
+    _compact(log).write.mode("overwrite").parquet(folder)
+    return spark.read.schema(log.schema).parquet(folder)
+
+
+def write_findings(
+    log: DataFrame, path: str, fmt: str = "json", part_size: int = PART_SIZE, staging: str | None = None
+) -> None:
     """Write findings to the folder ``path``.
 
     ``json`` and ``parquet`` hold one finding per row.  ``text`` holds a line
     with the file's path and then its numbered findings, clean files included;
-    the parts of a long file follow each other in order.
+    the parts of a long file follow each other in order.  It reads the log
+    twice, so keeps it in ``staging`` (see ``stage``).
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}: {fmt}")
     if fmt == "text":
-        parts = findings_text(once(log), lines_per_part)
-        opens = F.col("part") == F.min("part").over(Window.partitionBy("path"))
-        text = F.concat_ws("\n", F.when(opens, F.col("path")), "text").alias("value")
+        parts = numbered_lines(stage(log, staging), part_size)
+        text = F.concat_ws("\n", F.when(F.col("opens"), F.col("path")), "text").alias("value")
         lines = parts.select("path", "part", text).repartitionByRange("path", "part").sortWithinPartitions("path", "part")
         lines.select("value").write.mode("overwrite").text(path)
     else:
@@ -39,32 +61,37 @@ def write_findings(log: DataFrame, path: str, fmt: str = "json", lines_per_part:
 def write_run(log: DataFrame, store: str, run_id: int) -> None:
     """Store a scan log as run ``run_id``.
 
-    Writing a run again replaces it.  The entry in ``runs`` is written last, so
-    a run that failed half-way is never taken for the last one.
+    Every attempt has a folder of its own, and a row in ``runs`` that is added
+    when the log is complete.  Readers take the newest such attempt, so one that
+    failed half-way never counts, and the run before it stays whole.
     """
-    spark = log.sparkSession
-    folder = f"{store}/log/run_id={run_id}"
-    _compact(log).write.mode("overwrite").parquet(folder)
-    stored = spark.read.schema(log.schema).parquet(folder)
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    stored = stage(log, f"{store}/log/run_id={run_id}/attempt={attempt}")
     counts = stored.agg(
+        F.lit(attempt).alias("attempt"),
         F.expr(f"count_if(NOT {IS_FINDING}) AS n_files"),
         F.expr(f"count_if({IS_FINDING}) AS n_issues"),
     )
-    counts.write.mode("overwrite").parquet(f"{store}/runs/run_id={run_id}")
+    counts.coalesce(1).write.mode("append").parquet(f"{store}/runs/run_id={run_id}")
+
+
+def _attempts(spark: SparkSession, store: str) -> DataFrame:
+    schema = "attempt string, n_files bigint, n_issues bigint, run_id bigint"
+    runs = spark.read.schema(schema).parquet(f"{store}/runs")
+    return runs.groupBy("run_id").agg(F.max(F.struct("attempt", "n_files", "n_issues")).alias("_newest")).select("run_id", "_newest.*")
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    """``run_id, n_files, n_issues`` of every run."""
-    runs = spark.read.schema("n_files bigint, n_issues bigint, run_id bigint").parquet(f"{store}/runs")
-    return runs.select("run_id", "n_files", "n_issues")
+    """``run_id, n_files, n_issues`` of every run, by its newest attempt."""
+    return _attempts(spark, store).drop("attempt")
 
 
 def last_run(spark: SparkSession, store: str) -> DataFrame | None:
     """The log of the run with the greatest id, or None if it found nothing."""
-    newest = read_runs(spark, store).agg(F.max("run_id"), F.max_by("n_issues", "run_id")).first()
-    if newest is None or not newest[1]:
+    newest = _attempts(spark, store).agg(F.max(F.struct("run_id", "attempt", "n_issues")).alias("_last")).first()[0]
+    if newest is None or not newest.n_issues:
         return None
-    return spark.read.parquet(f"{store}/log/run_id={newest[0]}")
+    return spark.read.parquet(f"{store}/log/run_id={newest.run_id}/attempt={newest.attempt}")
 
 
 def last_run_of(log: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ read here, in tasks, by a small helper over Arrow's file systems.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -21,8 +22,9 @@ from flawsieve.functions.text import quoted
 # walk what lies below them.
 FOLDERS_TO_START_FROM = 256
 
-# What Arrow and a row can hold with room to spare.
-LARGEST_READ = 1 << 30
+# The bytes of a file that one task reads line by line, and those of a batch.
+SPLIT_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 
 # The folder and file names Spark's listing passes over.
 _FOLDER_PASSED_OVER = r"(?:_(?!common_metadata|metadata)[^/=]*|\.[^/]*|[^/]*\._COPYING_)"
@@ -95,24 +97,85 @@ def passed_over() -> str:
 
 
 def read_listed(listing: DataFrame, root: str) -> DataFrame:
-    """``path, content`` of the files of a listing of ``root``, one at a time per task.
+    """``path, content`` of the files of a listing of ``root``.
 
-    A file that cannot be read, or is above ``LARGEST_READ``, is left out, as
-    Spark's readers are told to do; ``unread_files`` tells which.  The files are
-    spread by path, for a listing task may have found many.
+    A file that cannot be read is left out, as Spark's readers are told to do;
+    ``unread_files`` tells which.  The files are spread by path, for a listing
+    task may have found many.
     """
     root = qualified(listing.sparkSession, root)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(root)
+        paths, contents, size = [], [], 0
         for batch in batches:
             for path, relative in zip(batch["path"], batch["relative"]):
                 try:
                     with system.open_input_stream(f"{base}/{relative}") as stream:
-                        content = stream.read()
+                        contents.append(stream.read())
                 except OSError:
                     continue
-                yield pd.DataFrame({"path": [path], "content": [content]})
+                paths.append(path)
+                size += len(contents[-1])
+                if size > BATCH_BYTES or len(paths) == 4096:
+                    yield pd.DataFrame({"path": paths, "content": contents})
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield pd.DataFrame({"path": paths, "content": contents})
 
-    readable = listing.filter(f"length <= {LARGEST_READ}").select("path", "relative")
-    return readable.repartition("path").mapInPandas(read, "path string, content binary")
+    return listing.select("path", "relative").repartition("path").mapInPandas(read, "path string, content binary")
+
+
+def read_listed_lines(listing: DataFrame, root: str) -> DataFrame:
+    """``raw, _file, _size, _block, _id``: the lines of the files of a listing.
+
+    Files are read as ranges of ``SPLIT_BYTES``, each by a task: a line belongs
+    to the range in which it begins.  As with Spark's reader, a byte order mark
+    and the empty line after a final line feed do not show.  Of a range that
+    cannot be read to its end nothing is given beyond the error, which the size
+    of its file then tells.
+    """
+    root = qualified(listing.sparkSession, root)
+    ranges = listing.selectExpr(
+        "path", "relative", "length", f"explode(sequence(0L, greatest(length - 1, 0L), {SPLIT_BYTES}L)) AS start"
+    ).repartition("path", "start")
+    width = SPLIT_BYTES
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _open(root)
+
+        def lines_from(relative: str, start: int) -> Iterator[bytes]:
+            with io.BufferedReader(system.open_input_file(f"{base}/{relative}"), 1 << 20) as stream:
+                if start:  # what began before this range is of an earlier one
+                    stream.seek(start - 1)
+                    stream.readline()
+                at = stream.tell()
+                while at < start + width and (line := stream.readline()):
+                    yield line.removeprefix(b"\xef\xbb\xbf" if at == 0 else b"").removesuffix(b"\n")
+                    at += len(line)
+
+        for batch in batches:
+            for path, relative, length, start in batch[["path", "relative", "length", "start"]].itertuples(index=False):
+                found, size, n = [], 0, 0
+
+                def rows() -> pd.DataFrame:
+                    ids = range(n - len(found), n)
+                    return pd.DataFrame({"_raw": found, "_path": path, "_size": length, "_block": start, "_id": ids})
+
+                try:
+                    for line in lines_from(relative, start):
+                        found.append(line)
+                        size, n = size + len(line), n + 1
+                        if size > BATCH_BYTES or len(found) == 1 << 16:
+                            yield rows()
+                            found, size = [], 0
+                except OSError:
+                    pass
+                if found:
+                    yield rows()
+
+    lines = ranges.mapInPandas(read, "_raw binary, _path string, _size bigint, _block bigint, _id bigint")
+    # The path as part of a URI, as Spark's reader gives it.
+    return lines.selectExpr(
+        "CAST(_raw AS STRING) AS raw", "replace(_path, '%', '%25') AS _file", "_size", "_block", "_id"
+    )

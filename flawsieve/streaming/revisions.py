@@ -52,13 +52,13 @@ def write_revision_log(
     )
 
 
-def current_findings(log: DataFrame) -> DataFrame:
-    """The findings of each path's latest revision.
+def compact(log: DataFrame) -> DataFrame:
+    """The markers and findings of each path's latest revision.
 
-    The marker of a revision without findings is what makes the findings of
-    earlier ones vanish.  A revision delivered twice counts once.  Rows are
-    matched on path and version together, so a file saved very often does not
-    gather its history in one task.
+    A revision delivered twice counts once.  Rows are matched on path and
+    version together, so a file saved very often does not gather its history in
+    one task.  Written to a new folder now and then, this keeps a store from
+    growing with its history; ``current_findings`` of it and of the store agree.
     """
     latest = (
         log.filter(F.col("rule_ord") == FILE_MARKER)
@@ -66,6 +66,14 @@ def current_findings(log: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(*VERSION)).alias("_latest"))
         .select("path", "_latest.*")
     )
-    found = log.filter(F.col("rule_ord") != FILE_MARKER).drop("n_lines")
-    same = [found[c].eqNullSafe(latest[c]) for c in ("path", *VERSION)]  # a version may be null
-    return found.join(latest, same, "left_semi").distinct()
+    same = [log[c].eqNullSafe(latest[c]) for c in ("path", *VERSION)]  # a version may be null
+    return log.join(latest, same, "left_semi").distinct()
+
+
+def current_findings(log: DataFrame) -> DataFrame:
+    """The findings of each path's latest revision.
+
+    The marker of a revision without findings is what makes the findings of
+    earlier ones vanish.
+    """
+    return compact(log).filter(F.col("rule_ord") != FILE_MARKER).drop("n_lines")

@@ -8,8 +8,9 @@ from flawsieve.functions.paths import extension
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
 from flawsieve.operators.lines import explode_lines, with_language
 from flawsieve.plans import reports
-from flawsieve.plans.scan import findings, once, scan_log, scan_table
-from flawsieve.rules import HEURISTIC_PATH, HEURISTIC_SECRET, HEURISTIC_SQL, HEURISTIC_XSS, RULE_SETS, Rule
+from flawsieve.plans.scan import findings, scan_log, scan_table
+from flawsieve.plans.workspace import scope_counts, workspace_log, workspace_report
+from flawsieve.rules import RULE_SETS, SEVERITIES, Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES, supported_files
 from flawsieve.sources.store import last_run_of
 from flawsieve.streaming.revisions import current_findings, scan_revisions
@@ -30,6 +31,16 @@ TWIN_RULES = tuple(
     )
 )
 
+# A rule for each pair of the letters a to p: far more than the scan tests one by one.
+MANY_RULES = tuple(
+    Rule(name, i + 1, chr(97 + i // 16) + chr(97 + i % 16), SEVERITIES[i % 3], f"Letters {i}", i % 100 / 100)
+    for name in RULE_SETS
+    for i in range(256)
+)
+
+# So small that most files of the corpus have several parts.
+SMALL_PART = 3
+
 
 def _wide(df: DataFrame) -> DataFrame:
     """Integers as BIGINT, so that both engines agree on types."""
@@ -78,7 +89,7 @@ def lines(spark, sf_dir):
 
 
 def rule_match(spark, sf_dir):
-    return _wide(_findings(spark, sf_dir).filter(F.col("rule_ord") < HEURISTIC_SQL[0]))
+    return _wide(scan_table(code_corpus(spark, sf_dir), heuristics=()))
 
 
 def confidence_band(spark, sf_dir):
@@ -86,9 +97,9 @@ def confidence_band(spark, sf_dir):
     return rules.groupBy("issue", "confidence").agg(F.count("*").alias("n"))
 
 
-def _heuristic(rule_ord: int):
+def _heuristic(flag: str):
     def query(spark, sf_dir):
-        found = _findings(spark, sf_dir).filter(F.col("rule_ord") == rule_ord)
+        found = scan_table(code_corpus(spark, sf_dir), rules=(), heuristics=[flag])
         return _wide(found.select("path", "line", "issue", "severity"))
 
     return query
@@ -96,7 +107,7 @@ def _heuristic(rule_ord: int):
 
 def heur_secret(spark, sf_dir):
     files = code_corpus(spark, sf_dir).select("path", "content").unionByName(_texts(spark, sf_dir))
-    found = scan_table(files).filter(F.col("rule_ord") == HEURISTIC_SECRET[0])
+    found = scan_table(files, rules=(), heuristics=["h_secret"])
     return _wide(found.select("path", "line", "issue", "severity"))
 
 
@@ -127,7 +138,7 @@ def min_severity(spark, sf_dir):
 
 
 def ordered_findings(spark, sf_dir):
-    return _wide(reports.ordered_findings(once(_findings(spark, sf_dir))))
+    return _wide(reports.ordered_findings(_findings(spark, sf_dir)))
 
 
 def diagnostics(spark, sf_dir):
@@ -142,8 +153,7 @@ def severity_by_file(spark, sf_dir):
     return reports.severity_by_file(_findings(spark, sf_dir))
 
 
-def report_by_file(spark, sf_dir):
-    report = reports.report_by_file(once(_findings(spark, sf_dir)), "/repo")
+def _flat(report: DataFrame) -> DataFrame:
     # One string instead of the array, which the two engines would hash apart.
     issues = F.transform(
         "issues", lambda i: F.concat_ws("|", i["line"].cast("string"), i["severity"], i["issue"])
@@ -151,16 +161,65 @@ def report_by_file(spark, sf_dir):
     return _wide(report.withColumn("issues", F.array_join(issues, "\n")))
 
 
+def report_by_file(spark, sf_dir):
+    return _flat(reports.report_by_file(_findings(spark, sf_dir), "/repo"))
+
+
+def report_by_file_parts(spark, sf_dir):
+    return _flat(reports.report_by_file(_findings(spark, sf_dir), "/repo", SMALL_PART))
+
+
+def report_json_parts(spark, sf_dir):
+    return _wide(reports.report_json(_log(spark, sf_dir), SMALL_PART))
+
+
+def findings_text_parts(spark, sf_dir):
+    return _wide(reports.findings_text(_log(spark, sf_dir), SMALL_PART))
+
+
+def _workspace(spark: SparkSession, sf_dir: str):
+    return workspace_report(workspace_log(code_corpus(spark, sf_dir)), root="/repo")
+
+
+def workspace_summary(spark, sf_dir):
+    return _workspace(spark, sf_dir).summary
+
+
+def workspace_reports(spark, sf_dir):
+    return _flat(_workspace(spark, sf_dir).by_file)
+
+
+def workspace_label(spark, sf_dir):
+    return _workspace(spark, sf_dir).label
+
+
+def workspace_scope(spark, sf_dir):
+    files = code_corpus(spark, sf_dir)
+    return scope_counts(files, workspace_log(files))
+
+
+def user_rules(spark, sf_dir):
+    return _wide(scan_table(code_corpus(spark, sf_dir), rules=MANY_RULES, heuristics=()))
+
+
+def explode_conversations(spark, sf_dir):
+    """Every turn taken for a Java file."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
+        "concat('conv/', conv_id, '/', turn, '.java') AS path", "text AS content"
+    )
+    return _wide(explode_lines(turns))
+
+
 def report_json(spark, sf_dir):
-    return _wide(reports.report_json(once(_log(spark, sf_dir))))
+    return _wide(reports.report_json(_log(spark, sf_dir)))
 
 
 def report_text(spark, sf_dir):
-    return _wide(reports.report_text(once(_log(spark, sf_dir))))
+    return _wide(reports.report_text(_log(spark, sf_dir)))
 
 
 def findings_text(spark, sf_dir):
-    return _wide(reports.findings_text(once(_log(spark, sf_dir))))
+    return _wide(reports.findings_text(_log(spark, sf_dir)))
 
 
 def report_title(spark, sf_dir):
@@ -185,7 +244,7 @@ def last_run_report(spark, sf_dir):
 
 
 def current(spark, sf_dir):
-    log = once(scan_revisions(revisions(spark, sf_dir)))
+    log = scan_revisions(revisions(spark, sf_dir))
     return _wide(current_findings(log))
 
 
@@ -196,9 +255,9 @@ QUERIES = {
     "explode_lines": lines,
     "rule_match": rule_match,
     "confidence_band": confidence_band,
-    "heur_sql": _heuristic(HEURISTIC_SQL[0]),
-    "heur_xss": _heuristic(HEURISTIC_XSS[0]),
-    "heur_path": _heuristic(HEURISTIC_PATH[0]),
+    "heur_sql": _heuristic("h_sql"),
+    "heur_xss": _heuristic("h_xss"),
+    "heur_path": _heuristic("h_path"),
     "heur_secret": heur_secret,
     "secret_assignment": secret_assignment,
     "secret_format": secret_format,
@@ -214,6 +273,15 @@ QUERIES = {
     "report_json": report_json,
     "report_text": report_text,
     "findings_text": findings_text,
+    "report_by_file_parts": report_by_file_parts,
+    "report_json_parts": report_json_parts,
+    "findings_text_parts": findings_text_parts,
+    "workspace_summary": workspace_summary,
+    "workspace_report": workspace_reports,
+    "workspace_label": workspace_label,
+    "workspace_scope": workspace_scope,
+    "user_rules": user_rules,
+    "explode_conversations": explode_conversations,
     "report_title": report_title,
     "status_label": status_label,
     "scan_status": scan_status,

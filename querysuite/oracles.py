@@ -128,6 +128,12 @@ rl(rule_set, rule_ord, pattern, severity, description, score) AS (
                (4, 'exec', 'High', 'Execution', 0.5),
                (5, 'random', 'Low', 'Randomness', 0.65)) r)"""
 
+_MANY_RULES = """
+rl(rule_set, rule_ord, pattern, severity, description, score) AS (
+  SELECT v.rule_set, i + 1, chr(CAST(97 + i // 16 AS INTEGER)) || chr(CAST(97 + i % 16 AS INTEGER)),
+         ['High', 'Medium', 'Low'][i % 3 + 1], 'Letters ' || i, CAST(i % 100 AS DOUBLE) / 100
+  FROM (VALUES ('python'), ('javascript'), ('java'), ('c')) v(rule_set), range(0, 256) g(i))"""
+
 
 def _files(name: str, where: str = "true", clean: str = "(event_id // 20) % 19 = 3") -> str:
     """A CTE that builds the corpus files from ``events``."""
@@ -261,6 +267,24 @@ SELECT 'doc/' || doc_id || '.py' AS path, text AS content FROM documents
 UNION ALL SELECT 'p/' || page_id || '.js', html FROM pages"""
 _IN_SCOPE = """ext IN ('.py', '.js', '.jsx', '.ts', '.tsx', '.java', '.c', '.cpp', '.cc', '.cxx',
   '.hpp', '.h', '.go', '.php', '.cs', '.rs') AND NOT contains(path, '/node_modules/')"""
+_WANTED = f"""{_IN_SCOPE} AND NOT contains(path, '/test/')
+  AND NOT contains(path, '/tests/') AND NOT contains(path, '/__pycache__/')"""
+_WORKSPACE = _SCAN.rstrip() + f""",
+ws AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, rule_ord) AS n FROM found
+  WHERE severity IN ('High', 'Medium') AND path IN (SELECT path FROM ft WHERE {_WANTED}))
+"""
+# Parts of three findings, within chunks of three lines.
+_PARTS = _SCAN.rstrip() + """,
+parted AS (
+  SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY chunk, sub) - 1 AS part,
+         count(*) OVER (PARTITION BY path) AS total
+  FROM (
+    SELECT *, (row_number() OVER (PARTITION BY path, chunk ORDER BY n) - 1) // 3 AS sub
+    FROM (SELECT *, (line - 1) // 3 AS chunk FROM numbered))),
+pieces AS (SELECT *, max(part) OVER (PARTITION BY path) AS final FROM parted)
+"""
+_PIECE_JOIN = "FROM (SELECT DISTINCT path FROM ft) f LEFT JOIN pieces d ON d.path = f.path GROUP BY f.path, part"
 _CLEAN_JOIN = "FROM (SELECT DISTINCT path FROM ft) f LEFT JOIN numbered d ON d.path = f.path"
 
 
@@ -342,6 +366,48 @@ FROM numbered GROUP BY path""",
   string_agg(n || '. [Line ' || line || '] (' || severity || ') ' || issue, chr(10) ORDER BY n),
   'No security vulnerabilities found.') AS text
 {_CLEAN_JOIN} GROUP BY f.path""",
+    "report_by_file_parts": _PARTS
+    + """SELECT path[7:] AS "fileName", part, any_value(total) AS n_issues, CASE WHEN part = 0 THEN
+  path[7:] || ' (' || any_value(total) || ' issue' || CASE WHEN any_value(total) = 1 THEN '' ELSE 's' END || ')' END AS header,
+  string_agg(line || '|' || severity || '|' || issue, chr(10) ORDER BY n) AS issues
+FROM pieces GROUP BY path, part""",
+    "report_json_parts": _PARTS
+    + f"""SELECT f.path, coalesce(part, 0) AS part, CASE WHEN count(n) = 0 THEN '[]' ELSE
+  CASE WHEN part = 0 THEN '[' || chr(10) ELSE '' END ||
+  string_agg('  {{' || chr(10) || '    "line": ' || line || ',' || chr(10) ||
+    '    "issue": ' || CAST(to_json(issue) AS VARCHAR) || ',' || chr(10) ||
+    '    "severity": ' || CAST(to_json(severity) AS VARCHAR) || chr(10) || '  }}',
+    ',
+' ORDER BY n) ||
+  CASE WHEN part = max(final) THEN chr(10) || ']' ELSE ',' || chr(10) END END AS json
+{_PIECE_JOIN}""",
+    "findings_text_parts": _PARTS
+    + f"""SELECT f.path, coalesce(part, 0) AS part, CASE WHEN count(n) = 0 THEN 'No security vulnerabilities found.' ELSE
+  string_agg(n || '. [Line ' || line || '] (' || severity || ') ' || issue, chr(10) ORDER BY n) ||
+  CASE WHEN part = max(final) THEN '' ELSE chr(10) END END AS text
+{_PIECE_JOIN}""",
+    "workspace_summary": _WORKSPACE + f"SELECT count(DISTINCT path) AS n_files, {_COUNTS} FROM ws",
+    "workspace_report": _WORKSPACE
+    + """SELECT path[7:] AS "fileName", CAST(0 AS BIGINT) AS part, count(*) AS n_issues,
+  path[7:] || ' (' || count(*) || ' issue' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ')' AS header,
+  string_agg(line || '|' || severity || '|' || issue, chr(10) ORDER BY n) AS issues
+FROM ws GROUP BY path""",
+    "workspace_label": _WORKSPACE
+    + """SELECT count(*) AS n_issues, CASE WHEN count(*) = 0 THEN 'Security: Clean'
+  ELSE 'Security: ' || count(*) || ' issue' || CASE WHEN count(*) > 1 THEN 's' ELSE '' END END AS label
+FROM ws""",
+    "workspace_scope": _with(*_CORPUS)
+    + f"""SELECT count(DISTINCT path) FILTER ({_WANTED}) AS n_scanned, CAST(0 AS BIGINT) AS n_unreadable,
+  count(DISTINCT path) FILTER (NOT ({_WANTED})) AS n_skipped FROM ft""",
+    "user_rules": _with(
+        *_CORPUS, _LINES, _MANY_RULES, _FOUND
+    )
+    + f"SELECT {_FINDING} FROM found WHERE rule_ord < 1001",
+    "explode_conversations": _with(
+        _typed("(SELECT 'conv/' || conv_id || '/' || turn || '.java' AS path, text AS content FROM conversations)"),
+        _LINES,
+    )
+    + "SELECT path, language, rule_set, CAST(line AS BIGINT) AS line, t AS text FROM ln",
     "report_title": _SCAN
     + """SELECT 'Analysis completed for ' || count(DISTINCT path) || ' file' ||
   CASE WHEN count(DISTINCT path) = 1 THEN '' ELSE 's' END AS title FROM found""",

@@ -98,6 +98,12 @@ def test_reports_group_by_part_not_by_file(stored):
     plan = plan_of(reports.report_text(scan_log(stored)))
     keys = re.findall(r"listagg.*", plan)
     assert keys
-    # The only windows over a whole file are those over its counts per part.
+    # The only windows over a whole file are those over its counts per chunk.
     windows = re.findall(r"Window \[(.*)", plan)
-    assert all("part#" in w or "rule_ord" not in w for w in windows)
+    assert all("chunk#" in w or "rule_ord" not in w for w in windows)
+
+
+def test_filter_looks_for_what_is_asked_only(spark, sf_small):
+    plan = plan_of(QUERIES["heur_sql"](spark, sf_small))
+    assert "execute(" in plan
+    assert not any(text in plan for text in ("AIza", "gho_", "credential", "private_key"))

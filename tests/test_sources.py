@@ -27,6 +27,7 @@ FILES = {
     "_metadata_of/a.py": b"eval(x)",
     "_metadata_of/_other/a.py": b"eval(x)",
     "a._COPYING_/b.go": b"eval(x)",
+    ".hidden/_long%41+.py": b"\xef\xbb\xbf# eval(x)\n" + b"x = 1\n\xff eval(y)\n" * 40 + b"exec(z)",
     "empty.c": b"",
     "notes.txt": b"eval(x)",
     "py": b"eval(x)",
@@ -87,7 +88,8 @@ def test_files_out_of_scope_are_not_read(spark, tree):
     assert {os.path.splitext(f)[1].lower() for f in files} == {".py", ".js", ".c", ".rs"}
 
 
-def test_file_larger_than_a_row_scans_the_same(spark, tree, tiny_splits):
+def test_file_larger_than_a_row_scans_the_same(spark, tree, tiny_splits, monkeypatch):
+    monkeypatch.setitem(sources.list_tree.__globals__, "SPLIT_BYTES", 50)
     whole = scan_path(spark, tree, exclude=())
     split = scan_path(spark, tree, exclude=(), whole_file_bytes=60)
     assert sources.read_files(spark, tree, (), 60).count() == 12
@@ -112,6 +114,22 @@ def test_unread_files(spark, tree, folder):
     assert [(os.path.basename(r.path), r.reason) for r in gone] == [("small.py", "unreadable")]
 
 
+def test_large_files_read_in_part_are_told(spark, tree, tiny_splits, monkeypatch):
+    lines = sources._large_file_lines
+
+    def failing(*args):  # one split of one file ends early
+        return lines(*args).filter("NOT (_file LIKE '%crlf.js' AND _block = 64)")
+
+    whole = scan_path(spark, tree, exclude=(), whole_file_bytes=60)
+    monkeypatch.setattr(sources, "_large_file_lines", failing)
+    log = scan_path(spark, tree, exclude=(), whole_file_bytes=60)
+    gone = sources.unread_files(sources.list_files(spark, tree, ()), log).collect()
+    assert [os.path.basename(r.path) for r in gone] == ["crlf.js"]
+    # Collected whole, as a filter on paths would change the splits.
+    expected = [r for r in whole.collect() if not r.path.endswith("crlf.js")]
+    assert sorted(map(str, log.collect())) == sorted(map(str, expected))
+
+
 def test_supported_files_are_distinct(spark):
     df = spark.createDataFrame([("a.py",), ("a.py",), ("a.txt",), ("node_modules/a.py",)], "path string")
     assert [r.path for r in sources.supported_files(df).collect()] == ["a.py"]
@@ -135,6 +153,19 @@ def test_formats(spark, folder):
         write_findings(log, f"{folder}/xml", "xml")
 
 
+def test_text_sink_keeps_long_files_together(spark, folder):
+    long = "\n".join(["eval(x)"] * 50)
+    log = scan_log(spark.createDataFrame([("a.py", long), ("b.py", "x"), ("c.py", long)], "path string, content string"))
+    write_findings(log, f"{folder}/text", "text", part_size=7, staging=f"{folder}/log")
+    wanted = [f"{n}. [Line {n}] (High) " for n in range(1, 51)]
+    names = sorted(f for f in os.listdir(f"{folder}/text") if f.startswith("part-"))
+    got = [line for name in names for line in open(f"{folder}/text/{name}").read().splitlines()]
+    assert len(got) == 104 and [got.index(f) for f in ("a.py", "b.py", "c.py")] == [0, 51, 53]
+    assert got[52] == "No security vulnerabilities found."
+    for start in (1, 54):
+        assert all(line.startswith(w) for line, w in zip(got[start : start + 50], wanted, strict=True))
+
+
 def _lines(spark, path):
     return [r.value for r in spark.read.text(path).collect()]
 
@@ -153,10 +184,12 @@ def test_runs(spark, folder):
     ]
     assert sorted(tuple(r) for r in read_runs(spark, store).collect()) == [(1, 2, 1), (9, 1, 1), (10, 1, 2)]
     every = spark.read.parquet(f"{store}/log")
-    assert last_run_of(every).drop("run_id").exceptAll(newest).isEmpty()
+    assert last_run_of(every).drop("run_id", "attempt").exceptAll(newest).isEmpty()
 
     write_run(log_of(("a.py", "exec(x)")), store, 10)  # the same run again
     assert findings(last_run(spark, store)).count() == 1
     assert read_runs(spark, store).filter("run_id = 10").first().n_issues == 1
+    log_of(("a.py", "x")).write.parquet(f"{store}/log/run_id=10/attempt=9-broken")  # an attempt that was not finished
+    assert findings(last_run(spark, store)).count() == 1
     write_run(log_of(("a.py", "x")), store, 11)  # a clean run is the last one, and has no report
     assert last_run(spark, store) is None

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from flawsieve.streaming.revisions import current_findings, scan_revisions, write_revision_log
+from flawsieve.streaming.revisions import compact, current_findings, scan_revisions, write_revision_log
 from querysuite.corpus import revisions
 
 SCHEMA = "path string, content string, event_time timestamp, revision bigint"
@@ -86,3 +86,13 @@ def test_null_versions_keep_their_findings(spark):
     rows = [("a.py", "eval(x)", None, None), ("b.py", "eval(x)", None, 2), ("b.py", "x = 1", None, 3)]
     files = spark.createDataFrame(rows, "path string, content string, event_time timestamp, revision bigint")
     assert [r.path for r in current_findings(scan_revisions(files)).collect()] == ["a.py"]
+
+
+def test_compaction_keeps_the_view(spark, folder):
+    add(spark, folder, ("a.py", "eval(x)", at(1), 1), ("b.js", "eval(x)", at(1), 1), ("b.js", "eval(x)", None, None))
+    add(spark, folder, ("a.py", "exec(y)", at(2), 2), ("b.js", "eval(x)", at(1), 1), ("c.py", "eval(x)", None, None))
+    log = run(spark, folder)
+    compact(log).write.parquet(f"{folder}/compact")
+    small = spark.read.parquet(f"{folder}/compact")
+    assert current(small) == current(log) == [("a.py", 2, 1, 2), ("b.js", 1, 1, 1), ("c.py", None, 1, 1)]
+    assert log.count() == 12 and small.count() == 6
