@@ -4,7 +4,7 @@ A text is a vector of hashed byte trigrams of its lower-cased letters, weighted
 by term and inverse document frequency and scaled to length one. Document
 frequencies are counted over all learned documents. Centroids are fitted, by
 spherical k-means within each language, on a sample of about ``FIT_DOCUMENTS``
-documents a language, chosen by a hash of the id. Every document then gets the
+documents a language, chosen by a hash of id and text. Every document then gets the
 language of the centroid of the largest cosine; a text farther from it than
 nearly all of that centroid's own sample is not ``accepted``.
 
@@ -96,11 +96,12 @@ def fit(learned: DataFrame, fit_documents: int = FIT_DOCUMENTS):
     counts = learned.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # A number for each language, so that no text moves to meet it.
     rates = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(fit_documents / r.n)))) if counts else None
     sample = learned.filter(share < F.try_element_at(rates, F.col("lang"))) if counts else learned.filter("false")
-    sample = sample.select("lang", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+    # Rows without an id are drawn by their text, and copies of a text fall together, so one id or text swells no sample.
+    sample = sample.select("lang", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text"))
     rows = sample.groupBy("lang").applyInPandas(
         lambda pdf: _fitted(pdf, idf), "lang string, centre array<float>, reach double"
     ).toPandas().sort_values(["lang", "reach"], kind="stable")
