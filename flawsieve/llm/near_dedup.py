@@ -1,14 +1,16 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Texts with the same words form a class; only its smallest id goes on.
-2. Each class gets a signature of ``BANDS * ROWS`` minimum hashes; a band of it
-   is a bucket key, and classes that share a bucket are candidates.
+2. Each class gets a signature of ``HASHES`` minimum hashes; a band of it is a
+   bucket key, and classes that share a bucket are candidates. The bands'
+   length follows from the threshold.
 3. Star round: in each bucket every class meets the bucket's hub, the class with
    the most neighbours over all its buckets. A bucket of g classes makes g pairs.
 4. Rest round: only buckets whose classes still lie in several components go on.
    They are cut into parts of bounded size, and pairs of parts are compared in
-   the task that holds them, so that pairs never become rows. A pair counts in
-   the first band it shares, and only across components.
+   the task that holds them, so that pairs never become rows; parts of a
+   bucket's largest component do not meet each other. A pair counts in the first
+   band it shares, and only across components.
 
 In both rounds a pair's signatures are compared batch by batch; it is dropped
 once the posterior probability (uniform prior) of a similarity of at least
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 from flawsieve.llm.shared import staged
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
-HASHES = BANDS * ROWS
+HASHES = 100
 BATCH = 20
 MISS = 1e-6
+# The share of pairs at the threshold that may share no band.
+UNSEEN = 1e-5
 PART = 256
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,11 +70,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each row."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE, parts.shape[:2]).copy()
-    for r in range(ROWS):
+def band_rows(threshold: float, unseen: float = UNSEEN) -> int:
+    """The most hashes a band can have for all bands but ``unseen`` of the pairs to share one: 5 at 0.85, 4 at 0.8."""
+    rows = 1
+    while (1 - threshold ** (rows + 1)) ** (HASHES // (rows + 1)) <= unseen:
+        rows += 1
+    return rows
+
+
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` hashes of each signature."""
+    bands = HASHES // rows
+    parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _BASE, parts.shape[:2]).copy()
+    for r in range(rows):
         key = (key ^ parts[:, :, r]) * _BASE
         key ^= key >> np.uint64(31)
     return key.view(np.int64)
@@ -110,7 +122,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, class)`` of every row, and ``(class, sig, keys, n)`` of every class with words."""
 
     def sign(batches):
@@ -125,7 +137,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     n.append(len(shingles))
                     s = signature(shingles)
                     sigs.append(s.tobytes() if words else None)
-                    keys.append(band_keys(s[None])[0] if words else None)
+                    keys.append(band_keys(s[None], rows)[0] if words else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "class", "n_shingles", "sig", "keys"],
@@ -188,16 +200,32 @@ def _star_links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int
     return staged(sorted_rows.mapInArrow(verify, "a long, b long"), "star-links")
 
 
-def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
-    """Links across components within ``buckets (key, id, component, size)``."""
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)).cast("int")
-    members = staged(buckets.withColumn("part", part), "rest-members")
+def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, least: np.ndarray, rows: int) -> DataFrame:
+    """Links across components within ``buckets (key, id, component)``.
+
+    The largest component of a bucket has parts of its own, which meet all parts of
+    the others but not each other: a bucket of g classes with k of them outside its
+    largest component makes about 2 g k / PART + g rows.
+    """
+    counts = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"))
+    parts = largest.select(
+        "key", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.n")) / PART).cast("int").alias("others"),
+        F.ceil(F.col("most.n") / PART).cast("int").alias("own"),
+    )
+    # Parts from 0 are the others', those from ``others`` the largest component's.
+    of_most = F.col("component") == F.col("most")
+    h = F.xxhash64("id")
+    part = F.when(of_most, F.col("others") + F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.greatest("others", F.lit(1))))
+    last = F.when(of_most, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    # Part p meets every part q: its rows go to each pair (p, q) with p <= q and each (q, p) with q < p.
+    dealt = buckets.join(parts, "key").filter("others > 0").select(
+        "key", "id", "component", part.cast("int").alias("part"), F.sequence(F.lit(0), last).alias("meets")
+    )
+    members = staged(dealt, "rest-members")
     texts = _texts_of(docs, members.select("id").distinct())
     full = members.join(sigs, "id").join(texts, "id")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    # Part p meets every part q: its rows go to each pair (p, q) with p <= q and each (q, p) with q < p.
-    other = F.sequence(F.lit(0), parts - 1)
-    spread = full.select("key", "id", "component", "sig", "text", "part", F.explode(other).alias("q"))
+    spread = full.select("key", "id", "component", "sig", "text", "part", F.explode("meets").alias("q"))
     spread = spread.select(
         "key", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "id", "component", "sig", "text"
     )
@@ -206,7 +234,7 @@ def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: i
         key, low, high = int(pdf["key"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        keys = band_keys(sig)
+        keys = band_keys(sig, rows)
         band = int(np.argmax((keys == key).all(0)))
         root = {c: c for c in pdf["component"]}
         component, part = pdf["component"].to_numpy(), pdf["part"].to_numpy()
@@ -279,8 +307,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
 
     Texts are linked whose sets of shingles have a similarity of ``percent`` / 100 or more.
     """
-    least = least_matches(percent / 100, miss)
-    signed, classes = _classes(docs)
+    least, rows_a_band = least_matches(percent / 100, miss), band_rows(percent / 100)
+    signed, classes = _classes(docs, rows_a_band)
     reps = signed.select(F.col("doc_id").alias("id"), "class", "sig", "keys").join(classes, ["class", "id"]).dropDuplicates(["id"])
     reps = staged(reps.select("id", "sig", "keys"), "class-signatures")
     sigs = reps.select("id", "sig")
@@ -298,8 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     # A pair of classes without a common component is tested here, but for those with the hub.
     rest = named.join(several.select("key"), "key").join(hubs, "key").filter("id <> hub OR component <> hub")
-    rest = rest.select("key", "id", "component", "size").withColumn("id", F.col("id"))
-    more = _rest_links(rest, sigs, docs, percent, least)
+    rest = staged(rest.select("key", "id", "component"), "rest-buckets")
+    more = _rest_links(rest, sigs, docs, percent, least, rows_a_band)
     labels = components(links.unionByName(more))
     by_class = classes.join(labels, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
-from flawsieve.llm import oracles
+from flawsieve.llm import near_dedup, oracles
 from flawsieve.llm.decontamination import find_leaks, plain_words
 from flawsieve.llm.language_id import identify
 from flawsieve.llm.line_dedup import apply_bitmaps, drop_bitmaps, line_counts, op10_line_dedup
@@ -111,7 +111,8 @@ def test_packing(docs, none):
     assert len(windows) == 3 and sum(n for w in windows for _, _, n in w) == 20
 
 
-def test_near_duplicates(docs, none):
+def components_brute(texts, percent):
+    """``{id: (n_shingles, component)}`` by comparing all pairs."""
     sets, parent = {}, {}
 
     def find(x):
@@ -119,7 +120,7 @@ def test_near_duplicates(docs, none):
             x = parent[x]
         return x
 
-    for i, t in texts():
+    for i, t in texts:
         w = words(t)
         if i is not None:
             parent[i] = i
@@ -128,19 +129,40 @@ def test_near_duplicates(docs, none):
     for a in ids:
         for b in ids:
             shared = len(sets[a] & sets[b])
-            if a < b and shared and 100 * shared >= 85 * len(sets[a] | sets[b]):
+            if a < b and shared and 100 * shared >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates(docs, none):
+    want = components_brute(texts(), 85)
     got = near_duplicates(docs).collect()
     assert len(got) == len(rows())
     for r in got:
         if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
         else:
             assert r.kept
     assert near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_chains_of_near_duplicates(spark, monkeypatch, percent):
+    """Neighbours are linked, ends are not, some steps are too wide, and buckets have many parts."""
+    monkeypatch.setattr(near_dedup, "PART", 4)
+    rng, base = random.Random(8), [f"w{j}" for j in range(200)]
+    found = []
+    for i in range(60):
+        for _ in range(6 if i % 9 == 0 else rng.choice([1, 1, 2, 3, 4])):
+            base[rng.randrange(len(base))] = f"x{rng.random()}"
+        found.append((i * 7 % 60, " ".join(base)))
+    want = components_brute(found, percent)
+    got = near_duplicates(spark.createDataFrame(found, "doc_id long, text string"), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 2 < len({c for _, c in want.values()}) < 50
+
+
 def lines_brute(min_docs):
     blanks = " \t\n\x0b\x0c\r"
     split = [(i, t, (t or "").split("\n")) for i, t in texts()]
@@ -204,6 +226,15 @@ def test_language(spark):
     assert {r.lang_pred for r in identify(docs, docs.filter("false")).collect()} == {"und"}
 
 
+def test_language_of_rows_without_id(spark):
+    """One text copied often, and rows without an id, do not swell the sample."""
+    rows = [(None, f"the thing number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en", False) for i in range(300)]
+    rows += [(1, "le loir et la foire", "fr", False)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean")
+    got = identify(docs, docs.filter("NOT held_out"), 100000).collect()
+    assert len(got) == 600 and all(r.lang_pred == ("fr" if r.doc_id else "en") for r in got)
+
+
 def test_lm_scores(docs, none):
     held = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
     counts = Counter()
