@@ -14,6 +14,8 @@ from flawsieve.llm.shared import staged
 
 # The columns of documents; others of the same table are not carried.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near duplicates: shingles of five words that agree to 80 % or more.
+SIMILAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates; of its repeated rows, one."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, SIMILAR_PERCENT).filter("kept").select("doc_id").distinct()
     known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
     nameless = docs.select(*COLUMNS).filter("doc_id IS NULL")  # no id, so no duplicate of any
     return known.dropDuplicates(["doc_id"]).unionByName(nameless)
