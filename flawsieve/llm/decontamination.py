@@ -8,7 +8,7 @@ Item-sized windows start at every word. An edit spoils one word and two pairs of
 neighbours at most, so a window with too few of the benchmark's words or pairs
 is near to no item and is passed over, which loses none. The others are embedded by CGK random walks, which turn edit distance into
 Hamming distance: step j writes the word under the pointer, and moves the
-pointer by a random bit of (j, word). Half of the walks go backwards from the
+pointer by a random bit of (j, word); words the benchmark does not have move it too. Half of the walks go backwards from the
 window's end, and tables sample the first third, the first two thirds or all of
 a walk, so that edits near one end leave some tables untouched. Tables of
 sampled coordinates, over several walks, find windows that agree with an item;
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import string
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class LengthClass:
         rng = np.random.default_rng(self.low)
         self.walks = []
         for walk in range(-(-tables // TABLES_PER_WALK)):
-            salts = rng.integers(1, 1 << 62, (2, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
+            salts = rng.integers(0, 1 << 64, (2, self.steps), np.uint64) | np.uint64(1)  # all 64 bits: the top one decides a step
             spans = [max(self.steps * (1 + i % 3) // 3, min(self.steps, BITS)) for i in range(TABLES_PER_WALK)]
             picks = [np.sort(rng.choice(n, min(BITS, n), replace=False)) for n in spans]
             self.walks.append((1 - 2 * (walk % 2), salts, picks))
@@ -163,7 +164,7 @@ def length_classes(items: list[tuple[int, list[bytes]]], percent: int, recall: f
 def _leaks(ids, texts, vocabulary, neighbours, classes, percent):
     """``(doc_id, item_id, end_word, distance)`` of the best passage for each document and item."""
     get = vocabulary.get
-    coded = [np.array([get(w, 0) for w in plain_words(t)], np.int32) for t in texts]
+    coded = [np.array([get(w) or -1 - crc32(w) for w in plain_words(t)], np.int64) for t in texts]
     words = np.concatenate(coded)
     if not len(words):
         return

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import oracle
 from flawsieve.llm import near_dedup, oracles
-from flawsieve.llm.decontamination import find_leaks, plain_words
+from flawsieve.llm.decontamination import RECALL, find_leaks, plain_words
 from flawsieve.llm.language_id import identify
 from flawsieve.llm.line_dedup import apply_bitmaps, drop_bitmaps, line_counts, op10_line_dedup
 from flawsieve.llm.lm_scoring import score
@@ -268,6 +268,47 @@ def test_leaks(docs, none, spark):
     assert find_leaks(none, spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["substitutions", "insertions", "deletions", "mixed"])
+def test_leaks_with_unknown_words(spark, kind):
+    """All edits the distance allows, with words the benchmark does not have."""
+    rng = random.Random(kind)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(15, 59))]) for i in range(60)]
+    held = []
+    for d in range(120):
+        passage = list(items[d % 60][1])
+        for k in range(len(passage) // 5):
+            edit = kind if kind != "mixed" else rng.choice(["substitutions", "insertions", "deletions"])
+            at = rng.randrange(len(passage))
+            passage[at : at + (edit != "insertions")] = [] if edit == "deletions" else [f"unknown{d}x{k}"]
+        around = [[f"around{d}x{i}" for i in range(a, a + rng.randint(0, 20))] for a in (0, 50)]
+        held.append((d, around[0] + passage + around[1]))
+
+    def distance(item, words):  # of the item to the nearest run of the words
+        row = [0] * (len(words) + 1)
+        for i, w in enumerate(item):
+            new = [i + 1]
+            for j, v in enumerate(words):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (v != w)))
+            row = new
+        return min(row)
+
+    near = {}
+    for d, own in held:
+        for i, item in items:
+            if sum((Counter(item) & Counter(own)).values()) < len(item) - len(item) // 5:
+                continue  # too few words in common
+            least = distance(item, own)
+            if least <= len(item) // 5:
+                near[d, i] = least
+    assert len(near) >= 120
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in held], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in find_leaks(table, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert set(got) <= set(near)
+    assert len(got) >= RECALL * len(near)
+    assert sum(got[k] == near[k] for k in got) >= RECALL * len(got)
+
+
 def test_urls(spark, sf_small):
     urls = [(1, "http://A.example.com/en/1"), (2, "https://www.example.com/en/2?x#y"), (3, "http://b.net/es/"), (4, "ftp://x.org"), (5, None), (6, "nothing"), (6, "nothing"), (7, "http://q.com"), (None, "http://z.org/a")]
     pages = spark.createDataFrame([(*u, 1, "z") for u in urls], "page_id long, url string, n long, host string")
