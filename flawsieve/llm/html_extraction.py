@@ -1,13 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes with their root-to-leaf tag paths. Text length
-and punctuation are summed for each path, and both ratios (for each node of
-the path) are smoothed over the paths in page order and fused by their
-geometric mean. Paths whose fused ratio reaches a share of the best path's are
-content. What tags and names say is fused in as well: text inside menus,
-asides, forms, adverts, notices and comments has weight zero, and the parts of
-an article belong together, so that its headings and short paragraphs are not
-lost. Blocks of content nodes give the text.
+A page is cut into text nodes with their root-to-leaf tag paths; tags of inline
+text stay out of the paths. Text length and punctuation are summed for each path,
+and both ratios (for each block of the path) are smoothed over the paths in page
+order and fused by their geometric mean. What tags and names say is fused in as
+weights: text in links counts little, text in <article> or <main> more. Text inside
+menus, asides, forms, adverts, notices and comments has weight zero. Paths whose fused ratio reaches a share
+of the best path's are content, and headings beside or above them. If any lies in
+<article> or <main>, those outside are left out. Blocks of content nodes give the
+text.
 
 A null or empty page, and one without content, gives an empty text. Markup
 that is cut off or never closed is read as far as it goes. Repeated rows give
@@ -19,11 +20,15 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHARE = 0.1
+# Weights of text in <article> or <main>, and of text in links only.
+CONTENT_WEIGHT = 4
+LINKED_WEIGHT = 0.02
 SMOOTHING = (0.25, 0.5, 0.25)
 
 _QUOTED = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
@@ -35,12 +40,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title".split())
 _HIDDEN = frozenset("script style textarea title head noscript template svg iframe select button option object canvas audio video map dialog".split())
-_ASIDE = frozenset("nav footer aside form menu".split())
+_ASIDE = frozenset("nav footer aside menu".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTENT = frozenset("article main".split())
+_LISTS = frozenset("ul ol dl".split())  # each has paths of its own, so that one of links is told from one of text
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INNER = frozenset("a abbr b big cite code em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 # Names that tell of something beside the main text.
@@ -61,28 +67,31 @@ _CLOSES = {
 }
 
 
-def _beside(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in _ASIDE or tag == "header" and not in_content:
-        return True
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role names something beside the main text."""
     if "=" not in attributes:
         return False
     for found in _NAMES.findall(attributes):
         for name in "".join(found).lower().split():
             if not _BESIDE.isdisjoint(_WORD.split(name)):
-                return tag not in ("html", "body")
+                return True
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, str]]:
-    """``(path, block, text, beside, in_content, leaf)`` of each run of text, in page order."""
+def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, bool]]:
+    """``(path, block, text, beside, in_content, linked)`` of each run of text, in page order.
+
+    Tags of inline text are left out of paths.
+    """
     nodes, stack, block, at, n = [], [], 0, 0, len(page)
-    # A stack entry: (tag, path, hidden, beside, in_content)
-    top = ("", "", False, False, False)
+    marks = 0
+    # A stack entry: (tag, path, hidden, beside, in_content, linked, named elements around)
+    outside = ("", "", False, False, False, False, ())
+    top = outside
 
     def text(upto):
         if upto > at and not top[2]:
-            run = html.unescape(page[at:upto])
-            nodes.append((top[1], block, run, top[3], top[4], top[0]))
+            nodes.append((top[1], block, html.unescape(page[at:upto]), *top[3:]))
 
     while at < n:
         m = _MARKUP.search(page, at)
@@ -101,12 +110,12 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, str]]:
                     break
                 if tag in _INNER and stack[i][0] in _BLOCK:
                     break  # an inline end tag closes nothing beyond its block
-            top = stack[-1] if stack else ("", "", False, False, False)
+            top = stack[-1] if stack else outside
             block += tag in _BLOCK
             continue
         attributes = m[3].rstrip(">")
         if tag == "br":
-            nodes.append((top[1], block, " ", top[3] or top[2], top[4], top[0]))
+            nodes.append((top[1], block, " ", top[3] or top[2], *top[4:]))
             continue
         if tag in _BLOCK:
             block += 1
@@ -124,11 +133,16 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, str]]:
                         break
                     if stack[i][0] in bound:
                         break
-            top = stack[-1] if stack else ("", "", False, False, False)
+            top = stack[-1] if stack else outside
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
-        beside = top[3] or _beside(tag, attributes, top[4])
-        top = (tag, f"{top[1]}/{tag}", top[2] or tag in _HIDDEN, beside, top[4] or tag in _CONTENT)
+        named = top[6]
+        if tag not in ("html", "body") and (tag == "form" or _named(attributes)):
+            marks += 1
+            named = (*named, marks)
+        beside = top[3] or named != top[6] or tag in _ASIDE or tag == "header" and not top[4]
+        path = top[1] if tag in _INNER and named == top[6] else f"{top[1]}/{tag}{block if tag in _LISTS else ''}"
+        top = (tag, path, top[2] or tag in _HIDDEN, beside, top[4] or tag in _CONTENT, top[5] or tag == "a", named)
         stack.append(top)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -136,8 +150,8 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, str]]:
                 break
             at = end.end()
             stack.pop()
-            top = stack[-1] if stack else ("", "", False, False, False)
-    return nodes
+            top = stack[-1] if stack else outside
+    return [node[:6] for node in nodes]
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -148,20 +162,37 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def content_paths(nodes) -> set[str]:
     """Paths whose fused ratio of text and punctuation reaches a share of the best one's."""
-    sums: dict[str, list[float]] = {}
-    for path, _, run, beside, _, _ in nodes:
-        found = sums.setdefault(path, [0, 0.0, 0.0])
-        if not beside and not run.isspace():
-            found[0] += 1
-            found[1] += len(run.strip())
+    sums: dict[str, list] = {}
+    for path, block, run, beside, in_content, linked in nodes:
+        found = sums.setdefault(path, [0, 0, 0, 0, in_content, -1])
+        size = 0 if beside else len(run.strip())
+        if size:
+            found[0] += found[5] != block
+            found[1] += size
             found[2] += len(_PUNCTUATION.findall(run))
+            found[3] += size * linked
+            found[5] = block
     if not sums:
         return set()
     length = _smoothed([s[1] / max(s[0], 1) for s in sums.values()])
-    marks = _smoothed([(s[2] + 1) / max(s[0], 1) if s[0] else 0.0 for s in sums.values()])
-    fused = [math.sqrt(a * b) if s[0] else 0.0 for a, b, s in zip(length, marks, sums.values())]
-    best = max(fused)
-    return {path for path, f in zip(sums, fused) if f > 0 and f >= SHARE * best}
+    marks = _smoothed([s[2] / s[0] + 1 if s[0] else 0.0 for s in sums.values()])
+    fused = {
+        path: math.sqrt(a * b) * max(1 - s[3] / s[1], LINKED_WEIGHT)
+        for path, a, b, s in zip(sums, length, marks, sums.values())
+        if s[0]
+    }
+    if not fused:
+        return set()
+    best = max(fused.values())
+    inside = {path: f for path, f in fused.items() if sums[path][4]}
+    if inside and max(inside.values()) >= SHARE * best:  # the page says where its article is, and the ratios agree
+        fused, best = inside, max(inside.values()) / CONTENT_WEIGHT
+    paths = {path for path, f in fused.items() if f >= SHARE * best}
+    return {path for path in paths if not _is_heading(path)} or paths
+
+
+def _is_heading(path: str) -> bool:
+    return path.rsplit("/", 1)[-1] in _HEADING
 
 
 def main_text(page: str | None) -> str:
@@ -169,15 +200,19 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = text_nodes(page)
     paths = content_paths(nodes)
-    kept = [n for n in nodes if not n[3] and n[0] in paths]
-    if any(n[4] for n in kept):  # the page says where its article is, and the ratios agree
-        kept = [n for n in nodes if not n[3] and n[4]]
-    else:  # parts of the parents of content paths: inline text and headings beside them
-        parents = {p.rsplit("/", 1)[0] for p in paths} | paths
-        kept = [
-            n for n in nodes
-            if not n[3] and (n[0] in paths or n[5] in _INNER | _HEADING and any(n[0].startswith(p + "/") for p in parents if p.count("/") > 2))
-        ]
+    # Headings go with the text that lies beside or below them.
+    ordered = sorted(paths)
+
+    def heads(path):
+        parent = path.rsplit("/", 1)[0] + "/"
+        at = bisect_left(ordered, parent)
+        return _is_heading(path) and at < len(ordered) and ordered[at].startswith(parent)
+
+    inside = any(n[4] and n[0] in paths for n in nodes)
+    kept = [
+        n for n in nodes
+        if not n[3] and n[4] >= inside and (n[0] in paths or heads(n[0]))
+    ]
     blocks: dict[int, list[str]] = {}
     for n in kept:
         blocks.setdefault(n[1], []).append(n[2])

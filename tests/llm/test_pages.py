@@ -19,6 +19,19 @@ def test_without_article():
     assert main_text(page).split("\n") == [f"Sentence {i}, which is long enough, goes on and on." for i in range(5)]
 
 
+SENTENCES = [f"Sentence {i}, which is long enough, goes on and on." for i in range(5)]
+TEXT = "".join(f"<p>{s}</p>" for s in SENTENCES)
+
+
+def test_ratios_decide_inside_an_article():
+    links = "<ul class='topics'><li><a href='/a'>One topic</a></li><li><a href='/b'>Two topics</a></li></ul>"
+    bar = "<div class='tools'><a href='/t'>Tweet</a> <a href='/m'>Mail</a></div>"
+    page = f"<body><article><h1>Title</h1>{TEXT}{links}{bar}<section><h2>Shop</h2><div class='x'><a>Best offers</a></div></section><ul><li>Two eggs</li><li>Flour</li></ul><p>See <a>this</a>.</p></article>"
+    assert main_text(page).split("\n") == ["Title", *SENTENCES, "Two eggs", "Flour", "See this."]
+    assert main_text("<main><h1>Only a title</h1></main>") == "Only a title"
+    assert main_text("<article><p><a href='/'>Only a link.</a></p></article>") == "Only a link."
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p", 3), (4, "u", "<article><p>cut off &am", 4), (None, "u", "<" * 5000, 5), (4, "u", "<article><p>cut off &am", 4)]
     got = {(r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()}
