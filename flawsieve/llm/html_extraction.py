@@ -4,8 +4,10 @@ A page is cut into text nodes with their root-to-leaf tag paths; tags of inline
 text stay out of the paths. Text length and punctuation are summed for each path,
 and both ratios (for each block of the path) are smoothed over the paths in page
 order and fused by their geometric mean. What tags and names say is fused in as
-weights: text in links counts little, text in <article> or <main> more. Text inside
-menus, asides, forms, adverts, notices and comments has weight zero. Paths whose fused ratio reaches a share
+weights: text in links counts little, text in forms and in elements named as
+adverts, notices or comments less, text in <article> or <main> more; such a name
+says nothing of an element that holds an article or most of the page's text. Text
+inside menus and asides has weight zero. Paths whose fused ratio reaches a share
 of the best path's are content, and headings beside or above them. If any lies in
 <article> or <main>, those outside are left out. Blocks of content nodes give the
 text.
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHARE = 0.1
-# Weights of text in <article> or <main>, and of text in links only.
+# Weights of text in <article> or <main>, of text in links only, and in elements named as beside the main text.
 CONTENT_WEIGHT = 4
 LINKED_WEIGHT = 0.02
+NAMED_WEIGHT = 0.02
+NAMED = "~"
 SMOOTHING = (0.25, 0.5, 0.25)
 
 _QUOTED = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
@@ -56,6 +60,8 @@ _BESIDE = frozenset(
     "newsletter notice notices notification pagination popup promo promoted promotion related respond share sharing "
     "sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split()
 )
+# These tell it as whole names only: others contain them (has-sidebar, related-work, no-comments).
+_CLEAR = _BESIDE - frozenset("sidebar social related comment comments notice notices menu share sharing".split())
 # What an opening tag closes by itself, up to the nearest of the second set.
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -73,7 +79,7 @@ def _named(attributes: str) -> bool:
         return False
     for found in _NAMES.findall(attributes):
         for name in "".join(found).lower().split():
-            if not _BESIDE.isdisjoint(_WORD.split(name)):
+            if name in _BESIDE or not _CLEAR.isdisjoint(_WORD.split(name)):
                 return True
     return False
 
@@ -81,10 +87,11 @@ def _named(attributes: str) -> bool:
 def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, bool]]:
     """``(path, block, text, beside, in_content, linked)`` of each run of text, in page order.
 
-    Tags of inline text are left out of paths.
+    Tags of inline text are left out of paths. Elements named as beside the text have a path
+    of their own, unless they hold an article or most of the text.
     """
     nodes, stack, block, at, n = [], [], 0, 0, len(page)
-    marks = 0
+    marks, cleared = 0, set()
     # A stack entry: (tag, path, hidden, beside, in_content, linked, named elements around)
     outside = ("", "", False, False, False, False, ())
     top = outside
@@ -136,11 +143,13 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, bool]]:
             top = stack[-1] if stack else outside
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
+        if tag in _CONTENT and not top[4]:
+            cleared.update(top[6])
         named = top[6]
-        if tag not in ("html", "body") and (tag == "form" or _named(attributes)):
+        if tag not in ("html", "body", "main") and (tag == "form" or _named(attributes)):
             marks += 1
             named = (*named, marks)
-        beside = top[3] or named != top[6] or tag in _ASIDE or tag == "header" and not top[4]
+        beside = top[3] or tag in _ASIDE or tag == "header" and not top[4]
         path = top[1] if tag in _INNER and named == top[6] else f"{top[1]}/{tag}{block if tag in _LISTS else ''}"
         top = (tag, path, top[2] or tag in _HIDDEN, beside, top[4] or tag in _CONTENT, top[5] or tag == "a", named)
         stack.append(top)
@@ -151,7 +160,15 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool, bool]]:
             at = end.end()
             stack.pop()
             top = stack[-1] if stack else outside
-    return [node[:6] for node in nodes]
+    lengths: dict[int, int] = {}
+    total = 0
+    for node in nodes:
+        if not node[3]:
+            total += len(node[2].strip())
+            for mark in node[6]:
+                lengths[mark] = lengths.get(mark, 0) + len(node[2].strip())
+    cleared.update(mark for mark, length in lengths.items() if 2 * length > total)
+    return [(path if cleared.issuperset(named) else path + NAMED, *rest) for path, *rest, named in nodes]
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -177,7 +194,7 @@ def content_paths(nodes) -> set[str]:
     length = _smoothed([s[1] / max(s[0], 1) for s in sums.values()])
     marks = _smoothed([s[2] / s[0] + 1 if s[0] else 0.0 for s in sums.values()])
     fused = {
-        path: math.sqrt(a * b) * max(1 - s[3] / s[1], LINKED_WEIGHT)
+        path: math.sqrt(a * b) * max(1 - s[3] / s[1], LINKED_WEIGHT) * (NAMED_WEIGHT if path.endswith(NAMED) else 1)
         for path, a, b, s in zip(sums, length, marks, sums.values())
         if s[0]
     }

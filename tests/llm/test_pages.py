@@ -32,6 +32,16 @@ def test_ratios_decide_inside_an_article():
     assert main_text("<article><p><a href='/'>Only a link.</a></p></article>") == "Only a link."
 
 
+def test_names_are_weights():
+    inner = f"<article>{TEXT}<section class='social-policy'><p>On policy, briefly.</p></section><div id='related-work'><p>Others did, too.</p></div><div class='share'><p>Share it.</p></div></article>"
+    wanted = [*SENTENCES, "On policy, briefly.", "Others did, too."]
+    for around in ("class='has-sidebar'", "id='no-comments'", "class='widget'", "class='page sidebar'"):
+        assert main_text(f"<body><div {around}>{inner}</div><div class='ad'>Buy.</div></body>").split("\n") == wanted
+    for element in ("div class='widget'", "form id='page'", "div class='content social'"):
+        assert main_text(f"<body><{element}>{TEXT}</{element.split()[0]}></body>").split("\n") == SENTENCES
+    assert main_text(f"<body><article>{TEXT}<div class='comments'><p>A reader, at length, says hello.</p></div></article>").split("\n") == SENTENCES
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p", 3), (4, "u", "<article><p>cut off &am", 4), (None, "u", "<" * 5000, 5), (4, "u", "<article><p>cut off &am", 4)]
     got = {(r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()}
