@@ -67,7 +67,7 @@ def _block(number, known, codes, ids, flags, sizes) -> Iterator[pa.RecordBatch]:
     ], schema=_PIECES)
 
 
-def piece_blocks(docs: DataFrame, split: Callable, size: Callable) -> DataFrame:
+def piece_blocks(docs: DataFrame, split: Callable, size: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of ``docs (doc_id, flag, text)``: ``split(text)`` gives a text's pieces as a list
     of bytes, ``size(text, pieces)`` a number kept for the document.
 
@@ -75,7 +75,7 @@ def piece_blocks(docs: DataFrame, split: Callable, size: Callable) -> DataFrame:
     """
 
     def build(batches):
-        number = TaskContext.get().partitionId() << 10  # a task has at most 1024 blocks, 32 GB of text
+        number = TaskContext.get().partitionId() << 10  # a task has at most 1024 blocks, 32 GB of text by default
         known, codes, ids, flags, sizes, held = {}, [], [], [], [], 0
         for batch in batches:
             for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -86,7 +86,7 @@ def piece_blocks(docs: DataFrame, split: Callable, size: Callable) -> DataFrame:
                 flags.append(bool(flag))
                 sizes.append(size(text, found))
                 held += len(text) + 64
-                if held > BLOCK_BYTES:
+                if held > block_bytes:
                     yield from _block(number, known, codes, ids, flags, sizes)
                     number += 1
                     known, codes, ids, flags, sizes, held = {}, [], [], [], [], 0
@@ -96,8 +96,8 @@ def piece_blocks(docs: DataFrame, split: Callable, size: Callable) -> DataFrame:
     return docs.select("doc_id", "flag", "text").mapInArrow(build, _BLOCKS)
 
 
-def staged_blocks(docs: DataFrame, split: Callable, size: Callable, name: str) -> DataFrame:
-    return staged(piece_blocks(docs, split, size), name)
+def staged_blocks(docs: DataFrame, split: Callable, size: Callable, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return staged(piece_blocks(docs, split, size, block_bytes), name)
 
 
 def piece_weights(blocks: DataFrame) -> DataFrame:

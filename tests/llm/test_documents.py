@@ -254,6 +254,25 @@ def test_lm_scores(docs, none):
     assert score(none.withColumn("held_out", F.lit(False))).collect() == []
 
 
+def test_lm_scores_hear_the_order_of_words(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    after = {w: rng.sample(vocabulary, 2) for w in vocabulary}  # each word has two that follow it
+    texts = []
+    for _ in range(80):
+        text = [rng.choice(vocabulary)]
+        while len(text) < 50:
+            text.append(rng.choice(after[text[-1]]))
+        texts.append(text)
+    mixed = [rng.sample(t, len(t)) for t in texts[60:]]
+    table = [(i, i >= 60, " ".join(t)) for i, t in enumerate([*texts, *mixed])]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(table, "doc_id long, held_out boolean, text string")).collect()}
+    for i in range(60, 80):
+        ordered, other = got[i], got[i + 20]
+        assert math.isclose(ordered.base_score, other.base_score) and ordered.n_known == other.n_known
+        assert ordered.score > other.score + 5 and ordered.score > ordered.base_score + 5
+
+
 def test_leaks(docs, none, spark):
     own = {i: t for i, t in texts() if i is not None}
     passage = " ".join(own[0].split()[2:22])
