@@ -9,6 +9,7 @@ from flawsieve.llm.lm_scoring import op7_lm_scoring
 from flawsieve.llm.near_dedup import op4_minhash_near_dedup
 from flawsieve.llm.packing import op6_packing
 from flawsieve.llm.quality_rules import op3_quality_rules
+from flawsieve.llm.spelling_variants import op11_spelling_variants
 from flawsieve.llm.token_alignment import op13_token_alignment
 from flawsieve.llm.token_counts import op1_token_counts
 from flawsieve.llm.url_filters import op2_url_filters
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_token_alignment": op13_token_alignment,
 }
 
