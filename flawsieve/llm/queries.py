@@ -10,6 +10,7 @@ from flawsieve.llm.near_dedup import op4_minhash_near_dedup
 from flawsieve.llm.packing import op6_packing
 from flawsieve.llm.quality_rules import op3_quality_rules
 from flawsieve.llm.spelling_variants import op11_spelling_variants
+from flawsieve.llm.substring_dedup import op12_substring_dedup
 from flawsieve.llm.token_alignment import op13_token_alignment
 from flawsieve.llm.token_counts import op1_token_counts
 from flawsieve.llm.url_filters import op2_url_filters
@@ -26,7 +27,8 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES = {"op2_url_filters": oracles.OP2, "op10_line_dedup": oracles.OP10}
+ORACLES = {"op2_url_filters": oracles.OP2, "op10_line_dedup": oracles.OP10, "op12_substring_dedup": oracles.OP12}
