@@ -88,20 +88,20 @@ WITH d AS (
            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
     FROM documents
 ),
-w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM d),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
 windows AS (
-    SELECT r, at, string_agg(word, ' ') OVER here AS window_words, count(*) OVER here AS n
-    FROM w WINDOW here AS (PARTITION BY r ORDER BY at ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+    SELECT r, pos, string_agg(word, ' ') OVER here AS window_words, count(*) OVER here AS n
+    FROM w WINDOW here AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
 ),
 repeated AS (SELECT window_words FROM windows WHERE n = 35 GROUP BY window_words HAVING count(*) > 1),
 gone AS (
-    SELECT DISTINCT r, at + step AS at
+    SELECT DISTINCT r, pos + step AS pos
     FROM windows JOIN repeated USING (window_words), range(35) AS s(step)
     WHERE n = 35
 ),
 kept AS (
-    SELECT r, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
-    FROM w ANTI JOIN gone USING (r, at) GROUP BY r
+    SELECT r, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+    FROM w ANTI JOIN gone USING (r, pos) GROUP BY r
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
