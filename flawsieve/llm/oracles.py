@@ -85,7 +85,7 @@ FROM lines GROUP BY doc_id
 OP12 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id,
-           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
     FROM documents
 ),
 w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),

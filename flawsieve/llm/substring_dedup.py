@@ -4,7 +4,8 @@ Consecutive windows of a document whose smallest short word sequence, their
 minimiser, is the same are sent to its bucket as one packed string, so each
 word travels about three times instead of once for every window. Equal
 windows have equal minimisers and meet in one bucket, where they are sorted and
-counted exactly.
+counted exactly. Before that the minimisers alone are counted: a window whose
+minimiser occurs once in all documents has no equal, and stays.
 
 Which sequences are smallest is a matter of choice, so frequent ones come last:
 a sketch of fixed size counts the short sequences of all documents first.
@@ -28,7 +29,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,9 +46,16 @@ FREQUENT, FREQUENT_TIMES = 32, 4
 # Strings that a task looks at together, and of one bucket that it holds.
 CHUNK_BYTES = 8 << 20
 CROWDED_BYTES = 64 << 20
+# Bytes of text that are hashed together.
+SPAN_BYTES = 1 << 21
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_PER_BASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+# The white space that ends a word.
+GAPS = np.zeros(256, bool)
+GAPS[[0x20, *range(0x09, 0x0E)]] = True
+
+# Odd, so that they can be divided by modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,54 +64,81 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Codes(dict):
-    """Numbers words as they are first met."""
+def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
+    """The powers of a base from 0 to ``n``, or of its inverse."""
+    held = _powers.get((base, inverse))
+    if held is None or len(held) <= n:
+        step = np.uint64(pow(base, -1, 1 << 64) if inverse else base)
+        held = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, SPAN_BYTES), step)]))
+        if n <= SPAN_BYTES:
+            _powers[base, inverse] = held
+    return held
+
 
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
+    """A hash of each ``values[start:end]``, in order, by one sum over all of them."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _power(base, len(values))[: len(values)], dtype=np.uint64)])
+    return (sums[ends] - sums[starts]) * _power(base, len(values), True)[starts]
 
 
-def _coded(words: list[bytes]) -> tuple[np.ndarray, _Codes]:
-    known = _Codes()
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), known
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
+    """A hash of each word of ``data``; spans of whole words are hashed together."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN_BYTES)))
+        first = starts[at]
+        values = data[first : ends[to - 1]].astype(np.uint64) + np.uint64(1)
+        out[at:to] = _rolled(values, starts[at:to] - first, ends[at:to] - first, base)
+        at = to
+    return _mixed(out)
 
 
 class _Words:
-    """The words of a block of texts, one after the other."""
+    """The words of a block of texts: ``data`` has them one after the other, each with one space behind it."""
 
     def __init__(self, texts: list[str | None]):
-        split = [text.encode().split() if text else [] for text in texts]  # the white space of ASCII
-        self.n = np.fromiter(map(len, split), np.int64, len(split))
-        self.starts = np.concatenate([[0], np.cumsum(self.n)])
-        self.words = list(chain.from_iterable(split))
-        codes, known = _coded(self.words)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)[codes] if known else np.zeros(0, np.uint64)
-        self.to_end = np.repeat(self.starts[1:], self.n) - np.arange(len(self.words))  # words from here on
+        parts = [(text or "").encode() for text in texts]
+        raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+        gap = GAPS[raw] if len(raw) else np.zeros(0, bool)
+        before = np.concatenate([[True], gap[:-1]])[: len(raw)]
+        opens, closes = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+        bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.doc_starts = np.searchsorted(opens, bounds)  # first word of each text, and the end
+        kept = ~(gap & before)
+        self.data = raw[kept]
+        self.data[gap[kept]] = 0x20
+        self.ends = np.cumsum(closes - opens + 1) - 1
+        self.starts = self.ends - (closes - opens)
+        self.hashes = _word_hashes(self.data, self.starts, self.ends)
+        n = np.diff(self.doc_starts)
+        self.to_end = np.repeat(self.doc_starts[1:], n) - np.arange(len(self.starts))  # words from here on
 
     def short_sequences(self, length: int) -> np.ndarray:
         """A hash of the ``length`` words from each place on; those past a document's end mean nothing."""
-        n = max(0, len(self.words) - length + 1)
+        n = max(0, len(self.starts) - length + 1)
         out = np.zeros(n, np.uint64)
         for j in range(length):
-            out = out * _BASE + self.hashes[j : j + n]
+            out = out * np.uint64(_BASES[0]) + self.hashes[j : j + n]
         return _mixed(out)
 
 
 class _SuperKmers(_Words):
-    """Runs of windows of one minimiser: their first words, numbers of windows, and packed strings."""
+    """Runs of windows of one minimiser: ``first`` words, numbers of ``windows``, minimisers as ``key``."""
 
     def __init__(self, texts: list[str | None], levels: np.ndarray, window: int, length: int):
         super().__init__(texts)
-        none = np.zeros(0, np.int64)
-        self.first, self.windows, self.key, self.place, self.strings = none, none, none, none, []
-        n = len(self.words) - window + 1
+        self.first = self.windows = np.zeros(0, np.int64)
+        self.key = self.sequences = np.zeros(0, np.int64)
+        self.window = window
+        n = len(self.starts) - window + 1
         if n <= 0:
             return
         sequences = self.short_sequences(length)
-        least = levels[(sequences % np.uint64(len(levels))).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-        least |= sequences >> np.uint64(8)
-        wide, reach = 1, window - length + 1
+        rank = levels[(sequences % np.uint64(len(levels))).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+        rank |= sequences >> np.uint64(8)
+        self.sequences = rank[self.to_end[: len(rank)] >= length].view(np.int64)
+        least, wide, reach = rank, 1, window - length + 1
         while 2 * wide <= reach:
             least = np.minimum(least[:-wide], least[wide:])
             wide *= 2
@@ -118,20 +152,41 @@ class _SuperKmers(_Words):
         opens[at] |= (at - np.flatnonzero(opens)[run[at]]) % LONGEST == 0
         self.first = np.flatnonzero(opens)
         self.windows = np.bincount(np.cumsum(opens)[at] - 1, minlength=len(self.first))
-        joined = b" ".join(self.words)
-        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        ends = np.cumsum(lengths + 1) - 1
-        last = self.first + self.windows + window - 2
-        found = _Codes()
-        spans = zip((ends - lengths)[self.first].tolist(), ends[last].tolist())
-        self.place = np.fromiter((found[joined[s:e]] for s, e in spans), np.int64, len(self.first))
-        self.strings = list(found)
         self.key = least[self.first].view(np.int64)
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The minimisers of this block, and how often each occurs in it, as one or not."""
+        found, n = np.unique(self.sequences, return_counts=True)
+        mine = np.unique(self.key)
+        return mine, n[np.searchsorted(found, mine)]
+
+    def strings(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+        """The runs of these minimisers, for each the first run that is equal, and the distinct packed strings of those."""
+        runs = np.flatnonzero(np.isin(self.key, keys))
+        data, found = self.data.tobytes(), {}
+        last = self.first[runs] + self.windows[runs] + self.window - 2
+        spans = zip(runs.tolist(), self.starts[self.first[runs]].tolist(), (self.ends[last] + 1).tolist())
+        place = np.fromiter((found.setdefault(data[s:e], run) for run, s, e in spans), np.int64, len(runs))
+        return runs, place, found
+
+
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _packed(ids: list, texts: list) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(docs: bytes) -> tuple[list, list]:
+    table = pa.ipc.open_stream(docs).read_all()
+    return table["doc_id"].to_pylist(), table["text"].to_pylist()
+
 
 def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(block, ids, texts)``: documents in blocks of bounded text, staged, so that a block stays what it is."""
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+    """``(block, docs)``: documents in compressed blocks of bounded text, staged, so that a block stays what it is."""
 
     def build(batches):
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -141,12 +196,12 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 texts.append(text.as_py())
                 held += len(texts[-1] or "") + 64
                 if held > block_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], schema[1].type), pa.array([texts], schema[2].type)], schema=schema)
+                    yield pa.RecordBatch.from_pydict({"block": [number], "docs": [_packed(ids, texts)]})
                     number, ids, texts, held = number + 1, [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], schema[1].type), pa.array([texts], schema[2].type)], schema=schema)
+            yield pa.RecordBatch.from_pydict({"block": [number], "docs": [_packed(ids, texts)]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "block long, ids array<long>, texts array<string>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "block long, docs binary")
     return staged(rows, "texts", **{"parquet.block.size": 4 * block_bytes})
 
 
@@ -160,8 +215,8 @@ def frequency_levels(blocks: DataFrame, length: int = MINIMISER, bins: int = BIN
     def count(batches):
         total = np.zeros(bins, np.int64)
         for batch in batches:
-            for texts in batch.column(0):
-                words = _Words(texts.as_py())
+            for docs in batch.column(0):
+                words = _Words(_unpacked(docs.as_py())[1])
                 sequences = words.short_sequences(length)
                 sequences = sequences[words.to_end[: len(sequences)] >= length]
                 total += np.bincount((sequences % np.uint64(bins)).astype(np.int64), minlength=bins)
@@ -177,33 +232,51 @@ def frequency_levels(blocks: DataFrame, length: int = MINIMISER, bins: int = BIN
 
     schema = "slice long, counts binary"
     counts = np.zeros((bins // width, width), np.int64)
-    for row in blocks.select("texts").mapInArrow(count, schema).groupBy("slice").applyInArrow(summed, schema).collect():
+    for row in blocks.select("docs").mapInArrow(count, schema).groupBy("slice").applyInArrow(summed, schema).collect():
         counts[row.slice] = np.frombuffer(row.counts, np.int64)  # as many numbers as there are bins
     usual = max(FREQUENT, FREQUENT_TIMES * counts.mean())
     return np.maximum(0, np.floor(np.log2(np.maximum(counts.ravel(), 1) / usual)) + 1).astype(np.uint8)
 
 
+def shared_minimisers(blocks: DataFrame, levels, window: int = WINDOW, length: int = MINIMISER) -> DataFrame:
+    """``(key, block)``: the minimisers of each block that occur more than once in all documents.
+
+    A block names each of its minimisers once, so a key has at most as many rows as there are blocks.
+    """
+
+    def keys(batches):
+        for batch in batches:
+            for block, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, n = _SuperKmers(_unpacked(docs.as_py())[1], levels.value, window, length).keys()
+                yield pa.RecordBatch.from_pydict({"key": key, "block": np.full(len(key), block), "n": n})
+
+    named = blocks.select("block", "docs").mapInArrow(keys, "key long, block long, n long")
+    return named.selectExpr("key", "block", "sum(n) OVER (PARTITION BY key) AS times").filter("times >= 2").drop("times")
+
+
 _SUPER = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("block", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
 
 
-def super_kmers(blocks: DataFrame, levels, window: int = WINDOW, length: int = MINIMISER) -> DataFrame:
-    """``(key, words, block, place, n)``: each distinct super-k-mer of a block once, with its times there."""
+def super_kmers(blocks: DataFrame, keys: DataFrame, levels, window: int = WINDOW, length: int = MINIMISER) -> DataFrame:
+    """``(key, words, block, place, n)``: each distinct super-k-mer of a block once, with its times there.
 
-    def cut(batches):
-        for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = _SuperKmers(texts.as_py(), levels.value, window, length)
-                if not found.strings:
-                    continue
-                _, first, n = np.unique(found.place, return_index=True, return_counts=True)
-                for a in range(0, len(n), 10_000):
-                    s = slice(a, a + 10_000)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(found.key[first[s]]), pa.array(found.strings[s], pa.binary()), pa.array(np.full(len(n[s]), block)),
-                        pa.array(np.arange(len(n))[s].astype(np.int32)), pa.array(n[s].astype(np.int32)),
-                    ], schema=_SUPER)
+    Those of the minimisers ``keys (key, block)`` only; ``place`` is the first run of the block that has it.
+    """
 
-    return blocks.select("block", "texts").mapInArrow(cut, "key long, words binary, block long, place int, n int")
+    def cut(blocks: pa.Table, keys: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not keys.num_rows:
+            return _SUPER.empty_table()
+        found = _SuperKmers(_unpacked(blocks["docs"][0].as_py())[1], levels.value, window, length)
+        _, place, strings = found.strings(keys["key"].to_numpy())
+        places, n = np.unique(place, return_counts=True)  # runs are named as they are met, so in the order of the strings
+        return pa.table({
+            "key": found.key[places], "words": pa.array(list(strings), pa.binary()),
+            "block": np.full(len(places), blocks["block"][0].as_py()), "place": places.astype(np.int32), "n": n.astype(np.int32),
+        }, schema=_SUPER)
+
+    return blocks.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(
+        cut, "key long, words binary, block long, place int, n int"
+    )
 
 
 # A mark of a super-k-mer: its repeated windows as bits (null: all), or one window of it that is yet to be counted.
@@ -223,56 +296,57 @@ def _marks(block, place, bits=None, **window) -> pa.RecordBatch:
     )
 
 
-def _windows(strings: list[bytes], window: int):
-    """All windows of packed strings: their word codes, first words, string, and the words met."""
-    split = [s.split(b" ") for s in strings]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    codes, known = _coded(list(chain.from_iterable(split)))
-    each = n - window + 1
-    string = np.repeat(np.arange(len(n)), each)
-    at = np.arange(len(string)) - np.repeat(np.cumsum(each) - each, each)
-    return codes, known, np.repeat(np.cumsum(n) - n, each) + at, string, at
+class _Windows:
+    """All windows of packed strings, which lie one after the other in ``data``."""
 
+    def __init__(self, strings: pa.BinaryArray, window: int):
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        self.data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        self.ends = np.flatnonzero(self.data == 0x20)
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+        words = np.searchsorted(self.ends, offsets - offsets[0])
+        each = np.diff(words) - window + 1
+        self.string = np.repeat(np.arange(len(strings)), each)
+        self.at = np.arange(len(self.string)) - np.repeat(np.cumsum(each) - each, each)
+        self.first = np.repeat(words[:-1], each) + self.at
+        self.window = window
 
-def _rolled(hashes: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """A hash of the ``window`` numbers from each of the places ``first`` on."""
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _BASE)]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _PER_BASE)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
-    return (sums[first + window] - sums[first]) * back[first]
+    def hashes(self, base: int = _BASES[0]) -> np.ndarray:
+        words = _word_hashes(self.data, self.starts, self.ends, base)
+        return _mixed(_rolled(words, self.first, self.first + self.window, base))
 
+    def bytes(self, windows: np.ndarray) -> list[bytes]:
+        data, first = self.data.tobytes(), self.first[windows]
+        spans = zip(self.starts[first].tolist(), self.ends[first + self.window - 1].tolist())
+        return [data[s:e] for s, e in spans]
 
-def _repeated(strings: list[bytes], times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _repeated(strings: pa.BinaryArray, times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """``(string, repeated)`` of every window: whether it occurs again in any of the strings."""
-    codes, _, first, string, _ = _windows(strings, window)
-    key = _rolled(_mixed(codes.astype(np.uint64) + np.uint64(1)), first, window)
+    w = _Windows(strings, window)
+    key = w.hashes()
     order = np.argsort(key, kind="stable")
-    a, b = order[:-1], order[1:]
-    alike = key[a] == key[b]
-    left, right = first[a[alike]], first[b[alike]]
-    same = np.ones(len(left), bool)
-    for k in range(window):
-        same &= codes[left + k] == codes[right + k]
-    if not same.all():  # different windows of one hash: told apart by their words
-        shared = np.isin(key, key[a[alike][~same]])
-        at = np.flatnonzero(shared)
-        _, class_ = np.unique(codes[first[at][:, None] + np.arange(window)], axis=0, return_inverse=True)
-        group = np.unique(key, return_inverse=True)[1]
-        group[at] = len(key) + class_.ravel()
-        _, group = np.unique(group, return_inverse=True)
-    else:
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(np.concatenate([[0], ~alike])) if len(order) else 0
-    total = np.bincount(group, times[string]) if len(group) else np.zeros(0)
-    return string, total[group] >= 2
+    alike = key[order[1:]] == key[order[:-1]]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(np.concatenate([[0], ~alike])) if len(order) else 0
+    shared = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else order
+    # Windows of one hash are told apart by their words.
+    class_of: dict[tuple[int, bytes], int] = {}
+    again = [class_of.setdefault(x, len(class_of)) for x in zip(group[shared].tolist(), w.bytes(shared))]
+    total = np.bincount(np.array(again, np.int64), times[w.string[shared]], len(class_of))
+    repeated = np.asarray(times)[w.string] >= 2
+    repeated[shared] = total[again] >= 2 if again else False
+    return w.string, repeated
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _count_buckets(window: int, chunk_bytes: int, crowded_bytes: int):
     def once(rows: pa.Table) -> tuple[list[pa.RecordBatch], pa.Table]:
         """Equal strings become one. Where one occurs again, all its windows do, and its rows are marked so at once."""
-        key, words = rows["key"].to_numpy(), rows["words"].combine_chunks()
-        if isinstance(words, pa.ChunkedArray):
-            words = pa.concat_arrays(words.chunks)
+        key, words = rows["key"].to_numpy(), _one_array(rows["words"])
         new = np.concatenate([[True], (key[1:] != key[:-1]) | ~pc.equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
         string, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
         times = np.add.reduceat(rows["n"].to_numpy().astype(np.int64), firsts)
@@ -287,7 +361,7 @@ def _count_buckets(window: int, chunk_bytes: int, crowded_bytes: int):
 
     def settled(held: pa.Table) -> Iterator[pa.RecordBatch]:
         """Windows of whole buckets."""
-        string, again = _repeated(held["words"].to_pylist(), held["n"].to_numpy(), window)
+        string, again = _repeated(_one_array(held["words"]), held["n"].to_numpy(), window)
         block, place = held["block"].to_numpy(), held["place"].to_numpy()
         told = (np.bincount(string, again, held.num_rows) > 0) & (block != _COUNTED)
         bounds = np.searchsorted(string, np.arange(held.num_rows + 1))
@@ -300,11 +374,10 @@ def _count_buckets(window: int, chunk_bytes: int, crowded_bytes: int):
         """Windows of a part of a bucket, as digests of 128 bits."""
         block, place, n = held["block"].to_numpy(), held["place"].to_numpy(), held["n"].to_numpy()
         for a in range(0, held.num_rows, 1000):
-            codes, known, first, string, at = _windows(held["words"][a : a + 1000].to_pylist(), window)
-            digests = [np.array([xxhash.xxh64_intdigest(w, seed) for w in known], np.uint64)[codes] for seed in (1, 2)]
-            high, low = (_mixed(_rolled(d, first, window)).view(np.int64) for d in digests)
-            row = string + a
-            yield _marks(block[row], place[row], at=at, high=high, low=low, n=n[row])
+            w = _Windows(_one_array(held["words"][a : a + 1000]), window)
+            high, low = (w.hashes(base).view(np.int64) for base in _BASES)
+            row = w.string + a
+            yield _marks(block[row], place[row], at=w.at, high=high, low=low, n=n[row])
 
     def count(batches):
         parts, size, crowded = [], 0, None
@@ -364,10 +437,9 @@ _KEPT = "doc_id long, n_words long, n_removed long, removed array<struct<start:
 
 def _without(levels, window: int, length: int):
     def kept(blocks: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, texts = blocks["ids"][0].as_py(), blocks["texts"][0].as_py()
+        ids, texts = _unpacked(blocks["docs"][0].as_py())
         found = _SuperKmers(texts, levels.value, window, length)
-        edges = np.zeros(len(found.words) + 1, np.int64)
-        bits_of = dict[int, np.ndarray]()
+        bits_of: dict[int, np.ndarray] = {}
         most = found.windows.max(initial=0)
         for place, bits, at in zip(*(marks[name].to_pylist() for name in ("place", "bits", "at"))):
             known = bits_of.setdefault(place, np.zeros(most + 8, bool))
@@ -378,23 +450,29 @@ def _without(levels, window: int, length: int):
             else:
                 given = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
                 known[: len(given)] |= given
-        marked = np.isin(found.place, np.fromiter(bits_of, np.int64, len(bits_of)))
-        for first, n, place in zip(found.first[marked].tolist(), found.windows[marked].tolist(), found.place[marked].tolist()):
-            at = first + np.flatnonzero(bits_of[place][:n])
-            np.add.at(edges, at, 1)
-            np.subtract.at(edges, at + window, 1)
-        gone = np.cumsum(edges[:-1]) > 0
-        rest = np.cumsum(np.concatenate([[0], gone]))
+        runs, place, _ = found.strings(found.key[np.fromiter(bits_of, np.int64, len(bits_of))])
+        edges = np.zeros(len(found.starts) + 1, np.int64)
+        opens = []
+        for first, n, at in zip(found.first[runs].tolist(), found.windows[runs].tolist(), place.tolist()):
+            if at in bits_of:
+                opens.append(first + np.flatnonzero(bits_of[at][:n]))
+        if opens:
+            at = np.concatenate(opens)
+            edges += np.bincount(at, minlength=len(edges)) - np.bincount(at + window, minlength=len(edges))
+        gone = np.cumsum(edges)[:-1] > 0
+        # Words with the spaces behind them; the last space of a text goes.
+        stays = np.repeat(~gone, found.ends - found.starts + 1)
+        left, bytes_before = found.data[stays].tobytes(), np.concatenate([[0], np.cumsum(stays)])
+        word_at = np.concatenate([found.starts, [len(found.data)]])
+        bounds, before = found.doc_starts, np.concatenate([[0], np.cumsum(gone)])
         out = []
-        for i, (a, b) in enumerate(zip(found.starts[:-1].tolist(), found.starts[1:].tolist())):
-            n = int(rest[b] - rest[a])
-            words, spans = found.words[a:b], []
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            n, spans = int(before[b] - before[a]), []
             if n:
-                mask = gone[a:b]
-                shift = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+                shift = np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))
                 spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(shift == 1).tolist(), np.flatnonzero(shift == -1).tolist())]
-                words = [words[j] for j in np.flatnonzero(~mask).tolist()]
-            out.append((ids[i], b - a, n, spans, b" ".join(words).decode()))
+            text = left[bytes_before[word_at[a]] : bytes_before[word_at[b]]][:-1]
+            out.append((ids[i], b - a, n, spans, text.decode()))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = list(zip(*out)) or [[]] * 5
         return pa.table({
@@ -418,7 +496,8 @@ def drop_repeats(
     """
     blocks = text_blocks(docs, block_bytes)
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(blocks, length))
-    marks = repeated_windows(super_kmers(blocks, levels, window, length), window, chunk_bytes, crowded_bytes)
+    keys = shared_minimisers(blocks, levels, window, length)
+    marks = repeated_windows(super_kmers(blocks, keys, levels, window, length), window, chunk_bytes, crowded_bytes)
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_without(levels, window, length), _KEPT)
 
 
