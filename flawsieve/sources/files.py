@@ -11,7 +11,7 @@ from flawsieve.operators.lines import with_language
 from flawsieve.operators.match import FILE_MARKER, match_rules
 from flawsieve.plans.scan import scan_log
 from flawsieve.rules import EXTENSION_LANGUAGE, Rule, load_rules
-from flawsieve.sources.tree import list_tree, passed_over, plain_root, qualified, read_listed, read_listed_lines
+from flawsieve.sources.tree import list_tree, plain_root, qualified, read_listed, read_listed_lines
 
 # Fixed value: the exclusions a workspace starts with.
 DEFAULT_EXCLUDES = ("**/test/**", "**/tests/**", "**/__pycache__/**")
@@ -44,13 +44,15 @@ def _reader(spark: SparkSession):
 
 
 def _passed_over(spark: SparkSession, root: str, exclude: Iterable[str]) -> DataFrame:
-    """The listing of the files in scope that Spark's readers leave out."""
-    return list_tree(spark, root).filter(f"{in_scope('relative', exclude)} AND {passed_over()}")
+    """The listing of the files in scope that Spark's readers leave out: those that its own listing lacks."""
+    listed = list_tree(spark, root, exclude).filter(in_scope("relative", exclude))
+    spark_lists = _reader(spark).format("binaryFile").load(root).selectExpr(f"{plain_path('_metadata.file_path')} AS path")
+    return listed.join(spark_lists, "path", "left_anti")
 
 
 def list_files(spark: SparkSession, root: str, exclude: Iterable[str] = DEFAULT_EXCLUDES) -> DataFrame:
     """``path, length`` of the files in scope below ``root``; contents stay unread."""
-    return list_tree(spark, root).filter(in_scope("relative", exclude)).drop("relative")
+    return list_tree(spark, root, exclude).filter(in_scope("relative", exclude)).drop("relative")
 
 
 def read_files(
@@ -58,9 +60,12 @@ def read_files(
     root: str,
     exclude: Iterable[str] = DEFAULT_EXCLUDES,
     up_to_bytes: int = WHOLE_FILE_BYTES,
+    passed_over: DataFrame | None = None,
 ) -> DataFrame:
     """``path, content`` of the files in scope that are not above ``up_to_bytes``."""
     root = qualified(spark, root)
+    if passed_over is None:
+        passed_over = _passed_over(spark, root, exclude)
     ordinary = (
         _reader(spark)
         .format("binaryFile")
@@ -69,11 +74,13 @@ def read_files(
         .selectExpr(f"{plain_path('_metadata.file_path')} AS path", "content")
         .filter(in_scope("path", exclude, plain_root(root)))
     )
-    others = _passed_over(spark, root, exclude).filter(F.col("length") <= up_to_bytes)
+    others = passed_over.filter(F.col("length") <= up_to_bytes)
     return ordinary.unionByName(read_listed(others, root))
 
 
-def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], above_bytes: int) -> DataFrame:
+def _large_file_lines(
+    spark: SparkSession, root: str, exclude: Iterable[str], above_bytes: int, passed_over: DataFrame | None = None
+) -> DataFrame:
     """Every line of the large files, as ``match_rules`` takes them.
 
     ``_block`` is the byte of the file at which the line's split starts.  Within
@@ -94,11 +101,17 @@ def _large_file_lines(spark: SparkSession, root: str, exclude: Iterable[str], ab
         )
         .filter(in_scope(plain_path("_file"), exclude, plain_root(root)))
     )
-    others = _passed_over(spark, root, exclude).filter(F.col("length") > above_bytes)
-    every = lines.selectExpr("*", "monotonically_increasing_id() AS _id").unionByName(read_listed_lines(others, root))
+    if passed_over is None:
+        passed_over = _passed_over(spark, root, exclude)
+    others = read_listed_lines(passed_over.filter(F.col("length") > above_bytes), root)
     # Escaping leaves the supported extensions as they are, so the language can
-    # be told from the URI, and the URI be resolved for findings only.
-    return with_language(every, "_file").selectExpr("*", "0 AS line", "false AS latin1")
+    # be told from the URI, and the URI be resolved for findings only. Nothing is
+    # pushed below the running number, so a filter sees columns, not what makes them.
+    ready = [
+        with_language(part, "_file").selectExpr("*", "monotonically_increasing_id() AS _id", "0 AS line", "false AS latin1")
+        for part in (lines, others)
+    ]
+    return ready[0].unionByName(ready[1])
 
 
 def _split_offsets(lines: DataFrame) -> DataFrame:
@@ -132,7 +145,12 @@ def _split_offsets(lines: DataFrame) -> DataFrame:
 
 
 def _scan_large_files(
-    spark: SparkSession, root: str, exclude: Iterable[str], above_bytes: int, rules: Sequence[Rule]
+    spark: SparkSession,
+    root: str,
+    exclude: Iterable[str],
+    above_bytes: int,
+    rules: Sequence[Rule],
+    passed_over: DataFrame | None = None,
 ) -> DataFrame:
     """The log of files too large to be a row, read as splits of lines.
 
@@ -140,7 +158,7 @@ def _scan_large_files(
     its place in its own.  Only the few lines that may match are shuffled to
     meet that table of splits, and matched where they arrive.
     """
-    lines = _large_file_lines(spark, root, exclude, above_bytes)
+    lines = _large_file_lines(spark, root, exclude, above_bytes, passed_over)
     offsets = _split_offsets(lines)
     split = ("_file", "_block")
     found = match_rules(lines, rules, (*split, "_id"), flag_comments=True, spread_by=split).drop("line")
@@ -178,8 +196,9 @@ def scan_path(
     rules = load_rules(rules)
     exclude = tuple(exclude)
     root = qualified(spark, root)
-    small = scan_log(read_files(spark, root, exclude, whole_file_bytes), rules=rules)
-    return small.unionByName(_scan_large_files(spark, root, exclude, whole_file_bytes, rules))
+    passed_over = _passed_over(spark, root, exclude)
+    small = scan_log(read_files(spark, root, exclude, whole_file_bytes, passed_over), rules=rules)
+    return small.unionByName(_scan_large_files(spark, root, exclude, whole_file_bytes, rules, passed_over))
 
 
 def unread_files(listing: DataFrame, log: DataFrame) -> DataFrame:

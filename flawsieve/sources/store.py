@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 import uuid
 
@@ -13,6 +14,21 @@ from flawsieve.plans.reports import numbered_lines
 FORMATS = ("json", "text", "parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a local session gets a new one; on a cluster this raises,
+    as executors would each write to a disk of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def _compact(df: DataFrame) -> DataFrame:
     """Findings are few beside the text they were found in: gather them from the
     many tasks of a scan into files of the advised size, splitting large paths."""
@@ -24,15 +40,11 @@ def stage(log: DataFrame, folder: str | None = None) -> DataFrame:
 
     For reports that read their input twice: a log is small beside the text it
     comes from, so keeping it is cheaper than scanning again, and it outlives
-    lost executors.  Without ``folder`` a new one below ``spark.checkpoint.dir``
-    is taken; where that is unset too, this raises.
+    lost executors.  Without ``folder`` a new one in the shared folder is taken.
     """
     spark = log.sparkSession
     if folder is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
-        folder = f"{shared.rstrip('/')}/log-{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     _compact(log).write.mode("overwrite").parquet(folder)
     return spark.read.schema(log.schema).parquet(folder)
 

@@ -1,14 +1,16 @@
 """File trees, sinks and the store of runs."""
 
+import glob
 import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from flawsieve import findings, scan_log, scan_path, write_findings
 from flawsieve.plans.reports import scan_status
-from flawsieve.sources import files as sources
-from flawsieve.sources.store import last_run, last_run_of, read_runs, write_run
+from flawsieve.sources import files as sources, tree as tree_module
+from flawsieve.sources.store import last_run, last_run_of, read_runs, shared_folder, write_run
 
 FILES = {
     "src/a b+c%.py": b"\xef\xbb\xbf# eval(x)\n" + b"x = 1\n" * 30 + b"eval(y)\n" + b"\xff key = '123456'\n# eval(\nexec(z)\n" * 20,
@@ -76,15 +78,62 @@ def test_every_file_is_read_once(spark, tree):
     assert len(read) == len(FILES) - len(OUT_OF_SCOPE)
 
 
-def test_listing_goes_on_below_the_starting_folders(spark, tree, monkeypatch):
+def test_listing_goes_on_from_round_to_round(spark, tree, monkeypatch):
     for limit in (1, 3, 1000):
-        monkeypatch.setitem(sources.list_tree.__globals__, "FOLDERS_TO_START_FROM", limit)
+        monkeypatch.setitem(sources.list_tree.__globals__, "FOLDERS_PER_TASK", limit)
         listed = sources.list_tree(spark, f"file://{tree}/").collect()
         assert sorted(r.relative for r in listed) == sorted(FILES)
 
 
+def test_a_hot_folder_is_dealt_out(spark, folder, monkeypatch):
+    """One folder holds nearly all others; no task opens more than its share of them."""
+    for i in range(120):
+        os.makedirs(f"{folder}/tree/hot/d{i}/deep")
+        open(f"{folder}/tree/hot/d{i}/deep/f.py", "w").close()
+    monkeypatch.setitem(tree_module.walk_tree.__globals__, "FOLDERS_PER_TASK", 8)
+    listed = sources.list_tree(spark, f"{folder}/tree").collect()
+    assert len(listed) == 120
+    written = max(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/tree-*"), key=os.path.getmtime)
+    rounds = [spark.read.parquet(f"{written}/{r}").filter("kind = 'file'") for r in sorted(os.listdir(written)) if r.startswith("round=")]
+    per_task = [r.n for found in rounds for r in found.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) >= 15 and max(per_task) <= 8
+
+
+def test_folders_out_of_scope_stay_closed(spark, tree):
+    closed = os.path.join(tree, "src/tests/deep/er")
+    os.makedirs(closed)
+    os.makedirs(os.path.join(tree, "node_modules/x/y"))
+    walked = tree_module.walk_tree(spark, tree, sources.DEFAULT_EXCLUDES)
+    assert {r.relative for r in walked.collect()} == {n for n in FILES if n not in EXCLUDED_BY_DEFAULT | {"node_modules/m/i.js"}}
+    prunes = tree_module._prunes(["**/tests/**", "a/*/**", "x/**/y.py", "**/*.d/**", "c/**"])
+    closed = ["tests", "p/tests", "a/b", "q.d", "c", "p/node_modules"]
+    assert [f for f in closed if prunes(f)] == closed
+    assert not any(map(prunes, ["a", "test", "p/testsx", "x", "x/z", "d", "p/c", "node_modules_of"]))
+
+
+def test_reasons(spark, tree, folder):
+    listing = tree_module.list_tree(spark, tree)
+    listing.write.parquet(f"{folder}/listing")
+    listing = spark.read.parquet(f"{folder}/listing")
+    os.unlink(os.path.join(tree, "small.py"))
+    with open(os.path.join(tree, "clean.rs"), "wb") as f:
+        f.write(b"fn")
+    with open(os.path.join(tree, "src/B.PY"), "ab") as f:
+        f.write(b"more")
+    os.unlink(os.path.join(tree, "py"))
+    os.makedirs(os.path.join(tree, "py"))
+    read = tree_module.read_with_reasons(listing, tree)
+    reasons = {os.path.relpath(r.path, tree): r.reason for r in read.collect()}
+    assert len(reasons) == len(FILES) and {k: v for k, v in reasons.items() if v} == {
+        "small.py": "vanished", "clean.rs": "short read", "src/B.PY": "grown", "py": reasons["py"],
+    }
+    assert reasons["py"] in ("unreadable", "denied")
+    assert {type(e) for e in map(tree_module.reason_of, (FileNotFoundError(), PermissionError(), OSError()))} == {str}
+    assert [tree_module.reason_of(e) for e in (FileNotFoundError(), PermissionError(), OSError())] == ["vanished", "denied", "unreadable"]
+
+
 def test_files_out_of_scope_are_not_read(spark, tree):
-    files = sources.read_files(spark, tree).inputFiles()
+    files = [f for f in sources.read_files(spark, tree).inputFiles() if "/tree-" not in f]  # but for the listing
     assert {os.path.splitext(f)[1].lower() for f in files} == {".py", ".js", ".c", ".rs"}
 
 
