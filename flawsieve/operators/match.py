@@ -19,6 +19,7 @@ from flawsieve.functions.predicates import (
 )
 from flawsieve.functions.severity import confidence_band, issue_text
 from flawsieve.functions.text import WHITE_SPACE, any_of, contains_any, quoted, trim_space, trim_start
+from flawsieve.operators.grams import POSTED_ALWAYS, gram_postings, line_grams
 from flawsieve.operators.lines import line_text
 from flawsieve.rules import (
     HEURISTIC_PATH,
@@ -37,8 +38,8 @@ HEURISTICS = {
 }
 
 # Up to this many patterns the filter before the join tests each by itself. The
-# generated test would outgrow what the JVM compiles (8000 bytes) beyond it, so
-# a regular expression of all patterns of a rule set takes over.
+# generated test would outgrow what the JVM compiles (8000 bytes) beyond it, and
+# lines would meet ever more patterns, so an index of the patterns takes over.
 PREFILTER_PATTERNS = 48
 
 # rule_ord of the row that stands for a scanned file rather than a finding.
@@ -106,38 +107,6 @@ def detectors(
     )
 
 
-def _any_literal(patterns: Iterable[str]) -> str:
-    """A regular expression for any of the literals, as a tree of common prefixes."""
-    tree: dict = {}
-    for pattern in patterns:
-        node = tree
-        for ch in pattern:
-            if "" in node:  # a shorter pattern already ends here
-                break
-            node = node.setdefault(ch, {})
-        else:
-            node.clear()
-            node[""] = {}
-
-    def written(node: dict) -> str:
-        if "" in node:
-            return ""
-        choices = [f"\\x{{{ord(ch):x}}}{written(below)}" for ch, below in node.items()]
-        return choices[0] if len(choices) == 1 else f"(?:{'|'.join(choices)})"
-
-    return written(tree)
-
-
-def _large_literals(raw: str, rules: Sequence[Rule]) -> str:
-    """As ``_literals``, with bytecode that does not grow with the table."""
-    cases = []
-    for name in RULE_SETS:
-        patterns = [r.pattern for r in rules if r.rule_set == name]
-        if patterns:
-            cases.append(f"WHEN {quoted(name)} THEN {raw} RLIKE {quoted(_any_literal(patterns))}")
-    return f"CASE rule_set {' '.join(cases)} ELSE false END"
-
-
 def _literals(raw: str, rules: Sequence[Rule]) -> str:
     """True where a pattern of the line's own rule set is in the line."""
     cases = " ".join(
@@ -162,8 +131,6 @@ def _may_match(raw: str, rules: Sequence[Rule], heuristics: Sequence[str]) -> st
     }
     on_calls = [t for flag in ("h_sql", "h_path") if flag in heuristics for t in tests[flag]]
     on_others = [t for flag in ("h_xss", "h_secret") if flag in heuristics for t in tests[flag]]
-    if len(rules) > PREFILTER_PATTERNS:
-        return any_of([_large_literals(raw, rules), *on_calls, *on_others])
     calls = [r for r in rules if "(" in r.pattern]
     others = [r for r in rules if "(" not in r.pattern]
     if calls:
@@ -186,7 +153,9 @@ def match_rules(
 
     Most lines of most code match nothing.  A filter of plain substring tests
     drops them first; the few that pass are trimmed, get the heuristics' exact
-    answers as columns, and meet the rule table.
+    answers as columns, and meet the rule table.  Of a table of more than
+    ``PREFILTER_PATTERNS`` rules a line meets only those whose posted gram it
+    holds (see ``operators.grams``).
 
     Rules, unlike heuristics, pass over comment lines.  With ``flag_comments``
     what they would have found is kept and marked ``in_comment``, for a caller
@@ -198,12 +167,17 @@ def match_rules(
     ``spread_by`` shuffles the lines that pass the filter by these columns, for
     a caller who joins the findings on them next.
     """
-    tests = [_may_match("raw", rules, heuristics), "latin1"]
-    if markers:
-        tests.append("line = 1")
+    indexed = len(rules) > PREFILTER_PATTERNS
+    tests = [_may_match("raw", () if indexed else rules, heuristics), *(["line = 1"] if markers else [])]
+    if indexed:
+        # What the heuristics or a marker may want of a line is one posting more.
+        grams = line_grams("raw", "latin1", "rule_set", rules, any_of([*tests, "latin1"]))
+        # Exploded as it is made: of a column Spark would filter by its size, and make it twice.
+        candidates = lines.selectExpr("*", f"explode({grams}) AS _line_gram")
+    else:
+        candidates = lines.filter(any_of([*tests, "latin1"]))
     # The end of a line matters only to a pattern that ends in space itself.
     trim = trim_space if any(r.pattern[-1:] in WHITE_SPACE for r in rules) else trim_start
-    candidates = lines.filter(any_of(tests))
     if spread_by:
         candidates = candidates.repartition(*spread_by)
     candidates = (
@@ -222,7 +196,14 @@ def match_rules(
     hit = f"CASE WHEN flag IS NULL THEN {fires} ELSE CASE flag {flags} WHEN 'marker' THEN line = 1 END END"
 
     rule_side = detectors(lines.sparkSession, rules, markers, heuristics).withColumnRenamed("rule_set", "_rule_set")
-    joined = candidates.join(F.broadcast(rule_side), F.expr(f"rule_set = _rule_set AND {hit}"))
+    meets = "rule_set = _rule_set"
+    if indexed:
+        postings = gram_postings(lines.sparkSession, rules)
+        rule_side = rule_side.join(F.broadcast(postings), ["_rule_set", "rule_ord"], "left").selectExpr(
+            "* EXCEPT (_gram)", f"coalesce(_gram, {quoted(POSTED_ALWAYS)}) AS _gram"
+        )
+        meets += " AND _line_gram = _gram"
+    joined = candidates.join(F.broadcast(rule_side), F.expr(f"{meets} AND {hit}"))
     columns = [
         *keep,
         "language",

@@ -38,6 +38,17 @@ MANY_RULES = tuple(
     for i in range(256)
 )
 
+# As many rules as a table can hold, of six letters each, made of common endings.
+SYLLABLES = ("an", "er", "th", "in", "on", "es", "or", "ti", "re", "al")
+MOST_RULES = tuple(
+    Rule(
+        name, i + 1, SYLLABLES[i % 10] + SYLLABLES[i // 10 % 10] + SYLLABLES[i // 100], SEVERITIES[i % 3],
+        f"Syllables {i}", i % 100 / 100,
+    )
+    for name in RULE_SETS
+    for i in range(1000)
+)
+
 # So small that most files of the corpus have several parts.
 SMALL_PART = 3
 
@@ -202,6 +213,10 @@ def user_rules(spark, sf_dir):
     return _wide(scan_table(code_corpus(spark, sf_dir), rules=MANY_RULES, heuristics=()))
 
 
+def indexed_rules(spark, sf_dir):
+    return _wide(scan_table(_texts(spark, sf_dir), rules=MOST_RULES))
+
+
 def explode_conversations(spark, sf_dir):
     """Every turn taken for a Java file."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
@@ -281,6 +296,7 @@ QUERIES = {
     "workspace_label": workspace_label,
     "workspace_scope": workspace_scope,
     "user_rules": user_rules,
+    "indexed_rules": indexed_rules,
     "explode_conversations": explode_conversations,
     "report_title": report_title,
     "status_label": status_label,

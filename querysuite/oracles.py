@@ -134,6 +134,13 @@ rl(rule_set, rule_ord, pattern, severity, description, score) AS (
          ['High', 'Medium', 'Low'][i % 3 + 1], 'Letters ' || i, CAST(i % 100 AS DOUBLE) / 100
   FROM (VALUES ('python'), ('javascript'), ('java'), ('c')) v(rule_set), range(0, 256) g(i))"""
 
+_MOST_RULES = """
+sy(s) AS (SELECT ['an', 'er', 'th', 'in', 'on', 'es', 'or', 'ti', 're', 'al']),
+rl(rule_set, rule_ord, pattern, severity, description, score) AS (
+  SELECT v.rule_set, i + 1, s[i % 10 + 1] || s[i // 10 % 10 + 1] || s[i // 100 + 1],
+         ['High', 'Medium', 'Low'][i % 3 + 1], 'Syllables ' || i, CAST(i % 100 AS DOUBLE) / 100
+  FROM (VALUES ('python'), ('javascript'), ('java'), ('c')) v(rule_set), range(0, 1000) g(i), sy)"""
+
 
 def _files(name: str, where: str = "true", clean: str = "(event_id // 20) % 19 = 3") -> str:
     """A CTE that builds the corpus files from ``events``."""
@@ -403,6 +410,7 @@ FROM ws""",
         *_CORPUS, _LINES, _MANY_RULES, _FOUND
     )
     + f"SELECT {_FINDING} FROM found WHERE rule_ord < 1001",
+    "indexed_rules": _with(_typed(f"({_TEXTS})"), _LINES, _MOST_RULES, _FOUND) + f"SELECT {_FINDING} FROM found",
     "explode_conversations": _with(
         _typed("(SELECT 'conv/' || conv_id || '/' || turn || '.java' AS path, text AS content FROM conversations)"),
         _LINES,

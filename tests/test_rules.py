@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flawsieve import BUILTIN_RULES, Rule, scan_table
+from flawsieve import BUILTIN_RULES, Rule, scan_log, scan_table
 from flawsieve.rules import MAX_RULES, load_rules
 
 EXTENSION = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
@@ -191,3 +191,48 @@ def test_large_tables_filter_lines_before_the_join(scan):
     rules.append(Rule("python", 300, "call", "Low", "Any call", 0.5))
     text = "x = call_17(1)\ny = 2\ncall_299 (1)\nz.a|b\\"
     assert scan({"a.py": text}, rules=rules) == [("a.py", 1, 17), ("a.py", 1, 300), ("a.py", 3, 300)]
+
+
+def test_index_finds_what_each_pattern_alone_finds(spark):
+    """Patterns of one character and more, of any script, on lines of any bytes, with heuristics and markers."""
+    import random
+
+    from flawsieve.operators import match
+    from flawsieve.rules import RULE_SETS, Rule
+
+    rng = random.Random(8)
+    letters = ["a", "b", "(", "\\", "]", "^", "-", "é", "日", " ", "'", "#", "."]
+    patterns = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(260)})
+    rules = [Rule(s, i + 1, p, "Low", f"d{i % 90}", 0.5) for s in RULE_SETS for i, p in enumerate(patterns) if p.strip()]
+    files = []
+    for i in range(60):
+        lines = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))).encode() for _ in range(12)]
+        lines.append(b"password = 'hunter2hunter2'")
+        if i % 3 == 0:
+            lines[rng.randrange(12)] += b"\xff" + rng.choice(patterns).encode()
+        files.append((f"f{i}.{rng.choice(('py', 'js', 'java', 'c'))}", b"\n".join(lines)))
+    df = spark.createDataFrame(files, "path string, content binary")
+
+    def found():
+        return sorted(tuple(r) for r in scan_log(df, rules=rules).select("path", "line", "rule_ord", "issue").fillna("").collect())
+
+    indexed = found()
+    limit, match.PREFILTER_PATTERNS = match.PREFILTER_PATTERNS, 1 << 20
+    try:
+        assert found() == indexed
+    finally:
+        match.PREFILTER_PATTERNS = limit
+    assert len(indexed) > 5000 and len(set(indexed)) == len(indexed)
+
+
+def test_postings_are_bounded_and_spread(spark):
+    from flawsieve.operators.grams import gram_postings, posted_grams
+    from querysuite.catalog import MOST_RULES
+
+    posted = posted_grams(MOST_RULES)
+    assert all(plain in r.pattern and plain.encode().decode("latin-1") == latin1 for r, (plain, latin1) in posted.items())
+    postings = gram_postings(spark, MOST_RULES)
+    assert postings.count() == 2 * len(MOST_RULES)
+    assert postings.groupBy("_rule_set", "_gram").count().agg({"count": "max"}).first()[0] == 1
+    longer = [Rule("python", i + 1, f"prefix_{i:03}_suffix", "Low", f"d{i}", 0.5) for i in range(300)]
+    assert all("prefix" != plain != "suffix" for plain, _ in posted_grams(longer).values())
