@@ -35,8 +35,7 @@ def number_findings(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
 
     Findings count in order of line and rule; markers take no number and lie in
     part 0.  ``opens`` and ``closes`` mark a file's first and last part.  ``log``
-    is read twice, so rather than a scan pass a stored log (``write_run``,
-    ``stage``).
+    is read twice, so rather than a scan pass a stored log (``once``, ``write_run``).
     """
     chunked = log.selectExpr("*", f"greatest(line - 1, 0) div {part_size} AS chunk")
     before = "OVER (PARTITION BY path ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

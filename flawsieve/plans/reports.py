@@ -2,7 +2,11 @@
 
 Every function takes the output of ``scan_log`` or ``scan_table``.  Given a log,
 reports that speak of clean files include them; findings alone cannot.  Paths
-are expected to be unique per scan.
+are expected to be unique per scan; of logs in which they are not, take
+``first_findings``.
+
+Reports that number findings read their input more than once, so they stage it,
+which runs the scan; a log that is stored already is taken as it is.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from flawsieve.operators.numbering import (
     severity_counts,
 )
 from flawsieve.rules import SEVERITIES
+from flawsieve.sources.folders import once
 
 DEFAULT_MIN_SEVERITY = "Medium"
 DIAGNOSTIC_SOURCE = "flawsieve"
@@ -61,6 +66,33 @@ def scan_status(log: DataFrame) -> DataFrame:
     )
 
 
+def first_findings(log: DataFrame) -> DataFrame:
+    """Each text once for a line of a path, with its first rule, for logs in which a path comes repeatedly.
+
+    A scan reports a text once a line as it is, but of every delivery of a file again.
+    """
+    first = F.min(F.struct("rule_ord", "language", "severity", "confidence")).alias("_first")
+    return (
+        log.filter(IS_FINDING)
+        .groupBy("path", "line", "issue")
+        .agg(first)
+        .select("path", "_first.language", "line", "_first.rule_ord", "issue", "_first.severity", "_first.confidence")
+    )
+
+
+def scan_progress(log: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row ``n_files, n_total, n_issues, progress``: how far a scan came of the files of a listing.
+
+    The counts are observed while the log is staged, not taken in a second reading.
+    """
+    counts = Observation()
+    once(with_progress(log, counts))
+    done, issues = counts.get["n_files"], counts.get["n_issues"]
+    return listing.agg(F.count_distinct("path").alias("n_total")).selectExpr(
+        f"{done}L AS n_files", "n_total", f"{issues}L AS n_issues", f"concat({done}, ' of ', n_total) AS progress"
+    )
+
+
 def with_progress(log: DataFrame, observation: Observation | str) -> DataFrame:
     """``log`` that reports ``n_files`` and ``n_issues`` while it is being used.
 
@@ -95,7 +127,7 @@ def ordered_findings(findings: DataFrame, part_size: int = PART_SIZE) -> DataFra
     several sorted partitions.
     """
     return (
-        number_findings(findings.filter(IS_FINDING), part_size)
+        number_findings(once(findings.filter(IS_FINDING)), part_size)
         .drop(*PART, *TOTALS)
         .orderBy("path", "line", "rule_ord")
     )
@@ -109,7 +141,7 @@ def report_by_file(findings: DataFrame, root: str = "/", part_size: int = PART_S
     part; ``header`` stands in its first one only.
     """
     return (
-        number_findings(findings.filter(IS_FINDING), part_size)
+        number_findings(once(findings.filter(IS_FINDING)), part_size)
         .groupBy("path", *PART, "n_issues")
         .agg(F.expr("array_sort(collect_list(struct(n, line, issue, severity))) AS _issues"))
         .selectExpr("*", f"{relative_to('path', root)} AS fileName")
@@ -138,7 +170,7 @@ def _documents(log: DataFrame, item: str, separator: str, part_size: int) -> Dat
     """
     item = f"if({IS_FINDING}, {item}, NULL)"
     return (
-        number_findings(log, part_size)
+        number_findings(once(log), part_size)
         .groupBy("path", *PART, *TOTALS)
         .agg(F.expr(f"listagg({item}, {quoted(separator)}) WITHIN GROUP (ORDER BY n) AS body"))
         .filter("n_issues = 0 OR body IS NOT NULL")

@@ -64,3 +64,35 @@ def scanned_files(log: DataFrame) -> DataFrame:
         "line", "rule_ord", "issue", "severity", "confidence"
     )
 
+
+def read_against(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, content, reason`` of every file of ``listing (path, length)``, as ``files (path, content)`` has it.
+
+    A file is as good as read where it is as long as listed; another has no
+    content and a reason. Paths are expected to be unique on either side.
+    """
+    reason = """CASE WHEN content IS NULL THEN 'vanished'
+                     WHEN octet_length(content) < length THEN 'short read'
+                     WHEN octet_length(content) > length THEN 'grown' END"""
+    return (
+        listing.select("path", "length")
+        .join(files.select("path", "content"), "path", "left")
+        .selectExpr("path", "content", f"{reason} AS reason")
+        .selectExpr("path", "if(reason IS NULL, content, NULL) AS content", "reason")
+    )
+
+
+def scan_read(read: DataFrame, rules: DataFrame | Iterable[Rule] | None = None) -> DataFrame:
+    """The scan log of ``read (path, content, reason)``, with the files that could not be read in it.
+
+    Such a file has a marker with its reason and without ``n_lines``, so one
+    reading of the source tells of both kinds.
+    """
+    files = read.selectExpr("path", "if(reason IS NULL, CAST(content AS STRING), '') AS content", "reason")
+    log = scan_log(files, rules=rules, keep=["reason"])
+    return log.withColumn("n_lines", F.expr("if(reason IS NULL, n_lines, NULL)"))
+
+
+def quarantine(log: DataFrame) -> DataFrame:
+    """``path, reason`` of the files of a log of ``scan_read`` that could not be read."""
+    return log.filter(f"rule_ord = {FILE_MARKER} AND reason IS NOT NULL").select("path", "reason")

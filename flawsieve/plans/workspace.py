@@ -13,10 +13,11 @@ from flawsieve.plans import reports
 from flawsieve.plans.scan import scan_log
 from flawsieve.rules import Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES
+from flawsieve.sources.folders import once
 
 
 class WorkspaceReport(NamedTuple):
-    """What ``workspace_report`` gives; nothing runs before one of them is used."""
+    """What ``workspace_report`` gives."""
 
     summary: DataFrame
     by_file: DataFrame
@@ -40,9 +41,9 @@ def workspace_report(
 ) -> WorkspaceReport:
     """All roll-ups of a workspace's log, of findings of at least ``minimum``.
 
-    The log is read by each of them: give a stored one (``write_run``, ``stage``).
+    Each of them reads the log, so it is staged here unless it is stored already.
     """
-    found = reports.min_severity(log, minimum)
+    found = reports.min_severity(once(log), minimum)
     return WorkspaceReport(
         reports.severity_summary(found),
         reports.report_by_file(found, root, part_size),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 
@@ -10,45 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flawsieve.operators.numbering import IS_FINDING, PART_SIZE
 from flawsieve.plans.reports import numbered_lines
+from flawsieve.sources.folders import compact_files, delete_folders, folders_below, shared_folder, stage
 
 FORMATS = ("json", "text", "parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Where that is unset, a local session gets a new one; on a cluster this raises,
-    as executors would each write to a disk of their own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
-        folder = "file://" + tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _compact(df: DataFrame) -> DataFrame:
-    """Findings are few beside the text they were found in: gather them from the
-    many tasks of a scan into files of the advised size, splitting large paths."""
-    return df.hint("rebalance", "path")
-
-
-def stage(log: DataFrame, folder: str | None = None) -> DataFrame:
-    """``log``, computed now, written to ``folder`` and read from there.
-
-    For reports that read their input twice: a log is small beside the text it
-    comes from, so keeping it is cheaper than scanning again, and it outlives
-    lost executors.  Without ``folder`` a new one in the shared folder is taken.
-    """
-    spark = log.sparkSession
-    if folder is None:
-        folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
-    _compact(log).write.mode("overwrite").parquet(folder)
-    return spark.read.schema(log.schema).parquet(folder)
-
-
 def write_findings(
     log: DataFrame, path: str, fmt: str = "json", part_size: int = PART_SIZE, staging: str | None = None
 ) -> None:
@@ -67,7 +32,7 @@ def write_findings(
         lines = parts.select("path", "part", text).repartitionByRange("path", "part").sortWithinPartitions("path", "part")
         lines.select("value").write.mode("overwrite").text(path)
     else:
-        _compact(log.filter(IS_FINDING).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
+        compact_files(log.filter(IS_FINDING).drop("n_lines")).write.format(fmt).mode("overwrite").save(path)
 
 
 def write_run(log: DataFrame, store: str, run_id: int) -> None:
@@ -103,6 +68,7 @@ def last_run(spark: SparkSession, store: str) -> DataFrame | None:
     newest = _attempts(spark, store).agg(F.max(F.struct("run_id", "attempt", "n_issues")).alias("_last")).first()[0]
     if newest is None or not newest.n_issues:
         return None
+    # That attempt's folder alone; no other run's files are listed.
     return spark.read.parquet(f"{store}/log/run_id={newest.run_id}/attempt={newest.attempt}")
 
 
@@ -113,3 +79,24 @@ def last_run_of(log: DataFrame) -> DataFrame:
     """
     newest = log.agg(F.max("run_id").alias("run_id"))
     return log.join(F.broadcast(newest), "run_id")
+
+
+def expire_attempts(spark: SparkSession, store: str, keep_runs: int | None = None) -> int:
+    """Delete the attempts that no reader of the store can reach; how many there were.
+
+    Those are attempts that were not finished or were written again, and with
+    ``keep_runs`` also those of all but the newest runs. Not while a run is being written.
+    """
+    runs = _attempts(spark, store).orderBy(F.desc("run_id"))
+    named = {(r.run_id, r.attempt) for r in (runs.limit(keep_runs) if keep_runs is not None else runs).collect()}
+    gone = []
+    for folder in folders_below(spark, f"{store}/log", 2):
+        run, attempt = (part.rpartition("=")[2] for part in folder.split("/")[-2:])
+        if (int(run), attempt) not in named:
+            gone.append(folder)
+    delete_folders(spark, gone)
+    if keep_runs is not None:
+        kept = {run for run, _ in named}
+        runs_gone = [f for f in folders_below(spark, f"{store}/runs", 1) if int(f.rpartition("=")[2]) not in kept]
+        delete_folders(spark, runs_gone)
+    return len(gone)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flawsieve.functions.paths import glob_regex
 from flawsieve.functions.text import quoted
-from flawsieve.sources.store import shared_folder
+from flawsieve.sources.folders import shared_folder
 
 # The folders that a task opens in one round; it leaves the others for the next.
 FOLDERS_PER_TASK = 256

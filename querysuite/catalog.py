@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flawsieve.functions.paths import extension
 from flawsieve.functions.predicates import is_secret_assignment, is_secret_format
 from flawsieve.operators.lines import explode_lines, with_language
 from flawsieve.plans import reports
-from flawsieve.plans.scan import findings, scan_log, scan_table
+from flawsieve.plans.scan import findings, read_against, scan_log, scan_read, scan_table
 from flawsieve.plans.workspace import scope_counts, workspace_log, workspace_report
-from flawsieve.rules import RULE_SETS, SEVERITIES, Rule
+from flawsieve.rules import BUILTIN_RULES, RULE_SETS, SEVERITIES, Rule
 from flawsieve.sources.files import DEFAULT_EXCLUDES, supported_files
-from flawsieve.sources.store import last_run_of
+from flawsieve.sources.folders import shared_folder
+from flawsieve.sources.store import last_run, write_run
+from flawsieve.streaming.current import read_current, update_current
 from flawsieve.streaming.revisions import current_findings, scan_revisions
 from querysuite.corpus import code_corpus, revisions
 
@@ -53,6 +57,10 @@ MOST_RULES = tuple(
 SMALL_PART = 3
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _wide(df: DataFrame) -> DataFrame:
     """Integers as BIGINT, so that both engines agree on types."""
     return df.select(
@@ -250,12 +258,53 @@ def scan_status(spark, sf_dir):
 
 
 def last_run_report(spark, sf_dir):
-    """A run a day, of the files whose last event falls on it."""
+    """A run a day, of the files whose last event falls on it: the last two are stored, the last one is read."""
     files = code_corpus(spark, sf_dir).selectExpr(
         "*", "CAST(date_format(event_time, 'yyyyMMdd') AS BIGINT) AS run_id"
     )
-    # The run is chosen among files, before any text is scanned.
-    return reports.severity_by_file(findings(scan_log(last_run_of(files), keep=["run_id"])))
+    store = _new_folder(spark, "runs")
+    days = [r.run_id for r in files.select("run_id").distinct().orderBy(F.desc("run_id")).limit(2).collect()]
+    for day in days:
+        write_run(scan_log(files.filter(F.col("run_id") == day)), store, day)
+    log = last_run(spark, store)
+    return reports.severity_by_file(findings(log if log is not None else scan_log(files.limit(0))))
+
+
+def kept_current(spark, sf_dir):
+    """The revisions in four batches: late ones after their successors, and some again."""
+    log = scan_revisions(revisions(spark, sf_dir))
+    store = _new_folder(spark, "current")
+    batches = (
+        "revision = 2 AND hash(path) % 2 = 0", "revision = 1 AND hash(path) % 3 <> 0",
+        "revision = 2 AND hash(path) % 4 <> 0", "revision = 1 OR hash(path) % 2 <> 0",
+    )
+    for number, batch in enumerate(batches, 1):
+        update_current(log.filter(batch), store, number, buckets=4)
+    return _wide(read_current(spark, store, log.schema))
+
+
+def quarantine_report(spark, sf_dir):
+    """The corpus as it was listed, and as it was read: of seven files one is gone, one cut short, one longer."""
+    files = code_corpus(spark, sf_dir)
+    listing = files.selectExpr("path", "octet_length(content) AS length")
+    content = """CASE file_id % 7 WHEN 1 THEN left(content, char_length(content) div 2)
+                                  WHEN 2 THEN concat(content, 'x') ELSE content END AS content"""
+    read = files.filter("file_id % 7 <> 0").selectExpr("path", content)
+    log = scan_read(read_against(listing, read))
+    return log.groupBy("path").agg(
+        F.max("reason").alias("reason"), F.max("n_lines").alias("n_lines"), F.count_if(F.col("rule_ord") > 0).alias("n_issues")
+    )
+
+
+def first_findings(spark, sf_dir):
+    """Every file delivered twice, the second time with its rules in another order."""
+    again = scan_table(code_corpus(spark, sf_dir), rules=[r._replace(rule_ord=100 + r.rule_ord) for r in BUILTIN_RULES])
+    return _wide(reports.first_findings(again.unionByName(_findings(spark, sf_dir))))
+
+
+def scan_progress(spark, sf_dir):
+    files = code_corpus(spark, sf_dir)
+    return reports.scan_progress(workspace_log(files), files)
 
 
 def current(spark, sf_dir):
@@ -303,4 +352,8 @@ QUERIES = {
     "scan_status": scan_status,
     "last_run_report": last_run_report,
     "current_findings": current,
+    "kept_current": kept_current,
+    "quarantine_report": quarantine_report,
+    "first_findings": first_findings,
+    "scan_progress": scan_progress,
 }

@@ -454,3 +454,17 @@ FROM ft LEFT JOIN found ON found.path = ft.path GROUP BY ft.path, ft.language"""
     )
     + f"SELECT {_FINDING}, event_time, revision FROM found WHERE language <> 'unknown'",
 }
+
+ORACLES |= {
+    "kept_current": ORACLES["current_findings"],
+    "quarantine_report": _SCAN
+    + """SELECT path, CASE file_id % 7 WHEN 0 THEN 'vanished' WHEN 1 THEN 'short read' WHEN 2 THEN 'grown' END AS reason,
+  CASE WHEN file_id % 7 > 2 THEN CAST(len(string_split(content, chr(10))) AS BIGINT) END AS n_lines,
+  CASE WHEN file_id % 7 > 2 THEN coalesce(n, 0) ELSE 0 END AS n_issues
+FROM corpus LEFT JOIN (SELECT path, count(*) AS n FROM found GROUP BY path) USING (path)""",
+    "first_findings": ORACLES["scan_all"],
+    "scan_progress": _SCAN
+    + f"""SELECT (SELECT count(*) FROM ft WHERE {_WANTED}) AS n_files, (SELECT count(*) FROM ft) AS n_total,
+  (SELECT count(*) FROM found JOIN ft USING (path) WHERE {_WANTED}) AS n_issues,
+  (SELECT count(*) FROM ft WHERE {_WANTED}) || ' of ' || (SELECT count(*) FROM ft) AS progress""",
+}

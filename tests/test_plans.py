@@ -107,3 +107,9 @@ def test_filter_looks_for_what_is_asked_only(spark, sf_small):
     plan = plan_of(QUERIES["heur_sql"](spark, sf_small))
     assert "execute(" in plan
     assert not any(text in plan for text in ("AIza", "gho_", "credential", "private_key"))
+
+
+def test_reports_that_number_findings_scan_once(spark, sf_small):
+    for name in ("ordered_findings", "report_json", "report_by_file", "workspace_report"):
+        plan = plan_of(QUERIES[name](spark, sf_small))
+        assert "Generate" not in plan and "contains(" not in plan and "event_id" not in plan, name

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flawsieve import findings, scan_log, scan_path, write_findings
 from flawsieve.plans.reports import scan_status
 from flawsieve.sources import files as sources, tree as tree_module
-from flawsieve.sources.store import last_run, last_run_of, read_runs, shared_folder, write_run
+from flawsieve.sources.folders import folders_below, shared_folder
+from flawsieve.sources.store import expire_attempts, last_run, last_run_of, read_runs, write_run
 
 FILES = {
     "src/a b+c%.py": b"\xef\xbb\xbf# eval(x)\n" + b"x = 1\n" * 30 + b"eval(y)\n" + b"\xff key = '123456'\n# eval(\nexec(z)\n" * 20,
