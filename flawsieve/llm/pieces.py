@@ -7,8 +7,10 @@ by piece, and products are summed by document; no document's own sequence of
 pieces is moved, and a piece met in a million documents costs one row a block.
 
 A row of one document holds it as ``doc`` and ``n``; others hold both as packed
-numbers in ``more``. Rows of pieces that many documents of a block share carry a
-salt, so that a piece that all blocks have does not end in one task.
+numbers in ``more``, in as few bytes as hold them. Rows of pieces that many
+documents of a block share are salted by block, so that a piece that all
+blocks have does not end in one task. A block's number is the task's, in its
+upper half, and the block's within the task in its lower.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ FREQUENT = 64
 SALTS = 1024
 
 _PIECES = pa.schema([
-    ("piece", pa.binary()), ("at", pa.int64()), ("n", pa.int32()), ("more", pa.binary()), ("weight", pa.int64()),
-    ("salt", pa.int32()),
+    ("piece", pa.binary()), ("block", pa.int64()), ("doc", pa.int32()), ("n", pa.int32()), ("more", pa.binary()),
+    ("weight", pa.int64()),
 ])
-_BLOCKS = "piece binary, at long, n int, more binary, weight long, salt int"
+_BLOCKS = "piece binary, block long, doc int, n int, more binary, weight long"
+# Documents of a block and their counts, by the first byte of ``more``.
+_WIDTHS = (("<u2", "<u1"), ("<u2", "<u4"), ("<u4", "<u1"), ("<u4", "<u4"))
+# Bytes of ``more`` of a piece that FREQUENT documents of a block have.
+_MANY = f"octet_length(more) >= {FREQUENT * 3}"
 
 
 def _block(number, known, codes, ids, flags, sizes) -> Iterator[pa.RecordBatch]:
@@ -45,25 +51,29 @@ def _block(number, known, codes, ids, flags, sizes) -> Iterator[pa.RecordBatch]:
     learned = np.concatenate([[0], np.cumsum(counts * np.asarray(flags, bool)[doc])])
     weight = learned[starts[1:]] - learned[starts[:-1]]
     names, held = list(known), np.diff(starts)
-    salt = np.where(held >= FREQUENT, (number * 2654435761 >> 7) % SALTS, 0).astype(np.int32)
+    largest = np.maximum.reduceat(counts, starts[:-1]) if len(names) else counts
+    wide = 2 * (n > 1 << 16)
+    kind = wide + (largest >= 1 << 8)
+    docs = doc.astype(_WIDTHS[wide][0])
+    narrow, full = counts.astype("<u1"), counts.astype("<u4")
     for a in range(0, len(names), 50_000):
         s = slice(a, a + 50_000)
         first = starts[:-1][s]
         single = held[s] == 1
         more = [
-            None if one else doc[i : i + h].tobytes() + counts[i : i + h].tobytes()
-            for one, i, h in zip(single.tolist(), first.tolist(), held[s].tolist())
+            None if one else bytes((k,)) + docs[i : i + h].tobytes() + (full if k & 1 else narrow)[i : i + h].tobytes()
+            for one, k, i, h in zip(single.tolist(), kind[s].tolist(), first.tolist(), held[s].tolist())
         ]
         yield pa.RecordBatch.from_arrays([
-            pa.array(names[s], pa.binary()), pa.array((number << 32) + np.where(single, doc[first], 0).astype(np.int64)),
-            pa.array(np.where(single, counts[first], 0).astype(np.int32)), pa.array(more, pa.binary()),
-            pa.array(weight[s]), pa.array(salt[s]),
+            pa.array(names[s], pa.binary()), pa.array(np.full(len(first), number)),
+            pa.array(np.where(single, doc[first], 0).astype(np.int32)),
+            pa.array(np.where(single, counts[first], 0).astype(np.int32)), pa.array(more, pa.binary()), pa.array(weight[s]),
         ], schema=_PIECES)
     missing = np.array([i is None for i in ids], np.int64)
     header = np.stack([[i or 0 for i in ids], missing, np.asarray(flags, np.int64), sizes]).astype(np.int64)
     yield pa.RecordBatch.from_arrays([
-        pa.nulls(1, pa.binary()), pa.array([number << 32]), pa.array([n], pa.int32()),
-        pa.array([header.tobytes()], pa.binary()), pa.array([0]), pa.array([number % SALTS], pa.int32()),
+        pa.nulls(1, pa.binary()), pa.array([number]), pa.array([0], pa.int32()), pa.array([n], pa.int32()),
+        pa.array([header.tobytes()], pa.binary()), pa.array([0]),
     ], schema=_PIECES)
 
 
@@ -75,7 +85,7 @@ def piece_blocks(docs: DataFrame, split: Callable, size: Callable, block_bytes:
     """
 
     def build(batches):
-        number = TaskContext.get().partitionId() << 10  # a task has at most 1024 blocks, 32 GB of text by default
+        number = TaskContext.get().partitionId() << 32
         known, codes, ids, flags, sizes, held = {}, [], [], [], [], 0
         for batch in batches:
             for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -114,7 +124,8 @@ def sums_by_value(blocks: DataFrame, value: Callable) -> DataFrame:
 
     Rows meet by piece in one shuffle, sorted, so that a task works out each of its pieces once.
     """
-    dealt = blocks.select("piece", "at", "n", "more", "salt").repartition("piece", "salt").sortWithinPartitions("piece")
+    salt = F.expr(f"if(piece IS NULL OR {_MANY}, pmod(xxhash64(block), {SALTS}), 0)")
+    dealt = blocks.select("piece", "block", "doc", "n", "more").repartition("piece", salt).sortWithinPartitions("piece")
 
     def sums(batches):
         held = _Held()
@@ -135,7 +146,7 @@ def sums_by_value(blocks: DataFrame, value: Callable) -> DataFrame:
             codes = pieces.indices.fill_null(-1).to_numpy()
             rows = np.flatnonzero(codes >= 0)
             for i in np.flatnonzero(codes < 0).tolist():
-                yield _header(batch.column(1)[i].as_py(), batch.column(3)[i].as_py())
+                yield _batch(batch.column(1)[i].as_py(), None, batch.column(4)[i].as_py())
             yield from held.add(batch.take(pa.array(rows)), table[codes[rows]] if len(rows) else None)
         yield from held.flush()
 
@@ -147,23 +158,23 @@ def sums_by_document(blocks: DataFrame, values: DataFrame) -> DataFrame:
 
     The join is skewed by frequent pieces on one side only; adaptive execution splits it.
     """
-    rows = blocks.filter("piece IS NOT NULL").select("piece", "at", "n", "more")
-    joined = rows.join(values.hint("merge"), "piece").select("piece", "at", "n", "more", "value")
+    rows = blocks.filter("piece IS NOT NULL").select("piece", "block", "doc", "n", "more")
+    joined = rows.join(values.hint("merge"), "piece").select("piece", "block", "doc", "n", "more", "value")
 
     def sums(batches):
         held = _Held()
         for batch in batches:
             if batch.num_rows:
-                value = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                value = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 yield from held.add(batch, value)
         yield from held.flush()
 
     def headers(batches):
         for batch in batches:
-            for at, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield _header(at, more)
+            for block, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield _batch(block, None, more)
 
-    header = blocks.filter("piece IS NULL").select("at", "more").mapInArrow(headers, _SUMS)
+    header = blocks.filter("piece IS NULL").select("block", "more").mapInArrow(headers, _SUMS)
     return _whole(joined.mapInArrow(sums, _SUMS).unionByName(header))
 
 
@@ -174,8 +185,11 @@ def _batch(block, docs, sums):
     )
 
 
-def _header(at, more):
-    return _batch(at >> 32, None, more)
+def _unpacked(more: bytes):
+    """Documents of a block and their counts."""
+    docs, counts = _WIDTHS[more[0]]
+    n = (len(more) - 1) // (int(docs[-1]) + int(counts[-1]))
+    return np.frombuffer(more, docs, n, 1), np.frombuffer(more, counts, n, 1 + n * int(docs[-1]))
 
 
 class _Held:
@@ -183,20 +197,23 @@ class _Held:
 
     def __init__(self):
         self.parts, self.size = [], 0
+        self.blocks: dict[int, int] = {}  # numbered as they are met
 
     def add(self, batch: pa.RecordBatch, value):
         if not batch.num_rows:
             return
-        at, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        more = batch.column(3)
+        blocks, place = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+        known = np.array([self.blocks.setdefault(b, len(self.blocks)) for b in blocks.tolist()], np.int64)
+        at = (known[place] << 32) + batch.column(2).to_numpy()
+        n, more = batch.column(3).to_numpy(), batch.column(4)
         single = more.is_null().to_numpy(zero_copy_only=False)
         self.parts.append((at[single], value[single] * n[single, None]))
         rows = np.flatnonzero(~single)
         if len(rows):
-            packed = [np.frombuffer(m, np.int32) for m in more.take(pa.array(rows)).to_pylist()]
-            lengths = np.array([len(p) // 2 for p in packed])
-            doc = np.concatenate([p[: len(p) // 2] for p in packed])
-            count = np.concatenate([p[len(p) // 2 :] for p in packed])
+            packed = [_unpacked(m) for m in more.take(pa.array(rows)).to_pylist()]
+            lengths = np.array([len(p[0]) for p in packed])
+            doc = np.concatenate([p[0] for p in packed]).astype(np.int64)
+            count = np.concatenate([p[1] for p in packed])
             self.parts.append((np.repeat(at[rows], lengths) + doc, np.repeat(value[rows], lengths, axis=0) * count[:, None]))
         self.size += sum(len(p[0]) for p in self.parts[-2:])
         if self.size > FLUSH:
@@ -216,11 +233,12 @@ class _Held:
             self._fold()
             at, sums = self.parts[0]
             block, doc = at >> 32, (at & 0xFFFFFFFF).astype(np.int32)
+            numbers = list(self.blocks)
             cuts = np.flatnonzero(np.diff(block)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(at)]):
                 if b > a:
-                    yield _batch(int(block[a]), doc[a:b].tobytes(), sums[a:b].tobytes())
-        self.parts, self.size = [], 0
+                    yield _batch(numbers[int(block[a])], doc[a:b].tobytes(), sums[a:b].tobytes())
+        self.parts, self.size, self.blocks = [], 0, {}
 
 
 def _whole(parts: DataFrame) -> DataFrame:

@@ -340,3 +340,31 @@ def test_urls(spark, sf_small):
     ], key=str)
     ours = oracle.rows_of_spark(op2_url_filters(spark, sf_small))
     assert ours == oracle.rows_of(oracle.connect(sf_small), oracles.OP2)
+
+
+def test_a_task_has_any_number_of_blocks(spark):
+    """One document a block: more blocks in a task than fit in ten bits."""
+    from flawsieve.llm import pieces
+
+    many = spark.createDataFrame([(i, f"a b{i} " * (1 + i % 400)) for i in range(1500)], "doc_id long, text string")
+    rows = many.coalesce(1).select("doc_id", F.lit(True).alias("flag"), "text")
+    blocks = pieces.staged_blocks(rows, lambda t: t.encode().split(), lambda t, p: len(p), "many-blocks", 1)
+    assert blocks.select("block").distinct().count() == 1500
+    found = pieces.sums_by_value(blocks, lambda names: [len(n) for n in names]).collect()
+    wanted = {i: (1 + i % 400) * (2 + len(str(i))) for i in range(1500)}
+    assert {r.doc_id: r.sums[0] for r in found} == wanted and len(found) == 1500
+    whole = pieces.staged_blocks(rows, lambda t: t.encode().split(), lambda t, p: len(p), "one-block")
+    assert {r.doc_id: r.sums[0] for r in pieces.sums_by_value(whole, lambda names: [len(n) for n in names]).collect()} == wanted
+
+
+def test_documents_and_counts_of_any_width():
+    import numpy as np
+
+    from flawsieve.llm import pieces
+
+    for n, count in ((3, 5), (3, 70_000), (70_000, 5), (70_000, 300)):
+        codes = [np.zeros(1, np.int32)] * (n - 1) + [np.zeros(count, np.int32)]
+        batches = list(pieces._block(7, {b"x": 0}, codes, list(range(n)), [True] * n, [1] * n))
+        docs, counts = pieces._unpacked(batches[0].column(4)[0].as_py())
+        assert docs.tolist() == list(range(n)) and counts.tolist() == [1] * (n - 1) + [count]
+        assert batches[0].column(5)[0].as_py() == n - 1 + count
