@@ -54,6 +54,18 @@ def gram_postings(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=_SCHEMA))
 
 
+def _one(ch: str) -> str:
+    return f"\\x{{{ord(ch):x}}}"
+
+
+def _begin_like(texts: Iterable[str]) -> str:
+    """A regular expression for any text that has at each place a character that one of ``texts`` has there.
+
+    One table look-up a character, so it turns down most places of a line at once.
+    """
+    return "".join(f"[{''.join(map(_one, sorted(set(place))))}]" for place in zip(*texts))
+
+
 def _any_of(texts: Iterable[str]) -> str:
     """A regular expression for any of the texts, the longest that fits, as a tree of common prefixes."""
     tree: dict = {}
@@ -63,14 +75,11 @@ def _any_of(texts: Iterable[str]) -> str:
             node = node.setdefault(ch, {})
         node[""] = {}
 
-    def one(ch: str) -> str:
-        return f"\\x{{{ord(ch):x}}}"
-
     def written(node: dict) -> str:
         ends = "" in node
         # Characters after which texts end share a class; a class is one test, however many it has.
-        last = "".join(one(ch) for ch, below in node.items() if ch and below.keys() == {""})
-        choices = [f"{one(ch)}{written(below)}" for ch, below in node.items() if ch and below.keys() != {""}]
+        last = "".join(_one(ch) for ch, below in node.items() if ch and below.keys() == {""})
+        choices = [f"{_one(ch)}{written(below)}" for ch, below in node.items() if ch and below.keys() != {""}]
         choices += [f"[{last}]"] if last else []
         if not choices:
             return ""
@@ -97,7 +106,8 @@ def line_grams(raw: str, latin1: str, rule_set: str, rules: Sequence[Rule], alwa
             searches = []
             for (kind, _), texts in sorted(by_kind.items()):
                 if kind == is_latin1:
-                    searches.append(f"regexp_extract_all({raw}, {quoted(f'(?s)(?=({_any_of(sorted(texts))}))')}, 1)")
+                    regex = f"(?s)(?={_begin_like(texts)})(?=({_any_of(sorted(texts))}))"
+                    searches.append(f"regexp_extract_all({raw}, {quoted(regex)}, 1)")
             if searches:
                 found = searches[0] if len(searches) == 1 else f"concat({', '.join(searches)})"
                 if is_latin1:
