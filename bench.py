@@ -61,6 +61,7 @@ def main() -> None:
         seconds(QUERIES[name], spark, sf_dir)
         times[name] = round(min(seconds(QUERIES[name], spark, sf_dir) for _ in range(3)), 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    lines = QUERIES["explode_lines"](spark, sf_dir).count()
     spark.stop()
     print(
         json.dumps(
@@ -70,6 +71,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
+                "lines_per_sec": {name: round(lines / times[name]) for name in ("explode_lines", "rule_match", "scan_all")},
             }
         )
     )
