@@ -5,9 +5,9 @@ of tokens is a piece, and so is the rest. Rests are dealt into groups of
 bounded size by a hash. Within a group each rest starts as a partition of its
 own over all windows; the two partitions of the largest imbalance are merged
 again and again, the fullest windows of the one onto the emptiest of the other
-(Karmarkar and Karp). The windows end up nearly equal; where the fullest is
-over capacity, the window count rises and the group is dealt anew. The count
-starts from the least that could hold the tokens.
+(Karmarkar and Karp). The windows end up nearly equal. There are as many as
+could hold the tokens; what one then has over capacity, a small part, is cut off and
+moved to where there is room, instead of dealing the group anew into more windows.
 
 A null or empty text is the end token alone. Repeated rows are packed each for
 itself. Extra columns are not carried.
@@ -89,8 +89,7 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
 def packed(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of at most ``capacity``, each a list of ``(item, start, length)``.
 
-    Starts from the windows that the items would fill; the count rises while
-    they exceed it. What a window then holds over capacity, a small part as
+    The windows are as many as the items would fill. What a window then holds over capacity, a small part as
     windows are nearly equal, is cut off its last item and put where there is room.
     """
     total = sum(sizes)
