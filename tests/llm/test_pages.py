@@ -1,5 +1,10 @@
 """Main text of pages."""
 
+import time
+import tracemalloc
+
+import pytest
+
 from flawsieve.llm.html_extraction import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -42,6 +47,37 @@ def test_names_are_weights():
     assert main_text(f"<body><article>{TEXT}<div class='comments'><p>A reader, at length, says hello.</p></div></article>").split("\n") == SENTENCES
 
 
+@pytest.mark.parametrize("name", [
+    "reader-comments", "comments-section", "comment-list", "user-comments", "left-sidebar", "sidebar-right", "main-menu",
+    "site-notice", "related-posts", "social-links", "share-buttons", "readerComments", "comments",
+])
+def test_compound_names(name):
+    beside = f"<div class='x {name}'><p>Some reader, at some length, says this and that, and more.</p><p>Another, too.</p></div>"
+    for page in (f"<article>{TEXT}{beside}</article>", f"<article>{TEXT}</article>{beside}", f"<div>{TEXT}</div>{beside}"):
+        assert main_text(f"<body>{page}</body>").split("\n") == SENTENCES
+    for prefix in ("no", "has"):
+        assert main_text(f"<article><div id='{prefix}-{name}'>{TEXT}</div></article>").split("\n") == SENTENCES
+    long = "<p>" + "A reader goes on, and on, and on. " * 20 + "</p>"
+    assert main_text(f"<article><div>{TEXT * 20}</div><div class='{name}'>{long * 3}</div></article>").split("\n") == SENTENCES * 20
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<div class=ad>", "<p><b>", "<ul><li>", "<i><div><b>", "<article>", "<td><b>", "</i><b>", "<div></section>"])
+def test_deep_pages(tags):
+    def seconds(n):
+        page = f"<i>{tags * (n // len(tags))}{TEXT}{'</i></td></section>' * (n // 20)}"
+        tracemalloc.start()
+        at = time.process_time()
+        text = main_text(page)
+        took, most = time.process_time() - at, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert all(s in text for s in SENTENCES)
+        return took, most
+
+    (small, little), (large, much) = seconds(100_000), seconds(400_000)
+    assert large < 12 * small + 0.5
+    assert much < 6 * little and much < 1000 * 400_000
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p", 3), (4, "u", "<article><p>cut off &am", 4), (None, "u", "<" * 5000, 5), (4, "u", "<article><p>cut off &am", 4)]
     got = {(r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()}
