@@ -37,11 +37,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of its repeated rows, one."""
-    kept = near_duplicates(docs, SIMILAR_PERCENT).filter("kept").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """The first document, by id and text, of each group of near duplicates; of its repeated rows, one.
+
+    Different texts under one id are different documents.
+    """
+    found = near_duplicates(docs, SIMILAR_PERCENT).filter("first AND doc_id IS NOT NULL")
+    first = found.select("doc_id", F.col("mark").alias("_mark")).distinct()
+    known = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text")).join(first, ["doc_id", "_mark"], "left_semi")
     nameless = docs.select(*COLUMNS).filter("doc_id IS NULL")  # no id, so no duplicate of any
-    return known.dropDuplicates(["doc_id"]).unionByName(nameless)
+    return known.dropDuplicates(["doc_id", "_mark"]).select(*COLUMNS).unionByName(nameless)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Texts with the same words form a class; only its smallest id goes on.
+1. Texts with the same words form a class, named by a digest of 128 bits of its
+   words; only classes go on.
 2. Each class gets a signature of ``HASHES`` minimum hashes; a band of it is a
    bucket key, and classes that share a bucket are candidates. The bands'
    length follows from the threshold.
 3. Star round: in each bucket every class meets the bucket's hub, the class with
    the most neighbours over all its buckets. A bucket of g classes makes g pairs.
 4. Rest round: only buckets whose classes still lie in several components go on.
-   They are cut into parts of bounded size, and pairs of parts are compared in
-   the task that holds them, so that pairs never become rows; parts of a
-   bucket's largest component do not meet each other. A pair counts in the first
-   band it shares, and only across components.
+   They are cut into parts of bounded size, and signatures of pairs of parts are
+   compared in the task that holds them, so that pairs never become rows; parts of
+   a bucket's largest component do not meet each other. A pair counts in the first
+   band it shares, and only across components. Classes without a pair left drop
+   out; to the others their texts are brought.
 
 In both rounds a pair's signatures are compared batch by batch; it is dropped
 once the posterior probability (uniform prior) of a similarity of at least
@@ -19,7 +21,8 @@ shingles. Components are found by hooking and pointer jumping over the links.
 
 A text with fewer words than a shingle is one shingle; a text without words
 has none and is linked with nothing. Null ids are taken for texts of no id and
-give a row each, alone. Repeated rows fall together.
+give a row each, alone. Repeated rows fall together. Different texts under one id
+are documents of their own, each with the links of its text.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ MISS = 1e-6
 # The share of pairs at the threshold that may share no band.
 UNSEEN = 1e-5
 PART = 256
+# Rows of texts that nobody wants are told by a bitmap of so many longs (2 MB) before they are shuffled. Beyond some
+# million wanted texts it fills up: more are shuffled then, and the results stay.
+BITMAP = 1 << 18
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(21).integers(0, 1 << 62, HASHES, np.uint64)
@@ -123,14 +129,15 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _classes(docs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, class)`` of every row, and ``(class, sig, keys, n)`` of every class with words."""
+    """``(doc_id, mark, class, n_shingles, sig, keys)`` of every row, and ``(id, first)`` of every
+    class with words and an id; ``first (doc_id, mark)`` tells its first text."""
 
     def sign(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 part = whole.slice(a, 512)
                 classes, n, sigs, keys = [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     words = word_list(text.as_py())
                     classes.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                     shingles = shingle_set(words)
@@ -139,24 +146,41 @@ def _classes(docs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
                     sigs.append(s.tobytes() if words else None)
                     keys.append(band_keys(s[None], rows)[0] if words else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "class", "n_shingles", "sig", "keys"],
+                    [part.column(0), part.column(1), pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "mark", "class", "n_shingles", "sig", "keys"],
                 )
 
-    schema = "doc_id long, class binary, n_shingles long, sig binary, keys array<long>"
-    signed = staged(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
+    schema = "doc_id long, mark long, class binary, n_shingles long, sig binary, keys array<long>"
+    signed = staged(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(sign, schema), "signatures")
     named = signed.filter("class IS NOT NULL AND doc_id IS NOT NULL")
-    first = named.groupBy("class").agg(F.min("doc_id").alias("id"))
+    first = named.groupBy(F.col("class").alias("id")).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     return signed, staged(first, "classes")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, text)``: one text for each of ``ids (id)``."""
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.groupBy("id").agg(F.max("text").alias("text"))
+def _bitmap(wanted: DataFrame) -> DataFrame:
+    """One row ``(bits)`` of ``BITMAP`` longs, in which the bit of each ``(doc_id, mark)`` is set."""
+    h = F.xxhash64("doc_id", "mark")
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(BITMAP)).cast("int")
+    set_bits = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("bit"))
+    set_bits = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = wanted.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("word")).join(set_bits, "word", "left").na.fill(0, ["bits"])
+    return every.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("rows")).select(F.transform("rows", lambda r: r["bits"]).alias("bits"))
 
 
-def _star_links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
+def _told(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``asked (id, ...)``, each with the class's ``text``."""
+    first = classes.select("id", "first.doc_id", "first.mark")
+    asked = staged(asked.join(first.hint("merge"), "id"), "asked")
+    h = F.xxhash64("doc_id", "mark")
+    known = F.get(F.col("_bits"), F.pmod(F.shiftrightunsigned(h, 6), F.lit(BITMAP)).cast("int"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").withColumn("_bits", _bitmap(asked.select("doc_id", "mark")).scalar())
+    texts = texts.filter(F.call_function("getbit", known, F.pmod(h, F.lit(64)).cast("int")) == 1).select("doc_id", "mark", "text")
+    # Repeated rows give their text once.
+    texts = texts.groupBy("doc_id", "mark").agg(F.max("text").alias("text"))
+    return asked.join(texts.hint("merge"), ["doc_id", "mark"]).drop("doc_id", "mark")
+
+
+def _star_links(pairs: DataFrame, sigs: DataFrame, told, percent: int, least: np.ndarray) -> DataFrame:
     """``(a, b)``: the linked ones of ``pairs (hub, id)``."""
 
     def prune(batches):
@@ -169,38 +193,35 @@ def _star_links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], names=["hub", "id"])
 
     hubs = sigs.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
-    signed = pairs.join(sigs, "id").join(hubs, "hub").select("hub", "id", "hub_sig", "sig")
-    passed = staged(signed.mapInArrow(prune, "hub long, id long"), "star-pairs")
+    signed = pairs.join(sigs.hint("merge"), "id").join(hubs.hint("merge"), "hub").select("hub", "id", "hub_sig", "sig")
+    passed = staged(signed.mapInArrow(prune, "hub binary, id binary"), "star-pairs")
     # Members of a hub are dealt into groups of about PART; each gets the hub's text once.
-    sizes = passed.groupBy("hub").agg(F.count("*").alias("size"))
+    sizes = staged(passed.groupBy("hub").agg(F.count("*").alias("size")), "star-sizes")
     salted = passed.join(sizes, "hub").select(
-        "hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)).alias("salt")
+        "hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)).alias("salt"), F.lit(False).alias("lead")
     )
-    ids = passed.select("id").union(passed.select("hub")).distinct()
-    texts = staged(_texts_of(docs, ids), "texts")
-    members = salted.join(texts, "id").select("hub", "salt", "id", "text")
-    leads = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("id", "hub"), "hub")
-    rows = leads.select("hub", "salt", F.lit(None).cast("long").alias("id"), "text").unionByName(members)
+    leads = salted.select("hub", F.col("hub").alias("id"), "salt", F.lit(True).alias("lead")).distinct()
+    rows = told(salted.unionByName(leads)).select("hub", "salt", "id", "text", "lead")
 
     def verify(batches):
         hub, own = None, None
         for batch in batches:
             found = []
-            for h, i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for h, i, text, lead in zip(*(batch.column(k).to_pylist() for k in (0, 2)), batch.column(3), batch.column(4).to_pylist()):
                 shingles = shingle_set(word_list(text.as_py()))
-                if i is None:
+                if lead:
                     hub, own = h, shingles
                 elif h == hub and _linked(own, shingles, percent):
                     found.append((h, i))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"]
+                [pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], names=["a", "b"]
             )
 
-    sorted_rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id").asc_nulls_first())
-    return staged(sorted_rows.mapInArrow(verify, "a long, b long"), "star-links")
+    sorted_rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("lead").desc())
+    return staged(sorted_rows.mapInArrow(verify, "a binary, b binary"), "star-links")
 
 
-def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, least: np.ndarray, rows: int) -> DataFrame:
+def _rest_links(buckets: DataFrame, sigs: DataFrame, told, percent: int, least: np.ndarray, rows: int) -> DataFrame:
     """Links across components within ``buckets (key, id, component)``.
 
     The largest component of a bucket has parts of its own, which meet all parts of
@@ -213,31 +234,30 @@ def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: i
         "key", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.n")) / PART).cast("int").alias("others"),
         F.ceil(F.col("most.n") / PART).cast("int").alias("own"),
     )
+    parts = staged(parts.filter("others > 0"), "parts")
     # Parts from 0 are the others', those from ``others`` the largest component's.
     of_most = F.col("component") == F.col("most")
     h = F.xxhash64("id")
     part = F.when(of_most, F.col("others") + F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.greatest("others", F.lit(1))))
     last = F.when(of_most, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
     # Part p meets every part q: its rows go to each pair (p, q) with p <= q and each (q, p) with q < p.
-    dealt = buckets.join(parts, "key").filter("others > 0").select(
+    dealt = buckets.join(parts, "key").select(
         "key", "id", "component", part.cast("int").alias("part"), F.sequence(F.lit(0), last).alias("meets")
     )
-    members = staged(dealt, "rest-members")
-    texts = _texts_of(docs, members.select("id").distinct())
-    full = members.join(sigs, "id").join(texts, "id")
-    spread = full.select("key", "id", "component", "sig", "text", "part", F.explode("meets").alias("q"))
-    spread = spread.select(
-        "key", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "id", "component", "sig", "text"
+    full = dealt.join(sigs.hint("merge"), "id")
+    spread = full.select("key", "id", "component", "sig", "part", F.explode("meets").alias("q")).select(
+        "key", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "id", "component", "sig"
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, low, high = int(pdf["key"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+    def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = _block_pairs(pdf, least, rows)
+        return pdf.iloc[np.union1d(i, j)]
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        keys = band_keys(sig, rows)
-        band = int(np.argmax((keys == key).all(0)))
+        i, j, equal = _block_pairs(pdf, least, rows)
         root = {c: c for c in pdf["component"]}
-        component, part = pdf["component"].to_numpy(), pdf["part"].to_numpy()
+        component = pdf["component"].to_numpy()
 
         def find(c):
             while root[c] != c:
@@ -245,17 +265,7 @@ def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: i
                 c = root[c]
             return c
 
-        i, j = np.triu_indices(len(pdf), 1)
-        use = component[i] != component[j]
-        if low != high:
-            use &= part[i] != part[j]
-        i, j = i[use], j[use]
-        if band:
-            first = ~(keys[i, :band] == keys[j, :band]).any(1)
-            i, j = i[first], j[first]
-        on = _alive(sig[i], sig[j], least)
-        i, j = i[on], j[on]
-        order = np.argsort(-(sig[i] == sig[j]).sum(1), kind="stable")
+        order = np.argsort(-equal, kind="stable")
         sets, found = {}, []
         for a, b in zip(i[order].tolist(), j[order].tolist()):
             x, y = find(component[a]), find(component[b])
@@ -266,10 +276,37 @@ def _rest_links(buckets: DataFrame, sigs: DataFrame, docs: DataFrame, percent: i
                     sets[m] = shingle_set(word_list(pdf["text"].iat[m]))
             if _linked(sets[a], sets[b], percent):
                 root[x] = y
-                found.append((int(pdf["id"].iat[a]), int(pdf["id"].iat[b])))
+                found.append((pdf["id"].iat[a], pdf["id"].iat[b]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return staged(spread.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long"), "rest-links")
+    block = ("key", "low", "high")
+    alive = staged(spread.groupBy(*block).applyInPandas(survivors, spread.schema), "rest-pairs")
+    return staged(told(alive).groupBy(*block).applyInPandas(verify, "a binary, b binary"), "rest-links")
+
+
+def _block_pairs(pdf: pd.DataFrame, least: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that pass every batch, and their equal hashes.
+
+    Pairs lie across components and, where two parts meet, across parts; of the bands a
+    pair shares only the first one counts.
+    """
+    key, low, high = (int(pdf[c].iloc[0]) for c in ("key", "low", "high"))
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
+    keys = band_keys(sig, rows)
+    band = int(np.argmax((keys == key).all(0)))
+    component = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+    part = pdf["part"].to_numpy()
+    i, j = np.triu_indices(len(pdf), 1)
+    use = component[i] != component[j]
+    if low != high:
+        use &= part[i] != part[j]
+    i, j = i[use], j[use]
+    if band:
+        first = ~(keys[i, :band] == keys[j, :band]).any(1)
+        i, j = i[first], j[first]
+    on = _alive(sig[i], sig[j], least)
+    i, j = i[on], j[on]
+    return i, j, (sig[i] == sig[j]).sum(1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -303,37 +340,55 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs (doc_id, text)``.
+    """``(doc_id, mark, n_shingles, component_id, kept, first)`` for every row of ``docs (doc_id, text)``.
 
     Texts are linked whose sets of shingles have a similarity of ``percent`` / 100 or more.
+    ``mark`` is the text's ``xxhash64``; ``first`` tells the one text of each group that is
+    first by ``(doc_id, mark)``, on each row that has it.
     """
     least, rows_a_band = least_matches(percent / 100, miss), band_rows(percent / 100)
     signed, classes = _classes(docs, rows_a_band)
-    reps = signed.select(F.col("doc_id").alias("id"), "class", "sig", "keys").join(classes, ["class", "id"]).dropDuplicates(["id"])
-    reps = staged(reps.select("id", "sig", "keys"), "class-signatures")
+    own = classes.select("id", "first.doc_id", "first.mark")
+    named = signed.select("doc_id", "mark", F.col("class").alias("id"), "sig", "keys").join(own.hint("merge"), ["id", "doc_id", "mark"])
+    reps = staged(named.select("id", "sig", "keys").dropDuplicates(["id"]), "class-signatures")
     sigs = reps.select("id", "sig")
+
+    def told(asked):
+        return _told(docs, classes, asked)
+
+    # Tables that grow with the corpus meet by shuffles, at every size.
+    # What is gathered by key is written before it meets a bucket's rows: a hot bucket's rows can be split then.
     rows = reps.select("id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = staged(rows.join(sizes, "key"), "buckets")
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    shared = staged(rows.join(sizes.hint("merge"), "key"), "buckets")
     degrees = shared.groupBy("id").agg(F.sum("size").alias("degree"))
-    ranked = shared.join(degrees, "id")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub.id")).alias("hub"))
-    pairs = shared.join(hubs, "key").filter("hub <> id").select("hub", "id").distinct()
-    links = _star_links(pairs, sigs, docs, percent, least)
+    ranked = shared.join(degrees.hint("merge"), "id")
+    hubs = staged(ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", "hub.id"), "hubs")
+    hubs = hubs.withColumnRenamed("id", "hub")
+    pairs = shared.join(hubs.hint("merge"), "key").filter("hub <> id").select("hub", "id").distinct()
+    links = _star_links(pairs, sigs, told, percent, least)
     labels = components(links)
-    named = shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    placed = staged(shared.join(labels.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     # A pair of classes without a common component is tested here, but for those with the hub.
-    rest = named.join(several.select("key"), "key").join(hubs, "key").filter("id <> hub OR component <> hub")
+    apart = staged(several.select("key").join(hubs.hint("merge"), "key"), "apart")
+    rest = placed.join(apart.hint("merge"), "key").filter("id <> hub OR component <> hub")
     rest = staged(rest.select("key", "id", "component"), "rest-buckets")
-    more = _rest_links(rest, sigs, docs, percent, least, rows_a_band)
+    more = _rest_links(rest, sigs, told, percent, least, rows_a_band)
     labels = components(links.unionByName(more))
-    by_class = classes.join(labels, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    grouped = classes.join(labels.hint("merge"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
+    leads = staged(grouped.groupBy("component").agg(F.min("first").alias("lead")), "leads")
+    by_class = staged(grouped.join(leads.hint("merge"), "component").select(F.col("id").alias("class"), "lead"), "class-leads")
+    out = signed.select("doc_id", "mark", "n_shingles", "class").join(by_class.hint("merge"), "class", "left")
+    alone = F.col("doc_id").isNull() | F.col("lead").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return out.select(
+        "doc_id", "mark", "n_shingles", component.alias("component_id"),
+        (alone | (F.col("doc_id") == F.col("lead.doc_id"))).alias("kept"),
+        (alone | (F.struct("doc_id", "mark") == F.col("lead"))).alias("first"),
+    )
 
 
 def op4_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
