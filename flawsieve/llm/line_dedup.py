@@ -9,16 +9,19 @@ over sorted rows. The lines that go are then found by a join on the hash
 words of 64 lines, of which only those with a dropped line are there.
 
 A null or empty text is one empty line. Keys shorter than ``min_chars`` are
-never dropped. A repeated row counts as a further document.
+never dropped. Rows of one id are one document when documents are counted, and
+rows without id are none; all lose their lines alike. Columns of the input that have
+one of the names in ``OWN_NAMES`` are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flawsieve.llm.shared import ascii_lower, let
+from flawsieve.llm.shared import ascii_lower, let, staged, without
 
 SALTS = 32
+OWN_NAMES = ("n_lines", "n_dropped", "kept_text", "_mark", "_id", "_to", "_dropped", "_lines")
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -54,7 +57,7 @@ def _first_in_document(text: Column, min_chars: int) -> Column:
 
 
 def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """``(hash, first, n_docs)``: each line once, ``first (doc_id, line)`` where it comes first."""
+    """``(hash, first, n_rows)``: each line once, ``first (doc_id, line)`` where it comes first, and the rows that have it."""
     rows = docs.select("doc_id", F.explode(_first_in_document(F.col("text"), min_chars)).alias("p"))
     rows = rows.select("p.hash", F.struct("doc_id", "p.line").alias("first"))
     salted = rows.groupBy("hash", F.pmod(F.xxhash64("first.doc_id"), F.lit(SALTS)).alias("salt"))
@@ -62,8 +65,8 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     spread = few.repartitionByRange("hash").sortWithinPartitions("hash", "first")
     own = Window.partitionBy("hash").orderBy("first")
     every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = spread.withColumns({"n_docs": F.sum("n").over(every), "nth": F.row_number().over(own)})
-    return seen.filter("nth = 1").select("hash", "first", "n_docs")
+    seen = spread.withColumns({"n_rows": F.sum("n").over(every), "nth": F.row_number().over(own)})
+    return seen.filter("nth = 1").select("hash", "first", "n_rows")
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -71,8 +74,12 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
 
     ``dropped`` is an array of ``(word, bits)``: bit ``b`` of word ``w`` stands for line ``64 w + b``.
     """
-    frequent = line_counts(docs, min_chars).filter(F.col("n_docs") >= min_docs).select("hash")
-    gone = _occurrences(docs, min_chars).join(frequent, "hash", "left_semi")
+    frequent = line_counts(docs, min_chars).filter(F.col("n_rows") >= min_docs).select("hash")
+    found = staged(_occurrences(docs, min_chars).join(frequent, "hash", "left_semi"), "frequent-lines")
+    # A line of so many rows may be one of fewer documents: rows can share an id.
+    holders = found.filter("doc_id IS NOT NULL").groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+    often = holders.groupBy("hash").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    gone = found.join(often.select("hash"), "hash", "left_semi")
     bit = F.expr("shiftleft(1L, line % 64)")
     words = gone.groupBy("doc_id", "mark", F.expr("CAST(line div 64 AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("word", "bits")).alias("dropped"))
@@ -80,6 +87,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``."""
+    docs = without(docs, *OWN_NAMES)
     own = docs.withColumn("_mark", F.xxhash64("text"))
     to = bitmaps.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_to"), F.col("dropped").alias("_dropped"))
     joined = own.join(to, (F.col("_mark") == F.col("_to")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")

@@ -8,19 +8,21 @@ verdict depends on nothing but the tables.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are
 judged alike and each counts in the models. Without trusted documents all
-scores are those of the smoothing alone.
+scores are those of the smoothing alone. Columns of the input that have one of the
+names in ``OWN_NAMES`` are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flawsieve.llm.shared import let, words_of
+from flawsieve.llm.shared import let, without, words_of
 
 BUCKETS = 1 << 17
 SMOOTHING = 0.5
 THRESHOLD = -0.1
 WINDOW = 8
+OWN_NAMES = ("_model", "_of_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -91,6 +93,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     score)`` and every other column of ``docs (doc_id, text, ...)`` as it is."""
     # The model is a scalar subquery, worked out once; it may not stand inside the lambda as such.
+    docs = without(docs, *OWN_NAMES)
     judged = docs.withColumn("_model", ratio_model(docs, trusted, buckets).scalar())
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")

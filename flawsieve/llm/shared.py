@@ -34,3 +34,9 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)``, with ``value`` computed once however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns that clash, in any case, with ``names`` that an operator adds or works with."""
+    taken = {name.lower() for name in names}
+    return docs.select(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in taken))

@@ -147,6 +147,15 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    found = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, one), (None, one), (5, None), (5, "")]
+    got = near_duplicates(spark.createDataFrame(found, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5)]
+    assert sorted(r.doc_id or 0 for r in got if r.first) == [0, 1, 1, 5, 5]
+    assert all(r.kept == (r.doc_id in (1, 5, None)) for r in got)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_chains_of_near_duplicates(spark, monkeypatch, percent):
     """Neighbours are linked, ends are not, some steps are too wide, and buckets have many parts."""
@@ -168,7 +177,8 @@ def lines_brute(min_docs):
     split = [(i, t, (t or "").split("\n")) for i, t in texts()]
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(blanks).translate(lower)
-    seen = Counter(k for _, _, x in split for k in {key(y) for y in x} if k)
+    # Documents are told by their ids, as in the SQL.
+    seen = Counter(k for k, _ in {(key(y), i) for i, _, x in split if i is not None for y in x} if k)
     out = Counter()
     for i, _, x in split:
         kept = [y for y in x if seen[key(y)] < min_docs]
@@ -181,12 +191,32 @@ def test_line_dedup(docs, none, spark, sf_small):
         found = apply_bitmaps(docs, drop_bitmaps(docs, min_docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
         assert Counter(map(tuple, found.collect())) == lines_brute(min_docs)
     assert drop_bitmaps(none).collect() == []
-    first = {r.n_docs: r.first for r in line_counts(docs).filter("n_docs = 12").collect()}
+    first = {r.n_rows: r.first for r in line_counts(docs).filter("n_rows = 12").collect()}
     assert (first[12].doc_id, first[12].line) == (300, 1)
     ours = oracle.rows_of_spark(op10_line_dedup(spark, sf_small))
     assert ours == oracle.rows_of(oracle.connect(sf_small), oracles.OP10)
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    """Ten rows of one document are one document; rows without id are none."""
+    same = [(1, "Once\nmore", 7, 8)] * 10
+    ten = [(i, f"  TEN \nown{i}", 7, 8) for i in range(10, 20)]
+    lacking = [(i, "nine", 7, 8) for i in range(30, 39)] + [(None, "nine", 7, 8), (1, "ten", 7, 8)]
+    table = spark.createDataFrame(same + ten + lacking, "doc_id long, text string, n_lines long, _mark long")
+    got = apply_bitmaps(table, drop_bitmaps(table))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped", "kept_text"]
+    rows = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect())
+    wanted = [(1, 2, 0, "Once\nmore")] * 10 + [(i, 2, 1, f"own{i}") for i in range(10, 20)]
+    wanted += [(i, 1, 0, "nine") for i in range(30, 39)] + [(0, 1, 0, "nine"), (1, 1, 1, "")]
+    assert rows == sorted(wanted)
+
+
+def test_quality_of_clashing_columns(spark):
+    table = spark.createDataFrame([(1, "a b", 1, 2, 3)], "doc_id long, text string, score long, _model long, KEPT long")
+    row = judge_quality(table, table.select("doc_id")).first()
+    assert (row.doc_id, row.kept, row.base_failed, row.n_words) == (1, False, True, 2)
+
+
 def test_quality(docs, none, spark):
     trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
     got = judge_quality(docs, trusted).collect()
