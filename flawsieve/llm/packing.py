@@ -5,9 +5,9 @@ of tokens is a piece, and so is the rest. Rests are dealt into groups of
 bounded size by a hash. Within a group each rest starts as a partition of its
 own over all windows; the two partitions of the largest imbalance are merged
 again and again, the fullest windows of the one onto the emptiest of the other
-(Karmarkar and Karp). The windows end up nearly equal. There are as many as
-could hold the tokens; what one then has over capacity, a small part, is cut off and
-moved to where there is room, instead of dealing the group anew into more windows.
+(Karmarkar and Karp). The windows end up nearly equal. Whenever one exceeds the
+capacity, the window count rises and the group is dealt anew. Some rests are cut into
+parts of all sizes first, so that this happens seldom.
 
 A null or empty text is the end token alone. Repeated rows are packed each for
 itself. Extra columns are not carried.
@@ -29,6 +29,7 @@ from flawsieve.llm.token_counts import SPACE, tokenizer
 
 CAPACITY = 4096
 GROUP = 1024
+HALVED = 4
 MEMO = 600_000
 
 # Fixed value: the white space that the tokenizer's normalizer turns into one space.
@@ -86,39 +87,42 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
     return [w[1] for w in heap[0][2]] if heap else []
 
 
+def cuts(sizes: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """``(item, start, length)`` of parts whose sizes suit differencing.
+
+    Parts of a quarter of ``capacity`` are cut off larger items, and every ``HALVED``-th item is halved until
+    what is left is small: parts of all sizes let the windows end up nearly equal.
+    """
+    grain, low = max(capacity // 4, 1), max(capacity // 512, 1)
+    parts = []
+    for i, size in enumerate(sizes):
+        start = 0
+        while size - start > grain:
+            parts.append((i, start, grain))
+            start += grain
+        while i % HALVED == 0 and size - start >= 2 * low:
+            length = (size - start + 1) // 2
+            parts.append((i, start, length))
+            start += length
+        if start < size:
+            parts.append((i, start, size - start))
+    return parts
+
+
 def packed(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of at most ``capacity``, each a list of ``(item, start, length)``.
 
-    The windows are as many as the items would fill. What a window then holds over capacity, a small part as
-    windows are nearly equal, is cut off its last item and put where there is room.
+    The parts are dealt into as many windows as could hold them, and anew into one more for as long as a window
+    exceeds ``capacity``. No part is larger than a window, so a window for each part ends the search.
     """
-    total = sum(sizes)
-    k = max(1, total // capacity)
-    while total > k * capacity:
+    parts = cuts(sizes, capacity)
+    lengths = [length for _, _, length in parts]
+    k = max(1, -(-sum(lengths) // capacity))
+    while True:
+        windows = differenced(lengths, k)
+        if all(sum(lengths[p] for p in window) <= capacity for window in windows):
+            return [[parts[p] for p in sorted(window)] for window in windows if window]
         k += 1
-    windows, off = [], []
-    for items in differenced(sizes, k):
-        window, room = [], capacity
-        for i in sorted(items, key=lambda i: -sizes[i]):
-            take = min(sizes[i], room)
-            if take:
-                window.append((i, 0, take))
-                room -= take
-            if take < sizes[i]:
-                off.append((i, take, sizes[i] - take))
-        windows.append([room, window])
-    windows += [[capacity, []] for _ in range(k - len(windows))]
-    open_windows = sorted((w for w in windows if w[0]), key=lambda w: w[0])
-    for i, start, length in off:
-        while length:
-            window = open_windows[-1]
-            take = min(length, window[0])
-            window[1].append((i, start, take))
-            window[0] -= take
-            start, length = start + take, length - take
-            if not window[0]:
-                open_windows.pop()
-    return [w[1] for w in windows if w[1]]
 
 
 _CUT = pa.schema([
