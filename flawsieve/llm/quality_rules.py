@@ -2,27 +2,37 @@
 
 Words and pairs of words are hashed into a fixed number of buckets. Two
 multinomials over the buckets are counted, one over all documents and one over
-trusted documents. A document's score is the mean logarithm of their ratio over
-its n-grams; below the threshold it is rejected. Everything is a count, so the
-verdict depends on nothing but the tables.
+trusted documents, whose prior is the former. A document's score is the mean
+logarithm of their ratio over its n-grams, with its own n-grams taken out of both
+models, so that a document that was learned from has no advantage. The threshold
+is the score below which a small share of the trusted documents fall. Everything is
+a count, so the verdict depends on nothing but the tables.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are
-judged alike and each counts in the models. Without trusted documents all
-scores are those of the smoothing alone. Columns of the input that have one of the
-names in ``OWN_NAMES`` are left out.
+judged alike, each counts in the models, and one is taken out. Without another
+trusted document a score is 0, and without trusted documents that pass the base
+rules there is no threshold: whatever passes them is kept. Columns of the input that
+have one of the names in ``OWN_NAMES`` are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flawsieve.llm.shared import let, without, words_of
+from flawsieve.llm.shared import let, staged, without, words_of
 
 BUCKETS = 1 << 17
+# Added to each bucket of the raw model.
 SMOOTHING = 0.5
-THRESHOLD = -0.1
+# Weight of the raw model as the prior of the trusted one, of the trusted n-grams' number.
+PRIOR = 0.1
+# Of the trusted documents, what the threshold may turn down; it is told in steps of 1 / STEPS.
+SHARE = 0.01
+STEPS = 1000
 WINDOW = 8
-OWN_NAMES = ("_model", "_of_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+OWN_NAMES = ("_good", "_model", "_of_words", "_limit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -39,33 +49,57 @@ def _buckets(h: Column, buckets: int) -> Column:
     return F.concat(words, F.slice(pairs, 1, F.greatest(F.size(h) - 1, F.lit(0))))
 
 
-def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row ``(model)``: an array with each bucket's logarithm of the ratio.
-
-    ``docs (doc_id, text)`` is the corpus, ``trusted (doc_id)`` tells which of it to trust.
-    """
-    marks = trusted.select("doc_id").distinct().withColumn("good", F.lit(1))
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``docs (doc_id, ...)`` with ``_good``: 1 for the documents in ``trusted (doc_id)``, else 0."""
+    marks = trusted.select("doc_id").distinct().withColumn("_good", F.lit(1))
     # Always by a shuffle: neither side has a bound.
-    grams = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select(
-        F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, buckets))).alias("bucket"),
-        F.coalesce("good", F.lit(0)).alias("good"),
-    )
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    return docs.join(marks.hint("merge"), "doc_id", "left").select(
+        *(docs[f"`{c}`"] for c in docs.columns), F.coalesce("_good", F.lit(0)).alias("_good")
+    )
+
+
+def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row ``(model)`` of ``docs (text, _good)``: the n-grams of each bucket and in all, ``n`` and
+    ``total`` of all documents, ``good`` and ``good_total`` of the trusted ones."""
+    grams = docs.select(F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, buckets))).alias("bucket"), "_good")
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("_good").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     every = every.join(counts, "bucket", "left").na.fill(0, ["n", "good"])
     rows = F.array_sort(F.collect_list(F.struct("bucket", "n", "good")))
-    total = SMOOTHING * buckets
-    summed = every.agg(rows.alias("rows"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))
-    lift = F.log((F.col("all_n") + total) / (F.col("all_good") + total))
-    return summed.select(
-        F.transform("rows", lambda r: F.log((r["good"] + SMOOTHING) / (r["n"] + SMOOTHING)) + lift).alias("model")
-    )
+    summed = every.agg(rows.alias("rows"), F.sum("n").alias("total"), F.sum("good").alias("good_total"))
+    return summed.select(F.struct(
+        F.transform("rows", lambda r: r["n"]).alias("n"), F.transform("rows", lambda r: r["good"]).alias("good"), "total", "good_total"
+    ).alias("model"))
+
+
+def left_out_ratio(grams: Column, model: Column, good: Column, buckets: int) -> Column:
+    """Mean log ratio of a document's ``grams`` under ``model`` without them; 0 where nothing trusted is left."""
+
+    def of(x):
+        """``x``: the document's buckets in order, the model, and whether to trust the document."""
+        rows, n = x["rows"], F.size(x["rows"])
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(rows, i) != F.get(rows, i - 1)))
+        left = x["model"]["good_total"] - x["good"] * n
+        scale = (x["model"]["total"] - n + SMOOTHING * buckets) / left
+        runs = let(F.struct(first.alias("first"), scale.alias("scale")), lambda y: F.transform(
+            y["first"],
+            lambda i, j: let(F.struct(F.get(rows, i).alias("b"), (F.coalesce(F.get(y["first"], j + 1), n) - i).alias("c")), lambda r: (
+                r["c"] * F.log(
+                    (F.get(x["model"]["good"], r["b"]) - x["good"] * r["c"]) * y["scale"]
+                    / (F.get(x["model"]["n"], r["b"]) - r["c"] + SMOOTHING) + PRIOR
+                )
+            )),
+        ))
+        total = F.aggregate(runs, F.lit(0.0), lambda a, v: a + v)
+        return F.when((n > 0) & (left > 0), total / n - F.lit(math.log(1 + PRIOR))).otherwise(F.lit(0.0))
+
+    return let(F.struct(F.sort_array(grams).alias("rows"), model.alias("model"), good.alias("good")), of)
 
 
 def repeated_words(h: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows that the text has twice or more; ``h`` are the words' hashes."""
 
-    def marked(rows):
+    def covered(rows):
         """Words covered by the windows of a hash that a neighbour in ``rows (hash, place)`` shares."""
         n = F.size(rows)
 
@@ -81,7 +115,7 @@ def repeated_words(h: Column, window: int = WINDOW) -> Column:
 
     def of_windows(w):
         rows = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(rows, marked))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(rows, covered))
 
     windows = F.transform(
         F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(window)))
@@ -89,36 +123,55 @@ def repeated_words(h: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(h) > window, let(windows, of_windows)).otherwise(F.lit(0))
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    score)`` and every other column of ``docs (doc_id, text, ...)`` as it is."""
-    # The model is a scalar subquery, worked out once; it may not stand inside the lambda as such.
+def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score)``, whether the
+    document is trusted as ``_good``, and every column of ``docs (doc_id, text, ...)`` as it is."""
     docs = without(docs, *OWN_NAMES)
-    judged = docs.withColumn("_model", ratio_model(docs, trusted, buckets).scalar())
+    every = marked(docs, trusted)
+    # The model is a scalar subquery, worked out once; lambdas may not hold it as such.
+    every = every.withColumn("_model", gram_counts(every, buckets).scalar())
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
 
-    def of_words(h):
-        total = F.aggregate(_buckets(h, buckets), F.lit(0.0), lambda a, b: a + F.get("_model", b))
-
-        def verdict(r):
-            failed = (F.size(h) < 20) | (100 * r["repeat"] > 30 * F.size(h))
-            return F.struct(
-                F.size(h).cast("long").alias("n_words"), r["repeat"].cast("long").alias("n_repeat_words"),
-                r["score"].alias("score"), failed.alias("base_failed"), (~failed & (r["score"] >= threshold)).alias("kept"),
-            )
-
-        score = total / F.greatest(2 * F.size(h) - 1, F.lit(1))
-        return let(F.struct(repeated_words(h).alias("repeat"), score.alias("score")), verdict)
+    def of_words(x):
+        h = x["h"]
+        ratio = left_out_ratio(_buckets(h, buckets), x["model"], x["good"], buckets)
+        repeat = let(repeated_words(h), lambda r: F.struct(
+            r.cast("long").alias("n_repeat_words"), ((F.size(h) < 20) | (100 * r > 30 * F.size(h))).alias("base_failed")
+        ))
+        return F.struct(F.size(h).cast("long").alias("n_words"), repeat.alias("repeat"), ratio.alias("score"))
 
-    found = judged.select(
-        *docs.columns,
-        let(_hashes(F.col("text")), of_words).alias("_of_words"),
+    found = every.select(
+        *docs.columns, "_good",
+        let(F.struct(_hashes(F.col("text")).alias("h"), F.col("_model").alias("model"), F.col("_good").alias("good")), of_words).alias("_of_words"),
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    )
+    return found.select(
+        *docs.columns, "_good", "_of_words.n_words", "word_chars", "n_symbols", "n_dup_lines", "_of_words.repeat.*", "_of_words.score"
     )
-    return found.select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "_of_words.*")
+
+
+def judge_quality(
+    docs: DataFrame, trusted: DataFrame, share: float = SHARE, buckets: int = BUCKETS, columns: list[str] | None = None
+) -> DataFrame:
+    """``(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)`` of
+    ``docs (doc_id, text, ...)``, with all its other columns or those in ``columns``.
+
+    The scores are staged with those columns, as the threshold follows from them.
+    """
+    scored = score_quality(docs, trusted, buckets)
+    if columns is not None:
+        added = scored.columns[len(without(docs, *OWN_NAMES).columns) :]
+        scored = scored.select(*columns, *added)
+    scored = staged(scored, "quality")
+    step = F.floor(F.col("score") * STEPS)
+    # As many rows as there are steps between the lowest and the highest score.
+    steps = scored.filter("_good = 1 AND NOT base_failed").groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    limit = steps.agg(F.percentile("step", share, F.col("n"))).scalar()
+    kept = ~F.col("base_failed") & F.coalesce(step >= F.col("_limit"), F.lit(True))
+    return scored.withColumn("_limit", limit).withColumn("kept", kept).drop("_good", "_limit")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -128,5 +181,4 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 def op3_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trusted = trusted_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    return judge_quality(docs, trusted).select(*columns)
+    return judge_quality(docs, trusted, columns=["doc_id"])

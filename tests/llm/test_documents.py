@@ -7,8 +7,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -20,7 +22,7 @@ from flawsieve.llm.line_dedup import apply_bitmaps, drop_bitmaps, line_counts, o
 from flawsieve.llm.lm_scoring import score
 from flawsieve.llm.near_dedup import near_duplicates
 from flawsieve.llm.packing import pack, packed
-from flawsieve.llm.quality_rules import judge_quality
+from flawsieve.llm.quality_rules import PRIOR, judge_quality
 from flawsieve.llm.token_counts import count_tokens, unit_splitter
 from flawsieve.llm.url_filters import judge_urls, op2_url_filters
 
@@ -237,6 +239,43 @@ def test_quality(docs, none, spark):
     assert judge_quality(none, trusted).collect() == []
 
 
+def test_quality_scores_leave_the_document_out(docs, spark):
+    buckets, ids = 512, set(range(40))
+    long = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
+    bags = []
+    for i, t in texts():
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0d]+", t or "") if w]
+        pairs = [xxhash.xxh64_intdigest(long(b), xxhash.xxh64_intdigest(long(a), 42)) for a, b in zip(h, h[1:])]
+        bags.append((i, t, Counter((x - (x >> 63 << 64)) % buckets for x in [*h, *pairs])))
+    raw, good = Counter(), Counter()
+    for i, _, bag in bags:
+        raw.update(bag)
+        good.update(bag if i in ids else ())
+    got = judge_quality(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"), 0.1, buckets).collect()
+    found = {(r.doc_id, r.text): r for r in got}
+    learned = []
+    for i, t, bag in bags:
+        own = i in ids
+        left, size = good.total() - own * bag.total(), bag.total()
+        score = 0.0
+        for b, c in bag.items():
+            ratio = (good[b] - own * c) / left / ((raw[b] - c + 0.5) / (raw.total() - size + 0.5 * buckets))
+            score += c * math.log((ratio + PRIOR) / (1 + PRIOR)) / size
+        assert math.isclose(found[i, t].score, score, abs_tol=1e-9)
+        if own and not found[i, t].base_failed:
+            learned.append(math.floor(score * 1000))
+    limit = np.percentile(learned, 10)
+    assert 0 < sum(x < limit for x in learned) <= 0.1 * len(learned)
+    assert all(r.kept == (not r.base_failed and math.floor(r.score * 1000) >= limit) for r in got)
+
+
+def test_quality_without_trusted_documents(docs, spark):
+    got = judge_quality(docs, spark.createDataFrame([], "doc_id long")).collect()
+    assert all(r.score == 0 and r.kept == (not r.base_failed) for r in got)
+    one = judge_quality(docs, spark.createDataFrame([(3,)], "doc_id long")).filter("doc_id = 3").first()
+    assert one.score == 0
+
+
 def test_repeated_words(docs, spark):
     text = "a b c d e f g h i a b c d e f g h i j"
     one = judge_quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long"))
