@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
-from flawsieve.llm import near_dedup, oracles
+from flawsieve.llm import lm_scoring, near_dedup, oracles
 from flawsieve.llm.decontamination import RECALL, find_leaks, plain_words
 from flawsieve.llm.language_id import identify
 from flawsieve.llm.line_dedup import apply_bitmaps, drop_bitmaps, line_counts, op10_line_dedup
@@ -323,6 +323,17 @@ def test_lm_scores(docs, none):
     assert score(none.withColumn("held_out", F.lit(False))).collect() == []
 
 
+def test_lm_scores_do_not_depend_on_the_layout(docs, monkeypatch):
+    """Rows dealt otherwise, in small blocks, and merged in small steps, score the same."""
+    held = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
+    one = {(r.doc_id, r.n_tokens): r for r in score(held.coalesce(1)).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm_scoring, "FLUSH", 50)
+    for r in score(held.repartition(5)).collect():
+        assert math.isclose(r.score, one[r.doc_id, r.n_tokens].score, rel_tol=1e-9)
+        assert math.isclose(r.spelled_score, one[r.doc_id, r.n_tokens].spelled_score, rel_tol=1e-9)
+
+
 def test_lm_scores_hear_the_order_of_words(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
