@@ -60,37 +60,59 @@ def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row ``(model)`` of ``docs (text, _good)``: the n-grams of each bucket and in all, ``n`` and
-    ``total`` of all documents, ``good`` and ``good_total`` of the trusted ones."""
+    ``total`` of all documents, ``good`` and ``good_total`` of the trusted ones; and the trusted share of each
+    bucket without one n-gram of a trusted document, ``less_good``, or of another one, ``less``."""
     grams = docs.select(F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, buckets))).alias("bucket"), "_good")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("_good").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     every = every.join(counts, "bucket", "left").na.fill(0, ["n", "good"])
     rows = F.array_sort(F.collect_list(F.struct("bucket", "n", "good")))
     summed = every.agg(rows.alias("rows"), F.sum("n").alias("total"), F.sum("good").alias("good_total"))
+    rest = lambda r: r["n"] - 1 + SMOOTHING
     return summed.select(F.struct(
-        F.transform("rows", lambda r: r["n"]).alias("n"), F.transform("rows", lambda r: r["good"]).alias("good"), "total", "good_total"
+        F.transform("rows", lambda r: r["n"]).alias("n"), F.transform("rows", lambda r: r["good"]).alias("good"), "total", "good_total",
+        F.transform("rows", lambda r: r["good"] / rest(r)).alias("less"), F.transform("rows", lambda r: (r["good"] - 1) / rest(r)).alias("less_good"),
     ).alias("model"))
 
 
 def left_out_ratio(grams: Column, model: Column, good: Column, buckets: int) -> Column:
-    """Mean log ratio of a document's ``grams`` under ``model`` without them; 0 where nothing trusted is left."""
+    """Mean log ratio of a document's ``grams`` under ``model`` without them; 0 where nothing trusted is left.
+
+    Each n-gram counts as its bucket's only one first; then buckets that the document has more often are
+    counted anew, so that the rest of them, most, take one look-up each.
+    """
+
+    def anew(x):
+        """What the buckets in ``x["again"]``, once less than the document has them, differ by from the first count."""
+        again, m = x["again"], F.size(x["again"])
+        first = F.filter(F.sequence(F.lit(0), m - 1), lambda i: (i == 0) | (F.get(again, i) != F.get(again, i - 1)))
+
+        def of_run(y):
+            c, b = y["c"], y["b"]
+            share = (F.get(x["of_good"], b) - x["good"] * c) / (F.get(x["of_all"], b) - c + SMOOTHING)
+            return c * (F.log(share * x["scale"] + PRIOR) - F.log(F.get(x["less"], b) * x["scale"] + PRIOR))
+
+        runs = let(first, lambda f: F.transform(f, lambda i, j: let(
+            F.struct(F.get(again, i).alias("b"), (F.coalesce(F.get(f, j + 1), m) - i + 1).alias("c")), of_run
+        )))
+        return F.when(m > 0, F.aggregate(runs, F.lit(0.0), lambda a, v: a + v)).otherwise(F.lit(0.0))
+
+    def summed(x):
+        each = F.aggregate(x["rows"], F.lit(0.0), lambda a, b: a + F.log(F.get(x["less"], b) * x["scale"] + PRIOR))
+        return each + let(F.struct(
+            F.filter(x["rows"], lambda b, i: b == F.get(x["rows"], i - 1)).alias("again"),
+            *(x[name].alias(name) for name in ("less", "of_all", "of_good", "scale", "good")),
+        ), anew)
 
     def of(x):
         """``x``: the document's buckets in order, the model, and whether to trust the document."""
-        rows, n = x["rows"], F.size(x["rows"])
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(rows, i) != F.get(rows, i - 1)))
-        left = x["model"]["good_total"] - x["good"] * n
-        scale = (x["model"]["total"] - n + SMOOTHING * buckets) / left
-        runs = let(F.struct(first.alias("first"), scale.alias("scale")), lambda y: F.transform(
-            y["first"],
-            lambda i, j: let(F.struct(F.get(rows, i).alias("b"), (F.coalesce(F.get(y["first"], j + 1), n) - i).alias("c")), lambda r: (
-                r["c"] * F.log(
-                    (F.get(x["model"]["good"], r["b"]) - x["good"] * r["c"]) * y["scale"]
-                    / (F.get(x["model"]["n"], r["b"]) - r["c"] + SMOOTHING) + PRIOR
-                )
-            )),
-        ))
-        total = F.aggregate(runs, F.lit(0.0), lambda a, v: a + v)
+        n, model = F.size(x["rows"]), x["model"]
+        left = model["good_total"] - x["good"] * n
+        scale = (model["total"] - n + SMOOTHING * buckets) / left
+        total = let(F.struct(
+            x["rows"].alias("rows"), F.when(x["good"] == 1, model["less_good"]).otherwise(model["less"]).alias("less"),
+            model["n"].alias("of_all"), model["good"].alias("of_good"), scale.alias("scale"), x["good"].alias("good"),
+        ), summed)
         return F.when((n > 0) & (left > 0), total / n - F.lit(math.log(1 + PRIOR))).otherwise(F.lit(0.0))
 
     return let(F.struct(F.sort_array(grams).alias("rows"), model.alias("model"), good.alias("good")), of)
@@ -128,7 +150,8 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     document is trusted as ``_good``, and every column of ``docs (doc_id, text, ...)`` as it is."""
     docs = without(docs, *OWN_NAMES)
     every = marked(docs, trusted)
-    # The model is a scalar subquery, worked out once; lambdas may not hold it as such.
+    # The model is a scalar subquery, worked out once; lambdas may not hold it as such. It and the mark are used
+    # once below, so that Spark puts them there: as a column the model would be copied, megabytes, for each row.
     every = every.withColumn("_model", gram_counts(every, buckets).scalar())
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
@@ -139,17 +162,17 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         repeat = let(repeated_words(h), lambda r: F.struct(
             r.cast("long").alias("n_repeat_words"), ((F.size(h) < 20) | (100 * r > 30 * F.size(h))).alias("base_failed")
         ))
-        return F.struct(F.size(h).cast("long").alias("n_words"), repeat.alias("repeat"), ratio.alias("score"))
+        return F.struct(F.size(h).cast("long").alias("n_words"), repeat.alias("repeat"), ratio.alias("score"), x["good"].alias("_good"))
 
     found = every.select(
-        *docs.columns, "_good",
+        *docs.columns,
         let(F.struct(_hashes(F.col("text")).alias("h"), F.col("_model").alias("model"), F.col("_good").alias("good")), of_words).alias("_of_words"),
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     return found.select(
-        *docs.columns, "_good", "_of_words.n_words", "word_chars", "n_symbols", "n_dup_lines", "_of_words.repeat.*", "_of_words.score"
+        *docs.columns, "_of_words._good", "_of_words.n_words", "word_chars", "n_symbols", "n_dup_lines", "_of_words.repeat.*", "_of_words.score"
     )
 
 
