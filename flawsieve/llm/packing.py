@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -49,17 +50,19 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     known = _memo.setdefault(path, {"": b""})
     # str.split knows the same white space but for four separators more.
     split = [GAP(text) if SEPARATORS(text) else text.split() for text in texts]
-    new = list({w for words in split for w in words if w not in known})
+    found = [list(map(known.get, words)) for words in split]
+    missing = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+    new = list({words[i] for words, places in zip(split, missing) for i in places})
     coded = {}
     if new:
         for word, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            coded[word] = np.array(e.ids, "<u4").tobytes()
-    room = MEMO - len(known)
-    known.update(coded)
-    found = [b"".join(map(known.__getitem__, words)) for words in split]
-    for word in new[max(room, 0) :]:
-        del known[word]
-    return found
+            coded[word] = array("I", e.ids).tobytes()
+    for words, row, places in zip(split, found, missing):
+        for i in places:
+            row[i] = coded[words[i]]
+    for word in new[: max(MEMO - len(known), 0)]:
+        known[word] = coded[word]
+    return [b"".join(row) for row in found]
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:

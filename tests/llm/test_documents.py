@@ -84,6 +84,34 @@ def test_units_are_whole_pretokens():
         assert sum(len(model.encode(u, add_special_tokens=False)) for u in units) == len(model.encode(text, add_special_tokens=False))
 
 
+def test_packed_words_are_looked_up_once(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word, *default):
+            self.asked += 1
+            return super().get(word, *default)
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    known = Counted({"": b""})
+    monkeypatch.setitem(packing._memo, WORD_BPE, known)
+    monkeypatch.setattr(packing, "MEMO", 3)
+    many = ["one two one", "", " two\x1cthree \u00a0 four five", "five"]
+    model = Tokenizer.from_file(WORD_BPE)
+    for _ in range(2):
+        known.asked = 0
+        ids = [np.frombuffer(found, "<u4").tolist() for found in packing.token_bytes(many, WORD_BPE)]
+        assert ids == [model.encode(t, add_special_tokens=False).ids for t in many]
+        assert known.asked <= sum(len(packing.GAP(t)) for t in many) and len(known) <= 3
+
+
 def test_packing(docs, none):
     model, size = Tokenizer.from_file(WORD_BPE), 64
     found = pack(docs, WORD_BPE, 2, size, keep_ids=True).collect()
