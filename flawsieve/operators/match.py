@@ -180,10 +180,12 @@ def match_rules(
     trim = trim_space if any(r.pattern[-1:] in WHITE_SPACE for r in rules) else trim_start
     if spread_by:
         candidates = candidates.repartition(*spread_by)
+    asked = f"_line_gram = {quoted(POSTED_ALWAYS)} AND " if indexed else ""
     candidates = (
         candidates.selectExpr("*", f"{line_text('raw', 'latin1')} AS _untrimmed")
         .selectExpr("*", f"{trim('_untrimmed')} AS _text")
-        .selectExpr("*", *(f"{HEURISTICS[flag][1]('_text')} AS {flag}" for flag in heuristics))
+        # A line of an index comes once for each gram; only its row for what no gram tells is asked by heuristics.
+        .selectExpr("*", *(f"{asked}({HEURISTICS[flag][1]('_text')}) AS {flag}" for flag in heuristics))
     )
 
     fires = "contains(_text, pattern)"

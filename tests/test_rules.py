@@ -1,5 +1,7 @@
 """The rule table, each of its rules, and the heuristics' traps."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,14 @@ def test_postings_are_bounded_and_spread(spark):
     assert postings.groupBy("_rule_set", "_gram").count().agg({"count": "max"}).first()[0] == 1
     longer = [Rule("python", i + 1, f"prefix_{i:03}_suffix", "Low", f"d{i}", 0.5) for i in range(300)]
     assert all("prefix" != plain != "suffix" for plain, _ in posted_grams(longer).values())
+
+
+def test_heuristics_are_asked_once_of_an_indexed_line(spark, capsys):
+    """A line comes once for each gram that it holds; one of these rows is asked."""
+    rules = [Rule("python", i + 1, f"call_{i}(", "High", f"Call {i}", 0.9) for i in range(60)]
+    text = "".join(f"call_{i}(" for i in range(60)) + "\npassword = \"hunter2hunter2\"; call_1("
+    found = scan_table(spark.createDataFrame([("a.py", text)], "path string, content string"), rules=rules)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert len(re.findall(r"\(_line_gram#\d+ = \) AND", plan)) >= 4  # one for each heuristic
+    assert sorted(r.line for r in found.collect()) == [1] * 60 + [2, 2]
