@@ -1,17 +1,18 @@
 """Scores by a hierarchical Pitman-Yor model, with seats sampled by Gibbs.
 
-The word before tells a context; contexts are ``CLASSES`` classes of words, by a hash, and one for the
-beginning of a text. Each context has a restaurant of the words that follow it. The base of all these is
+The word before is a word's context, and the beginning of a text is one. Each context has a restaurant of
+the words that follow it. The base of all these is
 the restaurant of words without context. Its base spells words, symbol after symbol, by restaurants for
 the contexts of the last three, two, one and no symbols. A restaurant's tables are the customers of its
 parent: tables of the contexts are the customers of the words' restaurant, whose tables are the words that
 the spelling learns from, and contexts with one ending share their parent.
 
 A sweep re-seats, block by block, all customers of a dish in a restaurant given all other seats, at every
-level, and predictive probabilities are averaged over the sweeps after the first. Each distinct word is one
-row with the contexts it was met in, at most one for each class, so that a sweep moves nothing but sums by
-class. Draws follow from the dish and the sweep alone, so scores do not depend on how rows are laid out.
-Words and their contexts are the documents' pieces. The alphabet has ``SYMBOLS`` symbols, the most frequent
+level, and predictive probabilities are averaged over the sweeps after the first. Each distinct pair of
+neighbours is one row; a pair met once has one table in any sweep, so that only the others are sampled. What
+belongs to a word or a context meets the pairs by joins. Draws follow from the dish and the sweep alone, so
+scores do not depend on how rows are laid out.
+The alphabet has ``SYMBOLS`` symbols, the most frequent
 bytes and one for all others (whose bytes are told apart by their frequency), so the spelling model has a
 fixed size (``SYMBOLS`` to the fourth numbers), whatever the corpus. Contexts of the spelling are sampled in one
 task for each last symbol.
@@ -22,12 +23,9 @@ model. Null ids are held out of nothing: they are learned from. Columns other th
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,61 +39,60 @@ INNER_SWEEPS = 4
 STRENGTH, DISCOUNT = 1.0, 0.5
 WORD_STRENGTH = 10.0
 CONTEXT_STRENGTH = 1.0
-CLASSES = 255
 # Words in context are often distinct, so that a block of them takes more memory than one of words.
 BLOCK_BYTES = 8 << 20
-# Words in context that a task merges at once.
-FLUSH = 1_000_000
+# Pairs of words that a task hands on at once.
+FLUSH = 50_000
 ONE_BY_ONE = 32
 GROWTH = 1.25
 
 END = b"\n"  # no word: words have no white space
+START = b""  # the context of a text's first word
 
 
 def words_and_end(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "replace").lower().split(), END]
 
 
-def context(word: bytes) -> int:
-    """The class that ``word`` makes the context of the word after it; 0 is that of a text's first word."""
-    return zlib.crc32(word) % CLASSES + 1
-
-
 _BLOCKS = pa.schema([
-    ("piece", pa.binary()), ("block", pa.int64()), ("marks", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("more", pa.binary()),
+    ("prev", pa.binary()), ("piece", pa.binary()), ("block", pa.int64()), ("n", pa.int64()), ("marks", pa.list_(pa.int32())),
+    ("counts", pa.list_(pa.int32())), ("more", pa.binary()),
 ])
-_BLOCK_ROWS = "piece binary, block long, marks array<int>, counts array<int>, more binary"
+_BLOCK_ROWS = "prev binary, piece binary, block long, n long, marks array<int>, counts array<int>, more binary"
 
 
 def _block(number, known, codes, ids, flags):
-    n, kinds = len(ids), np.fromiter(map(context, known), np.int64, len(known))
+    n, kinds = len(ids), len(known)
     lengths = np.fromiter(map(len, codes), np.int64, n)
     code, doc = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(n), lengths)
-    before = np.append(0, kinds[code[:-1]])
+    before = np.append(0, code[:-1] + 1)
     before[np.cumsum(lengths) - lengths] = 0
-    mark = (doc << 9) + (before << 1) + np.asarray(flags, np.int64)[doc]
-    key, counts = np.unique((code << 32) + mark, return_counts=True)
-    starts = np.searchsorted(key >> 32, np.arange(len(known) + 1))
-    mark, names = (key & 0xFFFFFFFF).astype(np.int32), list(known)
-    for a in range(0, len(names), 50_000):
-        some = names[a : a + 50_000]
-        cut = starts[a : a + len(some) + 1]
+    pairs, at = np.unique(before * kinds + code, return_inverse=True)
+    learned = np.asarray(flags, np.int64)
+    key, counts = np.unique((at << 32) + (doc << 1) + learned[doc], return_counts=True)
+    starts = np.searchsorted(key >> 32, np.arange(len(pairs) + 1))
+    mark, counts = (key & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
+    weight = np.bincount(at, learned[doc], len(pairs)).astype(np.int64)
+    words, contexts = pa.array(list(known), pa.binary()), pa.array([START, *known], pa.binary())
+    for a in range(0, len(pairs), FLUSH):
+        some, cut = pairs[a : a + FLUSH], starts[a : a + FLUSH + 1]
         rows, held = slice(cut[0], cut[-1]), np.diff(cut)
         yield pa.RecordBatch.from_arrays([
-            pa.array(some, pa.binary()), pa.array(np.full(len(some), number)), _lists(mark[rows], held),
-            _lists(counts[rows].astype(np.int32), held), pa.nulls(len(some), pa.binary()),
+            contexts.take(pa.array(some // kinds)), words.take(pa.array(some % kinds)), pa.array(np.full(len(some), number)),
+            pa.array(weight[a : a + FLUSH]), _lists(mark[rows], held), _lists(counts[rows], held), pa.nulls(len(some), pa.binary()),
         ], schema=_BLOCKS)
     header = np.stack([[i or 0 for i in ids], [i is None for i in ids], flags, lengths]).astype(np.int64)
     yield pa.RecordBatch.from_arrays([
-        pa.nulls(1, pa.binary()), pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.array([header.tobytes()]),
+        *(pa.nulls(1, field.type) for field in list(_BLOCKS)[:2]), pa.array([number]), pa.array([0]),
+        *(pa.nulls(1, field.type) for field in list(_BLOCKS)[4:6]), pa.array([header.tobytes()]),
     ], schema=_BLOCKS)
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs (doc_id, flag, text)``: a row for each distinct word, with a mark and a count for each
-    document and context it has there; and a header (piece null) of the documents.
+    """Blocks of ``docs (doc_id, flag, text)``: a row for each distinct pair of a word and the one before it, with a
+    mark and a count for each document it has there; and a header (piece null) of the documents.
 
-    A mark is the document's number in the block, the context, and whether the document is learned from.
+    A mark is the document's number in the block, and whether the document is learned from; ``n`` counts what is learned.
     """
 
     def build(batches):
@@ -118,102 +115,32 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "flag", "text").mapInArrow(build, _BLOCK_ROWS)
 
 
-_TYPES = "piece binary, contexts array<int>, weights array<long>"
-
-
-def _merged(parts: list[pa.Table]) -> pa.Table:
-    summed = pa.concat_tables(parts).group_by(["piece", "context"]).aggregate([("n", "sum")])
-    summed = summed.rename_columns({"n_sum": "n"}).select(["piece", "context", "n"])
-    return summed.sort_by([("piece", "ascending"), ("context", "ascending")])
-
-
-def _listed(table: pa.Table):
-    """Rows ``(piece, context, n)`` in order, as one for each piece."""
-    for batch in table.combine_chunks().to_batches(max_chunksize=1 << 20):
-        pieces = batch.column(0).dictionary_encode()
-        lengths = np.bincount(pieces.indices.to_numpy(), minlength=len(pieces.dictionary))
-        yield pa.RecordBatch.from_arrays(
-            [pieces.dictionary, _lists(batch.column(1).to_numpy(), lengths), _lists(batch.column(2).to_numpy(), lengths)],
-            names=["piece", "contexts", "weights"],
-        )
-
-
-def word_types(blocks: DataFrame) -> DataFrame:
-    """``(piece, contexts, weights)``: every distinct word once, with its contexts in order and its
-    occurrences there in documents that are learned from.
-
-    A task hands on each word it has once, for each ``FLUSH`` words in context; what meets is merged in order of
-    the words, so that a frequent word is as many rows as there are tasks, and never held at once.
-    """
-
-    def counted(batches):
-        parts, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = _flat(batch.column(1)).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
-            key, at = np.unique((row << 8) + (marks >> 1 & 255), return_inverse=True)
-            n = np.bincount(at, _flat(batch.column(2)) * (marks & 1), len(key)).astype(np.int64)
-            parts.append(pa.table({"piece": batch.column(0).take(pa.array(key >> 8)), "context": pa.array((key & 255).astype(np.int32)), "n": n}))
-            size += len(key)
-            if size > FLUSH:
-                parts = [_merged(parts)]
-                size = parts[0].num_rows
-                if size > FLUSH // 2:
-                    yield from _listed(parts[0])
-                    parts, size = [], 0
-        if parts:
-            yield from _listed(_merged(parts))
-
-    def merged(batches):
-        parts, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
-            pieces = batch.column(0).take(pa.array(row))
-            parts.append(pa.table({"piece": pieces, "context": batch.column(1).flatten(), "n": batch.column(2).flatten()}))
-            size += len(row)
-            if size > FLUSH:
-                table = _merged(parts)
-                last = pc.equal(table["piece"], table["piece"][-1])  # more of it may come
-                yield from _listed(table.filter(pc.invert(last)))
-                parts = [table.filter(last)]
-                size = parts[0].num_rows
-        if parts:
-            yield from _listed(_merged(parts))
-
-    rows = blocks.filter("piece IS NOT NULL").select("piece", "marks", "counts").mapInArrow(counted, _TYPES)
-    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(merged, _TYPES)
+def word_pairs(blocks: DataFrame) -> DataFrame:
+    """``(prev, piece, n)``: every distinct pair once, with its occurrences in documents that are learned from."""
+    return blocks.filter("piece IS NOT NULL").groupBy("prev", "piece").agg(F.sum("n").alias("n"))
 
 
-def _document_sums(blocks: DataFrame, words: DataFrame, tokens: int, unknown: np.ndarray) -> DataFrame:
-    """``(doc_id, flag, size, sums)`` from ``words (piece, weight, contexts, p)``: sums over each document's words of the
-    logarithms of ``p`` with unknown words as one event, of the base, of known words, of the logarithms of ``p``.
+def _document_sums(blocks: DataFrame, pairs: DataFrame, tokens: int) -> DataFrame:
+    """``(doc_id, flag, size, sums)`` from ``pairs (prev, piece, weight, own, p)``: sums over each document's words of the
+    logarithms of ``own``, of the base, of known words, of the logarithms of ``p``.
 
-    The join is skewed by frequent words on one side only; adaptive execution splits it."""
-    of_unknown = np.log10(np.maximum(unknown, 1e-300))
+    The join is skewed by frequent pairs on one side only; adaptive execution splits it."""
 
     def sums(batches):
         held = _Held()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks, lengths = _flat(batch.column(1)).astype(np.int64), batch.column(1).value_lengths().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            there = np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy())
-            met = marks >> 1 & 255
-            at = np.searchsorted((there << 8) + _flat(batch.column(4)), (row << 8) + met)
-            p = np.log10(np.maximum(_flat(batch.column(5))[at], 1e-300))
-            weight = batch.column(3).to_numpy()[row]
-            base = np.log10((weight + 1) / tokens)
-            each = np.stack([np.where(weight > 0, p, of_unknown[met]), base, weight > 0, p], axis=1)
-            yield from held.put(batch.column(0).to_numpy()[row], marks >> 9, each * _flat(batch.column(2))[:, None])
+            weight = batch.column(3).to_numpy()
+            own, p = (np.log10(np.maximum(batch.column(i).to_numpy(), 1e-300)) for i in (4, 5))
+            each = np.stack([own, np.log10((weight + 1) / tokens), weight > 0, p], axis=1)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+            marks, counts = _flat(batch.column(1)).astype(np.int64), _flat(batch.column(2))
+            yield from held.put(batch.column(0).to_numpy()[row], marks >> 1, each[row] * counts[:, None])
         yield from held.flush()
 
-    rows = blocks.filter("piece IS NOT NULL").select("piece", "block", "marks", "counts")
-    joined = rows.join(words.hint("merge"), "piece").select("block", "marks", "counts", "weight", "contexts", "p")
+    rows = blocks.filter("piece IS NOT NULL").select("prev", "piece", "block", "marks", "counts")
+    joined = rows.join(pairs.hint("merge"), ["prev", "piece"]).select("block", "marks", "counts", "weight", "own", "p")
     header = blocks.filter("piece IS NULL").select("block", F.lit(None).cast("binary").alias("docs"), F.col("more").alias("sums"))
     return _whole(joined.mapInArrow(sums, "block long, docs binary, sums binary").unionByName(header))
 
@@ -389,11 +316,6 @@ def _good_turing(n1: int, n2: int) -> float:
     return min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 + n2 else 0.5
 
 
-_ROWS = "piece binary, key long, contexts array<int>, weights array<long>, seats array<double>, tables double, p array<double>"
-_SUMS = "kind int, n double"
-_OF_TABLES = -1
-
-
 def _flat(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
@@ -408,85 +330,93 @@ def _word_bases(words: list[bytes], model: np.ndarray, symbol: np.ndarray, share
     return np.exp(np.add.reduceat(model[code].astype(np.float64) + np.log(share)[data], starts))
 
 
-def sampled_words(types: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, np.ndarray]:
-    """``types (piece, contexts, weights)`` with ``p``: the averaged probability in each context; and, by
-    class of context, the averaged probability of the event that a word is unknown."""
-    spark = types.sparkSession
-    symbol, share = _alphabet(types.select("piece", F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x).alias("weight")))
-    seats = F.transform("weights", lambda x: F.least(x, F.lit(1)).cast("double"))
-    own = types.select(
-        "piece", F.xxhash64("piece").alias("key"), "contexts", "weights", seats.alias("seats"),
-        F.least(F.array_max("weights"), F.lit(1)).cast("double").alias("tables"), F.transform("weights", lambda _: F.lit(0.0)).alias("p"),
-    )
-    met = F.size(F.filter("weights", lambda x: x > 0))
-    once, twice = ((F.size(F.filter("weights", lambda x, n=n: x == n))) for n in (1, 2))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    facts = types.agg(
-        zero(F.sum(once)).alias("n1"), zero(F.sum(twice)).alias("n2"), F.count_if(met == 1).alias("w1"), F.count_if(met == 2).alias("w2"),
-    ).first()
-    near, far = _good_turing(facts.n1, facts.n2), _good_turing(facts.w1, facts.w2)
-    guests = _sums(own, "weights")[: CLASSES + 1]
-    unknown = np.zeros(CLASSES + 1)
-    counted = max(sweeps - 1, 1)
-    for sweep in range(sweeps):
-        sums = _sums(own, "seats")
-        held, all_tables = sums[: CLASSES + 1], sums[_OF_TABLES]
-        all_seats = held.sum()
-        sent = spark.sparkContext.broadcast((_spelling_model(own, symbol, sweep), symbol, share))
-        open_share = (CONTEXT_STRENGTH + near * held) / (CONTEXT_STRENGTH + guests)
-        counts = sweep > 0 or sweeps == 1
-
-        def step(batches, sent=sent, held=held, all_tables=all_tables, all_seats=all_seats, sweep=sweep, open_share=open_share, counts=counts):
-            base = WORD_STRENGTH + far * all_tables
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                if not words:
-                    continue
-                key, at = batch.column(1).to_numpy(), _flat(batch.column(2))
-                weight, seat = _flat(batch.column(3)).astype(np.float64), _flat(batch.column(4))
-                lengths = batch.column(2).value_lengths().to_numpy()
-                row = np.repeat(np.arange(len(words)), lengths)
-                fresh = np.maximum(base * _word_bases(words, *sent.value), 1e-300)
-                customers = np.bincount(row, seat, len(words))
-                p_word = (customers - far * batch.column(5).to_numpy() + fresh) / (WORD_STRENGTH + all_seats)
-                p = _flat(batch.column(6))
-                if counts:
-                    p = p + ((weight - near * seat) / (CONTEXT_STRENGTH + guests[at]) + open_share[at] * p_word[row]) / counted
-                new = np.maximum((CONTEXT_STRENGTH + near * held[at]) * p_word[row], 1e-300)
-                seat = seated(weight, new, near, key[row] * (CLASSES + 1) + at, sweep, 1)
-                tables = seated(np.bincount(row, seat, len(words)), fresh, far, key, sweep, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:4], _lists(seat, lengths), pa.array(tables), _lists(p, lengths), pa.array(p_word)],
-                    names=["piece", "key", "contexts", "weights", "seats", "tables", "p", "p_word"],
-                )
-
-        done, own = sent, staged(own.select(*_names(_ROWS)).mapInArrow(step, _ROWS + ", p_word double"), "words")
-        known = F.coalesce(F.sum(F.when(F.array_max("weights") > 0, F.col("p_word"))), F.lit(0.0))
-        left = 1 - own.agg(known).first()[0]  # what the known words leave
-        done.destroy()
-        if counts:
-            unknown += open_share * max(left, 1e-12) / counted
-    return own.select("piece", "contexts", "weights", "p"), unknown
+def _based(words: DataFrame, sent, base: float, all_seats: float) -> DataFrame:
+    """``words`` with ``fresh``, the weight of a new table by the word's spelling, and ``p_word``, its probability
+    without context."""
+    schema = "piece binary, key long, weight long, customers double, tables double, single double, p array<double>"
+    far = sent.value[-1]
 
+    def step(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.maximum(base * _word_bases(batch.column(0).to_pylist(), *sent.value[:-1]), 1e-300)
+            p = (batch.column(3).to_numpy() - far * batch.column(4).to_numpy() + fresh) / (WORD_STRENGTH + all_seats)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh), pa.array(p)], names=[*batch.schema.names, "fresh", "p_word"])
 
-def _names(schema: str) -> list[str]:
-    return [column.split()[0] for column in schema.split(", ")]
+    return words.select(*_names(schema)).mapInArrow(step, schema + ", fresh double, p_word double")
 
 
-def _sums(own: DataFrame, column: str) -> np.ndarray:
-    """The sum of ``column (array)`` by class of context, and last that of ``tables``."""
+def _reseated(rows: DataFrame, names: str, customers: str, fresh: str, tables: str, discount: float, *salts: int) -> DataFrame:
+    """``rows (names, key, customers, fresh)`` with a new number of ``tables``; draws follow from ``key``."""
 
-    def add(batches):
+    def step(batches):
         for batch in batches:
-            sums = np.bincount(_flat(batch.column(0)), _flat(batch.column(1)), CLASSES + 2)
-            sums[_OF_TABLES] = batch.column(2).to_numpy().sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 2, dtype=np.int32)), pa.array(sums)], names=["kind", "n"])
-
-    rows = own.select("contexts", column, "tables").mapInArrow(add, _SUMS).groupBy("kind").agg(F.sum("n").alias("n"))
-    found = np.zeros(CLASSES + 2)
-    for row in rows.collect():  # one for each class
-        found[row.kind] = row.n
-    return found
+            if batch.num_rows:
+                key, guests, new = (batch[name].to_numpy() for name in ("key", customers, fresh))
+                found = seated(guests.astype(np.float64), np.maximum(new, 1e-300), discount, key, *salts)
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in _names(names)), pa.array(found)], names=[*_names(names), tables])
+
+    return rows.mapInArrow(step, f"{names}, {tables} double")
+
+
+def sampled_words(pairs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """``pairs (prev, piece, n)`` with the word's ``weight``; the averaged probability ``p`` of the word after ``prev``; and
+    ``own``, which is ``p`` or, for an unknown word, the averaged probability of the event that a word is unknown."""
+    spark = pairs.sparkSession
+    once = F.least("n", F.lit(1)).cast("double")
+    words = pairs.groupBy("piece").agg(
+        F.sum("n").alias("weight"), F.sum(once).alias("customers"), F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("single"),
+        F.count_if(F.col("n") > 0).alias("met"),
+    )
+    tables = F.least("weight", F.lit(1)).cast("double").alias("tables")
+    none = F.array().cast("array<double>")
+    words = staged(words.select("piece", F.xxhash64("piece").alias("key"), "weight", "customers", "single", "met", tables, none.alias("p")), "words")
+    contexts = pairs.groupBy("prev").agg(F.sum("n").alias("guests"), F.sum(once).alias("held"), F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("single"))
+    contexts = staged(contexts.withColumn("open", none), "contexts")
+    facts = pairs.agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
+    of_words = words.agg(F.count_if(F.col("met") == 1).alias("w1"), F.count_if(F.col("met") == 2).alias("w2")).first()
+    near, far = _good_turing(facts.n1, facts.n2), _good_turing(of_words.w1, of_words.w2)
+    # Pairs met once have one table whatever is drawn.
+    own = pairs.filter("n > 1").select("prev", "piece", "n", F.xxhash64("prev", "piece").alias("key"), F.lit(1.0).alias("seats"), F.lit(0.0).alias("sat"))
+    symbol, share = _alphabet(words)
+    counted, left = max(sweeps - 1, 1), []
+    for sweep in range(sweeps):
+        sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("tables", "customers"))).first()
+        sent = spark.sparkContext.broadcast((_spelling_model(words, symbol, sweep), symbol, share, far))
+        words = staged(_based(words, sent, WORD_STRENGTH + far * sums[0], sums[1]), "words")
+        room = CONTEXT_STRENGTH + near * F.col("held")
+        if sweep > 0 or sweeps == 1:
+            words = words.withColumn("p", F.array_append("p", F.col("p_word")))
+            contexts = contexts.withColumn("open", F.array_append("open", room / (CONTEXT_STRENGTH + F.col("guests"))))
+            own = own.withColumn("sat", F.col("sat") + F.col("seats"))
+            known = F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("p_word"))), F.lit(0.0))
+            left.append(max(1 - words.agg(known).first()[0], 1e-12))  # what the known words leave
+        if sweep < sweeps - 1:
+            met = own.join(words.select("piece", "p_word").hint("merge"), "piece").join(contexts.select("prev", room.alias("room")).hint("merge"), "prev")
+            met = met.select("prev", "piece", "n", "key", "sat", (F.col("room") * F.col("p_word")).alias("new"))
+            own = staged(_reseated(met, "prev binary, piece binary, n long, key long, sat double", "n", "new", "seats", near, sweep, 1), "pairs")
+            seats = own.groupBy("piece").agg(F.sum("seats").alias("seats"))
+            all_seats = (F.col("single") + F.coalesce("seats", F.lit(0.0))).alias("customers")
+            dealt = words.drop("customers", "tables").join(seats, "piece", "left").select("*", all_seats).drop("seats")
+            words = _reseated(dealt, "piece binary, key long, weight long, customers double, single double, p array<double>", "customers", "fresh", "tables", far, sweep, 0)
+            words = staged(words, "words")
+            seats = own.groupBy("prev").agg(F.sum("seats").alias("seats"))
+            held = (F.col("single") + F.coalesce("seats", F.lit(0.0))).alias("held")
+            contexts = contexts.drop("held").join(seats, "prev", "left").select("prev", "guests", "single", "open", held)
+            contexts = staged(contexts, "contexts")
+    single = pairs.filter("n < 2").select("prev", "piece", "n", (F.col("n") * F.lit(float(counted))).alias("sat"))
+    every = single.unionByName(own.select("prev", "piece", "n", "sat"))
+    every = every.join(words.select("piece", "weight", F.col("p").alias("p_words")).hint("merge"), "piece")
+    every = every.join(contexts.select("prev", "guests", "open").hint("merge"), "prev")
+    seen = (F.col("n") * counted - near * F.col("sat")) / (CONTEXT_STRENGTH + F.col("guests"))
+    of = lambda values: F.aggregate(F.zip_with("open", values, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    p, unknown = (seen + of("p_words")) / counted, of(F.array(*map(F.lit, left))) / counted
+    return every.select("prev", "piece", "weight", F.when(F.col("weight") > 0, p).otherwise(unknown).alias("own"), p.alias("p"))
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -496,13 +426,11 @@ def score(docs: DataFrame) -> DataFrame:
     ``score`` takes all unknown words for one event, ``spelled_score`` tells them apart by spelling."""
     rows = docs.select("doc_id", (~F.col("held_out")).alias("flag"), "text")
     blocks = staged(word_blocks(rows), "word-blocks")
-    types = staged(word_types(blocks), "word-types")
-    weight = F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x)
-    facts = types.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n"), F.count_if(weight > 0).alias("v")).first()
-    words, unknown = sampled_words(types)
-    words = words.select("piece", weight.alias("weight"), "contexts", "p")
+    pairs = staged(word_pairs(blocks), "word-pairs")
+    known = pairs.groupBy("piece").agg(F.sum("n").alias("weight"))
+    facts = known.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.count_if(F.col("weight") > 0).alias("v")).first()
     own = F.element_at("sums", 1)
-    return _document_sums(blocks, words, facts.n + facts.v + 1, unknown).select(
+    return _document_sums(blocks, sampled_words(pairs), facts.n + facts.v + 1).select(
         "doc_id", (~F.col("flag")).alias("held_out"), F.col("size").alias("n_tokens"),
         F.element_at("sums", 3).cast("long").alias("n_known"), F.lit(facts.n).cast("long").alias("train_tokens"),
         F.element_at("sums", 2).alias("base_score"), own.alias("score"), F.element_at("sums", 4).alias("spelled_score"),

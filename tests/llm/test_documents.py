@@ -387,6 +387,33 @@ def test_lm_scores_hear_the_order_of_words(spark):
         assert ordered.score > other.score + 5 and ordered.score > ordered.base_score + 5
 
 
+def test_lm_contexts_are_words(spark):
+    """Each word is a context of its own, also where a short hash of words would take two for one."""
+    by = defaultdict(list)
+    for i in range(2000):
+        by[zlib.crc32(b"u%d" % i) % 255].append(f"u{i}")
+    one, other = next(words for words in by.values() if len(words) > 1)[:2]
+    table = [(i, False, f"{one} left" if i % 2 else f"{other} right") for i in range(60)]
+    asked = [f"{one} left", f"{one} right", f"{other} right", f"{other} left"]
+    table += [(100 + i, True, text) for i, text in enumerate(asked)]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(table, "doc_id long, held_out boolean, text string")).collect()}
+    assert got[100] > got[101] + 1 and got[102] > got[103] + 1
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all known words and the event that a word is unknown, after any context."""
+    rng = random.Random(5)
+    vocabulary = [b"w%d" % i for i in range(30)]
+    n = {(u, w): rng.choice([0, 0, 1, 1, 2, 5, 70]) for u in [b"", *vocabulary] for w in vocabulary}
+    n |= {(u, b"never"): 0 for u in [b"", *vocabulary, b"new"]} | {(b"new", w): 0 for w in vocabulary}
+    pairs = spark.createDataFrame([(bytearray(u), bytearray(w), c) for (u, w), c in n.items()], "prev binary, piece binary, n long")
+    sums = Counter()
+    for r in lm_scoring.sampled_words(pairs).collect():
+        assert r.p > 0 and (r.weight > 0) == (bytes(r.piece) != b"never")
+        sums[bytes(r.prev)] += r.own
+    assert len(sums) == 32 and all(math.isclose(x, 1, rel_tol=1e-6) for x in sums.values())
+
+
 def test_leaks(docs, none, spark):
     own = {i: t for i, t in texts() if i is not None}
     passage = " ".join(own[0].split()[2:22])
