@@ -16,9 +16,11 @@ itself. Extra columns are not carried.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,20 +34,57 @@ CAPACITY = 4096
 GROUP = 1024
 HALVED = 4
 MEMO = 600_000
+# New words that the tokenizer is given as one text.
+TOGETHER = 128
 
 # Fixed value: the white space that the tokenizer's normalizer turns into one space.
 GAP = re.compile(rf"[{SPACE}]+").split
 SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+# Signs that a word may end in; after an apostrophe the tokenizer looks for what is short for a word.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _memo: dict[str, dict[str, bytes]] = {}
 
 
+def stem(word: str) -> str:
+    """The letters that ``word`` begins with if nothing but signs follows them, else all of it.
+
+    The tokenizer parts letters from signs, so that the ids of both are those of ``word``. This is left to alphabets whose
+    letters stay letters in every version of Unicode, in small and composed.
+    """
+    letters = word.rstrip(SIGNS)
+    if letters.isalpha() and (letters.isascii() or max(letters) < "\u0530" and "\u0130" not in letters):
+        return letters
+    return word
+
+
+def _coded(words: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """Each of ``words`` with its ids. Letters alone are one piece before the tokenizer looks for more, so that many
+    are given to it as one text, which takes less time; they are given one by one if it finds other pieces."""
+    model = tokenizer(path)
+    plain, others = [], []
+    for w in words:
+        (plain if w.isalpha() and "\u0130" not in w else others).append(w)
+    parts = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+    for part, e in zip(parts, model.encode_batch([" ".join(part) for part in parts], add_special_tokens=False)):
+        data, pieces = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(pieces)) + 1)).tolist(), len(data)]
+        if len(cuts) == len(part) + 1:
+            for word, start, end in zip(part, cuts, cuts[1:]):
+                yield word, data[start:end]
+        else:
+            others += part
+    for word, e in zip(others, model.encode_batch_fast(others, add_special_tokens=False)):
+        yield word, array("I", e.ids).tobytes()
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space before it looks for pieces, so a text's ids
     are those of its words one after the other; the ids of the first ``MEMO`` words
-    that a worker meets are kept for its next texts.
+    and stems that a worker meets are kept for its next texts. A new word is often
+    a known stem, with signs after it.
     """
     known = _memo.setdefault(path, {"": b""})
     # str.split knows the same white space but for four separators more.
@@ -53,15 +92,21 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     found = [list(map(known.get, words)) for words in split]
     missing = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
     new = list({words[i] for words, places in zip(split, missing) for i in places})
-    coded = {}
+    coded, cut = {}, {}
+    for word in new:
+        letters = stem(word)
+        if len(letters) < len(word):
+            cut[word] = (letters, word[len(letters) :])
     if new:
-        for word, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            coded[word] = array("I", e.ids).tobytes()
+        halves = {half for both in cut.values() for half in both}
+        coded = {half: ids for half in halves if (ids := known.get(half)) is not None}
+        coded |= _coded([w for w in {*new, *halves} if w not in cut and w not in coded], path)
+        for word, (letters, signs) in cut.items():
+            coded[word] = coded[letters] + coded[signs]
     for words, row, places in zip(split, found, missing):
         for i in places:
             row[i] = coded[words[i]]
-    for word in new[: max(MEMO - len(known), 0)]:
-        known[word] = coded[word]
+    known.update(itertools.islice(coded.items(), max(MEMO - len(known), 0)))
     return [b"".join(row) for row in found]
 
 

@@ -112,6 +112,34 @@ def test_packed_words_are_looked_up_once(monkeypatch):
         assert known.asked <= sum(len(packing.GAP(t)) for t in many) and len(known) <= 3
 
 
+def test_packed_words_are_tokenized_together(monkeypatch):
+    """Far fewer texts than new words go to the tokenizer, and each word keeps the ids it has alone."""
+    given, model = [], Tokenizer.from_file(WORD_BPE)
+
+    class Counted:
+        def encode_batch(self, texts, **options):
+            given.extend(texts)
+            return model.encode_batch(texts, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return model.encode_batch_fast(texts, **options)
+
+    monkeypatch.setitem(packing._memo, WORD_BPE, {"": b""})
+    monkeypatch.setattr(packing, "tokenizer", lambda path: Counted())
+    odd = ["a\0b", "\0", "x\0", "<|endoftext|>", "don't", "don't,", "'s", "'", "\u0301", "e\u0301", "\u0301a", "\u00a8", "\x1b", "\ufeff", "%%%", "\u1e9e"]
+    odd += ["\u4e2d\u6587", "1234", "\u0130,", "\u0958.", "\u0130", "\u0958", "\u039f\u03a3!", "\u212b-", "A)", "a'", "a,b", "\u00aa.", "\u01c5)"]
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    plain = [word("abcdE\u00e9\u0442") + rng.choice(["", ",", "...", ")!"]) for _ in range(4000)]
+    odd += [word("abc'\u00e9\u0301.,0\u0130 ") for _ in range(300)]
+    many = [" ".join(plain[:900]), " ".join(odd), " ".join(rng.sample(odd + plain, 4000))]
+    for _ in range(2):
+        ids = [np.frombuffer(found, "<u4").tolist() for found in packing.token_bytes(many, WORD_BPE)]
+        assert ids == [model.encode(t, add_special_tokens=False).ids for t in many]
+    assert len(given) < 1000
+
+
 def test_packing(docs, none):
     model, size = Tokenizer.from_file(WORD_BPE), 64
     found = pack(docs, WORD_BPE, 2, size, keep_ids=True).collect()
