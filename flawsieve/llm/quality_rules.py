@@ -33,12 +33,26 @@ SHARE = 0.01
 STEPS = 1000
 WINDOW = 8
 OWN_NAMES = ("_good", "_model", "_of_words", "_limit", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
+NO_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _hashes(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+    return _hashed(words_of(text))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _joined(width: int):
+    """Makes of hashes of ``width`` neighbours those of twice as many, one for each place where these end in the text."""
+
+    def of(h):
+        n = F.greatest(F.size(h) - width, F.lit(0))
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, width + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    return of
 
 
 def _buckets(h: Column, buckets: int) -> Column:
@@ -119,7 +133,7 @@ def left_out_ratio(grams: Column, model: Column, good: Column, buckets: int) ->
 
 
 def repeated_words(h: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows that the text has twice or more; ``h`` are the words' hashes."""
+    """How many words lie in windows that the text has twice or more; ``h`` are the words' hashes, ``window`` is a power of two."""
 
     def covered(rows):
         """Words covered by the windows of a hash that a neighbour in ``rows (hash, place)`` shares."""
@@ -139,9 +153,9 @@ def repeated_words(h: Column, window: int = WINDOW) -> Column:
         rows = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(rows, covered))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(window)))
-    )
+    windows = h
+    for doubling in range(window.bit_length() - 1):
+        windows = let(windows, _joined(1 << doubling))
     return F.when(F.size(h) > window, let(windows, of_windows)).otherwise(F.lit(0))
 
 
@@ -154,7 +168,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     # once below, so that Spark puts them there: as a column the model would be copied, megabytes, for each row.
     every = every.withColumn("_model", gram_counts(every, buckets).scalar())
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NO_BLANK))
 
     def of_words(x):
         h = x["h"]
@@ -162,17 +176,22 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         repeat = let(repeated_words(h), lambda r: F.struct(
             r.cast("long").alias("n_repeat_words"), ((F.size(h) < 20) | (100 * r > 30 * F.size(h))).alias("base_failed")
         ))
-        return F.struct(F.size(h).cast("long").alias("n_words"), repeat.alias("repeat"), ratio.alias("score"), x["good"].alias("_good"))
+        return F.struct(
+            F.size(h).cast("long").alias("n_words"), x["word_chars"].alias("word_chars"), repeat.alias("repeat"), ratio.alias("score"), x["good"].alias("_good")
+        )
+
+    def hashed(x):
+        chars = F.char_length(F.concat_ws("", x["words"])).cast("long")
+        return let(F.struct(_hashed(x["words"]).alias("h"), chars.alias("word_chars"), x["model"].alias("model"), x["good"].alias("good")), of_words)
 
     found = every.select(
         *docs.columns,
-        let(F.struct(_hashes(F.col("text")).alias("h"), F.col("_model").alias("model"), F.col("_good").alias("good")), of_words).alias("_of_words"),
-        F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(F.struct(words_of(F.col("text")).alias("words"), F.col("_model").alias("model"), F.col("_good").alias("good")), hashed).alias("_of_words"),
+        (F.size(F.split(text, SYMBOLS)) - 1).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     return found.select(
-        *docs.columns, "_of_words._good", "_of_words.n_words", "word_chars", "n_symbols", "n_dup_lines", "_of_words.repeat.*", "_of_words.score"
+        *docs.columns, "_of_words._good", "_of_words.n_words", "_of_words.word_chars", "n_symbols", "n_dup_lines", "_of_words.repeat.*", "_of_words.score"
     )
 
 
