@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import operator
 import re
 import zlib
 from array import array
@@ -90,7 +91,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     # str.split knows the same white space but for four separators more.
     split = [GAP(text) if SEPARATORS(text) else text.split() for text in texts]
     found = [list(map(known.get, words)) for words in split]
-    missing = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+    missing = [() if all(row) else [i for i, ids in enumerate(row) if ids is None] for row in found]
     new = list({words[i] for words, places in zip(split, missing) for i in places})
     coded, cut = {}, {}
     for word in new:
@@ -117,21 +118,22 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
         heap.append((-size, i, [(size, [i])]))  # windows not named are empty
     heapq.heapify(heap)
     n = len(sizes)
+    load = operator.itemgetter(0)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        spread, _, a = heapq.heappop(heap)  # the largest
+        _, _, b = heap[0]
         both = len(a) + len(b) - k
         if both > 0:  # a falls, b falls: a's smallest meet b's largest
-            a.sort(key=lambda w: -w[0])
-            b.sort(key=lambda w: -w[0])
-            met = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - both :], b[both - 1 :: -1])]
-            merged = a[: len(a) - both] + met + b[both:]
-        else:
-            merged = a + b
-        loads = [w[0] for w in merged]
-        spread = max(loads) - (min(loads) if len(merged) == k else 0)
+            a.sort(key=load, reverse=True)
+            b.sort(key=load, reverse=True)
+            met = [(x + y, p + q) for (x, p), (y, q) in zip(a[len(a) - both :], b[both - 1 :: -1])]
+            a[len(a) - both :] = met
+        a += b[max(both, 0) :]
+        if both >= 0:
+            loads = list(map(load, a))
+            spread = min(loads) - max(loads) if len(a) == k else -max(loads)
         n += 1
-        heapq.heappush(heap, (-spread, n, merged))
+        heapq.heapreplace(heap, (spread, n, a))
     return [w[1] for w in heap[0][2]] if heap else []
 
 

@@ -458,6 +458,26 @@ def test_lm_probabilities_sum_to_one(spark):
     assert len(sums) == 32 and all(math.isclose(x, 1, rel_tol=1e-6) for x in sums.values())
 
 
+def test_differencing_looks_at_loads_only_where_windows_meet():
+    """Items that do not meet yet are put side by side, whatever their number."""
+    seen = 0
+
+    class Load(int):
+        def __lt__(self, other):
+            nonlocal seen
+            seen += 1
+            return int(self) < int(other)
+
+        def __gt__(self, other):
+            nonlocal seen
+            seen += 1
+            return int(self) > int(other)
+
+    sizes = [Load(1 + i % 7) for i in range(400)]
+    windows = packing.differenced(sizes, 400)
+    assert sorted(i for w in windows for i in w) == list(range(400)) and seen < 10 * 400
+
+
 def test_leaks(docs, none, spark):
     own = {i: t for i, t in texts() if i is not None}
     passage = " ".join(own[0].split()[2:22])
