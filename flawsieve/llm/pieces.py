@@ -221,17 +221,6 @@ class _Held:
             if self.size > FLUSH // 2:
                 yield from self.flush()
 
-    def put(self, block: np.ndarray, doc: np.ndarray, each: np.ndarray):
-        """Adds ``each`` to the sums of the documents ``doc`` of the blocks ``block``."""
-        blocks, place = np.unique(block, return_inverse=True)
-        known = np.array([self.blocks.setdefault(b, len(self.blocks)) for b in blocks.tolist()], np.int64)
-        self.parts.append(((known[place] << 32) + doc, each))
-        self.size += len(doc)
-        if self.size > FLUSH:
-            self._fold()
-            if self.size > FLUSH // 2:
-                yield from self.flush()
-
     def _fold(self):
         at = np.concatenate([p[0] for p in self.parts])
         each = np.concatenate([p[1] for p in self.parts])

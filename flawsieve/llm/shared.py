@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flawsieve.sources.folders import shared_folder
+from flawsieve.sources.folders import delete_folders, shared_folder
 
 # Java's and Python's patterns alike: the white space that ends a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -21,6 +21,13 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Deletes the staged table that ``df`` reads, which nothing reads any more."""
+    spark = df.sparkSession
+    names = {path.rsplit("/", 2)[1] for path in df.inputFiles()}
+    delete_folders(spark, [f"{shared_folder(spark)}/{name}" for name in names])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, UPPER, LOWER)

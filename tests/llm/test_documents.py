@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -458,6 +459,29 @@ def test_lm_probabilities_sum_to_one(spark):
     assert len(sums) == 32 and all(math.isclose(x, 1, rel_tol=1e-6) for x in sums.values())
 
 
+def test_lm_pairs_are_no_rows(spark, monkeypatch):
+    """What is staged has rows for words and blocks, and none for each pair of words; tables that are done with go."""
+    rng, seen, gone = random.Random(8), {}, []
+    table = [(i, i % 7 == 2, " ".join(f"w{rng.randrange(500)}" for _ in range(200))) for i in range(150)]
+    docs = spark.createDataFrame(table, "doc_id long, held_out boolean, text string").coalesce(2)
+    staged, unstaged = lm_scoring.staged, lm_scoring.unstaged
+
+    def counted(df, name, **options):
+        found = staged(df, name, **options)
+        seen[name] = max(seen.get(name, 0), found.count())
+        return found
+
+    def dropped(df):
+        files = df.inputFiles()
+        unstaged(df)
+        gone.extend(f for f in files if os.path.exists(f.removeprefix("file://")))
+
+    monkeypatch.setattr(lm_scoring, "staged", counted)
+    monkeypatch.setattr(lm_scoring, "unstaged", dropped)
+    assert len(score(docs).collect()) == 150
+    assert 500 < max(seen.values()) < 10_000 and not gone
+
+
 def test_differencing_looks_at_loads_only_where_windows_meet():
     """Items that do not meet yet are put side by side, whatever their number."""
     seen = 0
