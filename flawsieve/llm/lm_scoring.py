@@ -47,7 +47,7 @@ INNER_SWEEPS = 4
 STRENGTH, DISCOUNT = 1.0, 0.5
 WORD_STRENGTH = 10.0
 CONTEXT_STRENGTH = 1.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 # Tokens of the corpus for each part that pairs of words are dealt to.
 PART_TOKENS = 2_000_000
 # Words that a task hands on at once.
@@ -154,19 +154,29 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """A block's distinct pairs: the places of both words among ``names``, and the occurrences of each that are learned."""
+    """A block's distinct pairs: the places of both words among ``names``, and the occurrences of each that are learned; or,
+    with ``tokens``, the pair, word and document of each token."""
 
-    def __init__(self, header: bytes, words: bytes, codes: bytes):
+    def __init__(self, header: bytes, words: bytes, codes: bytes, tokens: bool = False):
         self.ids, self.missing, self.flags, self.lengths = np.frombuffer(header, np.int64).reshape(4, -1)
         self.names = [START, *words.split(b" ")]
         code = np.frombuffer(codes, np.int32).astype(np.int64) + 1
-        self.code, self.doc = code, np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
         before = np.append(0, code[:-1])
         before[np.cumsum(self.lengths) - self.lengths] = 0
-        pairs, self.at = np.unique(before * len(self.names) + code, return_inverse=True)
-        self.prev, self.next = pairs // len(self.names), pairs % len(self.names)
-        self.learned = self.flags[self.doc]
-        self.n = np.bincount(self.at, self.learned, len(pairs)).astype(np.int64)
+        before *= len(self.names)
+        before += code
+        if tokens:
+            self.code, self.doc = code, np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
+            pairs, self.at = np.unique(before, return_inverse=True)
+        else:
+            # By sorting, which takes less time here than the hash table of np.unique.
+            learned = np.sort(before[np.repeat(self.flags > 0, self.lengths)])
+            before.sort()
+            pairs = before[np.append(True, before[1:] != before[:-1])]
+            starts = np.flatnonzero(np.append(True, learned[1:] != learned[:-1])[: len(learned)])
+            self.n = np.zeros(len(pairs), np.int64)
+            self.n[np.searchsorted(pairs, learned[starts])] = np.diff(np.append(starts, len(learned)))
+        self.prev, self.next = (pairs // len(self.names)).astype(np.int32), (pairs % len(self.names)).astype(np.int32)
 
     def keys(self) -> np.ndarray:
         words = pd.util.hash_array(np.array(self.names, object), categorize=False)
@@ -220,7 +230,7 @@ def _only(table: pa.Table, name: str) -> list:
 
 def _in_parts(table: pa.Table, name: str) -> list[bytes]:
     """The values of a column, in the order of parts."""
-    return table.filter(pc.is_valid(table[name])).sort_by("part")[name].to_pylist()
+    return table.select(["part", name]).filter(pc.is_valid(table[name])).sort_by("part")[name].to_pylist()
 
 
 def _bits(data: bytes, count: int) -> np.ndarray:
@@ -673,7 +683,7 @@ def _document_sums(blocks: DataFrame, totals: DataFrame, sats: DataFrame, told:
     times = len(left)
 
     def score(table: pa.Table) -> pa.Table:
-        block = _Block(*(_only(table, name)[0] for name in ("header", "words", "codes")))
+        block = _Block(*(_only(table, name)[0] for name in ("header", "words", "codes")), tokens=True)
         order = np.argsort(_parts(block.keys(), parts), kind="stable")
         total = np.concatenate([_unpacked(t) for t in _in_parts(table, "totals")])
         sat = total * times
@@ -723,6 +733,8 @@ def score(docs: DataFrame) -> DataFrame:
     words, states, left, near = _sampled(counted, SWEEPS)
     facts = words.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), F.count_if(F.col("weight") > 0).alias("v")).first()
     sats = _shared_seats(totals, states)
+    for state in states:
+        unstaged(state)
     times = range(len(left))
     kept = words.select("piece", "weight", "guests", *(F.get("p", i).alias(f"p{i}") for i in times), *(F.get("holds", i).alias(f"hold{i}") for i in times))
     told = counted.filter("piece IS NOT NULL").select("piece", "block", "place").join(kept.hint("merge"), "piece").drop("piece")
